@@ -11,6 +11,11 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 
 VIEWS = {
+    # A day number that grows with time, from the calendar fields both engines share.
+    "f_events": """
+SELECT event_id, user_id, event_type, value, ts,
+       CAST((EXTRACT(YEAR FROM ts) - 2024) * 372 + (EXTRACT(MONTH FROM ts) - 1) * 31 + EXTRACT(DAY FROM ts) AS INT) AS day
+FROM {events}""",
     # Facts: 24 consecutive events make up one patient, half of them per concept. Some facts revise
     # the one before; days are shuffled within the patient, so list order and day order differ.
     "f_facts": """
@@ -75,6 +80,15 @@ SELECT CONCAT(CAST(d.doc_id AS VARCHAR(20)), '_', v.variant), CAST(d.doc_id AS V
 FROM {documents} d JOIN (VALUES (0, 'remove_evidence', 900, 5000), (1, 'mask_temporal_cue', 700, 4500),
                                 (2, 'silent_removal', 300, 2500), (3, 'silent_keep', 220, 2100)) AS v(k, variant, floor, half)
   ON d.doc_id % 4 = v.k""",
+    # Saved model answers: plain, fenced, with a reasoning block, unreadable; spans verbatim or made up.
+    "f_answers": """
+SELECT note_id, ord, style, text, gold_relation, gold_evidence_span, span, CASE ord % 8 WHEN 0 THEN CONCAT('no answer for note ', note_id)
+    WHEN 1 THEN CONCAT('```json', CHR(10), body, CHR(10), '```') WHEN 2 THEN CONCAT('<think>{{ weigh', CHR(10), '}}</think>', body)
+    WHEN 3 THEN CONCAT('Answer: ', body, ' done') ELSE body END AS raw
+FROM (SELECT n.*, CONCAT('{{"relation": ', CASE WHEN ord % 9 = 0 THEN 'null' WHEN ord % 9 = 1 THEN '"UNSURE"' ELSE CONCAT('"', CASE WHEN ord % 9 < 6 THEN gold_relation ELSE 'EVENT1-BEFORE-EVENT2' END, '"') END,
+             ', "evidence_span": ', CASE WHEN span IS NULL THEN 'null' ELSE CONCAT('"', span, '"') END, ', "confidence": ', CASE ord % 4 WHEN 0 THEN '0.25' WHEN 1 THEN '0.5' WHEN 2 THEN '1.5' ELSE '-1' END, '}}') AS body
+      FROM (SELECT f.*, CASE ord % 5 WHEN 0 THEN gold_evidence_span WHEN 1 THEN CONCAT('Seen on day ', CAST(day AS VARCHAR(3)), '.') WHEN 2 THEN 'A sentence that nobody wrote.'
+             WHEN 3 THEN TRIM(SUBSTR(REPLACE(REPLACE(REPLACE(text, CHR(10), ' '), CHR(92), ' '), '"', ' '), 30, 200)) ELSE NULL END AS span FROM {f_notes} f) n) m""",
     # Relations between users and event types; every fourth one is closed 25 inserts later.
     "f_closures": """
 SELECT e.event_id AS edge_key, n.event_id AS close_seq, n.ts AS valid_to

@@ -10,13 +10,18 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def strip(col) -> Column:
+    """Drop surrounding white space of any kind (`trim` drops blanks only)."""
+    return F.btrim(_c(col), F.lit(" \t\n\r\f\x0b"))
+
+
 def parse_bool(col, accept=K.TRUE_WORDS, null_as: bool = False, numeric: bool = False) -> Column:
     """True when the trimmed lower-case text is one of `accept`.
 
     `null_as` is the value of a missing entry, which differs between producers. With `numeric`
     any number other than zero is true as well (columns stored as numbers).
     """
-    text = F.lower(F.trim(_c(col).cast("string")))
+    text = F.lower(strip(_c(col).cast("string")))
     hit = text.isin(list(accept))
     if numeric:
         hit = hit | F.coalesce(text.try_cast("double") != 0, F.lit(False))
@@ -44,12 +49,12 @@ def norm_ws(col) -> Column:
 
 
 def norm_relation(col, domain=K.RELATIONS) -> Column:
-    name = F.replace(F.upper(F.trim(_c(col).cast("string"))), F.lit("_"), F.lit("-"))
+    name = F.replace(F.upper(strip(_c(col).cast("string"))), F.lit("_"), F.lit("-"))
     return F.when(name.isin(list(domain)), name)
 
 
 def norm_tier(col) -> Column:
-    name = F.replace(F.lower(F.trim(_c(col).cast("string"))), F.lit("-"), F.lit("_"))
+    name = F.replace(F.lower(strip(_c(col).cast("string"))), F.lit("-"), F.lit("_"))
     return (
         F.when(name == "strict", F.lit("strict"))
         .when(name.isin("implied", "implied_only"), F.lit("implied_only"))
@@ -59,7 +64,7 @@ def norm_tier(col) -> Column:
 
 def has_injected_content(col) -> Column:
     """Whether a JSON list column holds anything; text that is not JSON counts as content."""
-    text = F.trim(_c(col).cast("string"))
+    text = strip(_c(col).cast("string"))
     # Only a JSON array has a length; any other text that parses is not a list.
     length = F.json_array_length(text)
     parses = F.try_parse_json(text).isNotNull()
@@ -72,8 +77,8 @@ def has_injected_content(col) -> Column:
 
 def json_object_text(col) -> Column:
     """Outermost `{...}` of a saved answer, after dropping reasoning blocks and code fences."""
-    text = F.trim(F.regexp_replace(F.coalesce(_c(col), F.lit("")), r"(?s)<think>.*?</think>", ""))
-    text = F.trim(F.regexp_replace(text, r"(?m)^```(?:json)?|```$", ""))
+    text = strip(F.regexp_replace(F.coalesce(_c(col), F.lit("")), r"(?s)<think>.*?</think>", ""))
+    text = strip(F.regexp_replace(text, r"(?m)^```(?:json)?|```$", ""))
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
 
 
@@ -94,7 +99,7 @@ def parse_answer(col, domain=K.RELATIONS) -> Column:
     ok = doc.isNotNull()
     return F.struct(
         F.when(ok & relation.isin(list(domain)), relation).alias("relation"),
-        F.when(ok & (F.trim(span) != ""), span).alias("evidence_span"),
+        F.when(ok & (strip(span) != ""), span).alias("evidence_span"),
         F.when(ok, F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))).otherwise(F.lit(0.0)).alias("confidence"),
         F.when(ok, F.coalesce(F.try_variant_get(doc, "$.reason", "string"), F.lit("")))
         .otherwise(F.lit("invalid_json")).alias("reason"),

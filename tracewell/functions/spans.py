@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tracewell import constants as K
+from tracewell.functions.scalars import strip
 
 # Ship the Python code with the job, so workers need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -88,7 +89,7 @@ def locate_spans_fuzzy(df: DataFrame, id_col: str, text_col: str, spans_col: str
     count when the longest common run is long enough. Overlapping ranges count twice in the coverage.
     """
     cited = df.select(id_col, F.col(text_col).alias("_text"), F.posexplode(spans_col).alias("_pos", "_raw"))
-    cited = cited.withColumn("_span", F.trim("_raw")).where(F.char_length("_span") >= min_chars)
+    cited = cited.withColumn("_span", strip("_raw")).where(F.char_length("_span") >= min_chars)
     cited = cited.withColumn("_at", find_span("_text", "_span"))
     hits = cited.where("_at >= 0").select(
         id_col, "_pos", make_range(F.col("_at"), F.col("_at") + F.char_length("_span")).alias("_r"))
@@ -173,7 +174,7 @@ def ranges_overlap_any(a, b) -> Column:
 
 def injected_spans(spans_json, text) -> Column:
     """Ranges of injected content: the JSON column, else the fixed pattern of older files."""
-    raw, text = F.trim(_c(spans_json)), _c(text)
+    raw, text = strip(spans_json), _c(text)
     parsed = F.from_json(raw, "array<struct<type:string,start:int,end:int,clause:string>>")
     usable = ~raw.isin("", "[]") & parsed.isNotNull() & ~F.exists(
         parsed, lambda s: s.isNull() | s["start"].isNull() | s["end"].isNull())

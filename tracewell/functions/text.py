@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell import constants as K
 from tracewell.functions.hashing import draw_index
+from tracewell.functions.scalars import strip
 
 
 def _c(col) -> Column:
@@ -39,8 +40,8 @@ def lexical_style(text, style, tables=K.LEXICAL_STYLES) -> Column:
 
 def structured_style(text) -> Column:
     """Sentences and clauses joined by semicolons."""
-    parts = F.split(F.trim(_c(text)), r"(?<=[.;])\s+")
-    kept = F.filter(parts, lambda p: F.trim(p) != "")
+    parts = F.split(strip(text), r"(?<=[.;])\s+")
+    kept = F.filter(parts, lambda p: strip(p) != "")
     return F.concat(F.array_join(F.transform(kept, lambda p: F.regexp_replace(p, "[.;]+$", "")), "; "), F.lit("."))
 
 
@@ -129,7 +130,7 @@ def _chosen(candidates: Column, seed: Column, k: Column) -> Column:
 
 
 def _swap_words(text: Column, table: dict, seed: Column, k: Column) -> Column:
-    words = F.split(F.trim(text), r"\s+")
+    words = F.split(strip(text), r"\s+")
     core = lambda w: F.lower(F.btrim(w, F.lit(".,")))
     known = F.array(*[F.lit(w) for w in table])
     flagged = F.transform(words, lambda w, i: F.when(F.array_contains(known, core(w)), i))
@@ -149,7 +150,7 @@ def _ocr_noise(text: Column, seed: Column, k: Column) -> Column:
 
 
 def _insert_tokens(text: Column, seed: Column, k: Column) -> Column:
-    words = F.split(F.trim(text), r"\s+")
+    words = F.split(strip(text), r"\s+")
     fillers = F.array(*[F.lit(f) for f in K.FILLERS])
 
     def put(acc, step):
@@ -231,5 +232,5 @@ def has_digit(text) -> Column:
 
 
 def word_count(text) -> Column:
-    trimmed = F.trim(_c(text))
+    trimmed = strip(text)
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, r"\s+")))

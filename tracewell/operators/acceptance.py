@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tracewell import constants as K
 from tracewell.functions import text as T
+from tracewell.functions.scalars import strip
 from tracewell.functions.spans import find_span
 
 ITEM = ["note_id", "variant"]
@@ -32,7 +33,7 @@ def edit_reasons(candidates: DataFrame, strict_only: bool = False, removal_ratio
     seen = F.coalesce(F.col("event1_mentioned") & F.col("event2_mentioned"), F.lit(False))
     reason = (
         F.when(error.isNotNull(), F.concat(F.lit("edit_error:"), error))
-        .when(edited.isNull() | (F.trim(edited) == "") | (F.trim(edited) == F.trim(original)), "empty_or_unchanged")
+        .when(edited.isNull() | (strip(edited) == "") | (strip(edited) == strip(original)), "empty_or_unchanged")
         .when((F.col("_ratio") < low) | (F.col("_ratio") > high), "length_ratio")
         .when(F.size("_new") > 0, F.concat(F.lit("marker:"), F.array_join("_new", "+")))
         .when(F.col("_novel") > F.when(removal, max_novel_removal).otherwise(max_novel_keep), "novel_tokens")
@@ -119,7 +120,7 @@ def span_reasons(candidates: DataFrame) -> DataFrame:
     """
     span = F.col("span")
     return candidates.withColumn("reason", (
-        F.when(F.col("original_span").isNull() | (F.trim("original_span") == ""), "no_original_span")
+        F.when(F.col("original_span").isNull() | (strip("original_span") == ""), "no_original_span")
         .when(F.col("call_error").isNotNull(), F.concat(F.lit("relocate_error:"), F.col("call_error")))
         .when(F.col("parse_error"), "invalid_json")
         .when(span.isNull(), "evidence_lost_in_paraphrase")

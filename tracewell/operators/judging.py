@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.scalars import norm_relation, norm_tier, norm_ws
+from tracewell.functions.scalars import norm_relation, norm_tier, norm_ws, strip
 from tracewell.functions.stats import ratio
 
 
@@ -13,7 +13,7 @@ def _c(col) -> Column:
 
 def effective_verdict(verdict, relation, evidence, text) -> Column:
     """Struct(verdict, relation, evidence_ok): a determination without verbatim evidence is unsupported."""
-    v = F.lower(F.trim(_c(verdict).cast("string")))
+    v = F.lower(strip(_c(verdict).cast("string")))
     raw = F.when(v.isin("explicit", "implied", "none"), v).otherwise(F.lit("parse_error"))
     rel = norm_relation(relation)
     quote = F.when(~_c(evidence).isin("null", ""), _c(evidence))

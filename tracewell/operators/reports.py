@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell import constants as K
-from tracewell.functions.scalars import has_injected_content, printed_status, to_double
+from tracewell.functions.scalars import has_injected_content, printed_status, strip, to_double
 from tracewell.functions.spans import alignment_status, char_overlap, notice_visibility, notice_visible_tokens
 from tracewell.functions.stats import ratio, wilson_high, wilson_low
 from tracewell.functions.text import day_mentions, find_cue, has_digit, word_count
@@ -108,7 +108,7 @@ def workflow_outcomes(df: DataFrame) -> DataFrame:
 
 def clean_labels(notes: DataFrame) -> DataFrame:
     """Evidence label and alignment of the gold span for clean notes, last row per id."""
-    sufficient = F.col("gold_relation").isNotNull() & F.coalesce(F.trim("gold_evidence_span") != "", F.lit(False))
+    sufficient = F.col("gold_relation").isNotNull() & F.coalesce(strip("gold_evidence_span") != "", F.lit(False))
     return notes.select(
         F.col("note_id").cast("string").alias("example_id"), sufficient.cast("int").alias("evidence_sufficient_oracle"),
         F.lit(0).alias("contradiction_present_oracle"),

@@ -1,6 +1,6 @@
 """Readers of notes, facts, predictions, judgments and run folders."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -116,12 +116,11 @@ def control_labels(controls: DataFrame) -> DataFrame:
     """Evidence labels of edited notes, the first row per id by content."""
     require_columns(controls, ["note_id", "evidence_available_oracle", "evidence_case"], "controls")
     extra = F.col("contradiction_present_oracle") if "contradiction_present_oracle" in controls.columns else F.lit(0)
+    ordered = ["ord"] if "ord" in controls.columns else []
     rows = controls.select(F.col("note_id").cast("string").alias("example_id"), "evidence_available_oracle", "evidence_case",
-                           extra.alias("contradiction_present_oracle"))
-    fields = rows.columns[1:]
-    order = F.col("ord") if "ord" in controls.columns else F.struct(*fields)
-    if "ord" in controls.columns:
-        rows = rows.withColumn("ord", controls["ord"])
+                           extra.alias("contradiction_present_oracle"), *ordered)
+    fields = rows.columns[1:4]
+    order = F.struct(*ordered, *fields)
     return rows.groupBy("example_id").agg(F.min_by(F.struct(*fields), order).alias("_f")).select("example_id", "_f.*")
 
 
@@ -137,18 +136,19 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     Adds the place of the record: file, then the line's number within the file.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"),
+                                         F.col("_metadata.file_block_start").alias("_block"),
                                          F.monotonically_increasing_id().alias("_line"))
     bad = "_corrupt_record"
     parsed = lines.where(F.trim("value") != "").withColumn(
         "_r", F.from_json("value", schema.add(bad, "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}))
-    return parsed.where(F.col(f"_r.{bad}").isNull() & F.col("_r").isNotNull()).select("_r.*", "_file", "_line").drop(bad)
+    return parsed.where(F.col(f"_r.{bad}").isNull() & F.col("_r").isNotNull()).select("_r.*", "_file", "_block", "_line").drop(bad)
 
 
 def read_judgments(spark: SparkSession, path: str) -> DataFrame:
     """Judgments, the last record per note and condition."""
     schema = StructType(list(schemas.JUDGMENTS.fields))
     rows = read_jsonl(spark, path, schema)
-    return last_per_key(rows, ["note_id", "condition"], ["_file", "_line"]).drop("_file", "_line")
+    return last_per_key(rows, ["note_id", "condition"], ["_file", "_block", "_line"]).drop("_file", "_block", "_line")
 
 
 RUN_FOLDER = r"/([^/]+)_(frozen|unfrozen)_seed(\d+)/"
