@@ -14,6 +14,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tracewell import constants as K
 from tracewell.functions.scalars import strip
+from tracewell.functions.text import let
 
 # Ship the Python code with the job, so workers need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -169,7 +170,7 @@ def index_jaccard(a, b) -> Column:
 
 
 def ranges_overlap_any(a, b) -> Column:
-    return F.exists(_c(a), lambda x: F.exists(_c(b), lambda y: F.least(x["end"], y["end"]) > F.greatest(x["start"], y["start"])))
+    return let(_c(b), lambda others: F.exists(_c(a), lambda x: F.exists(others, lambda y: F.least(x["end"], y["end"]) > F.greatest(x["start"], y["start"]))))
 
 
 def injected_spans(spans_json, text) -> Column:
@@ -188,26 +189,37 @@ def injected_spans(spans_json, text) -> Column:
 
 # ---------------------------------------------------------------- tokens
 
-def token_offsets(text) -> Column:
-    """Offsets of whitespace-separated tokens; stands in for offsets supplied by a tokenizer."""
-    text = _c(text)
-    words = F.split(text, r"\s")
-    state = F.aggregate(
-        words,
-        F.struct(F.lit(0).alias("at"), no_ranges().alias("out")),
-        lambda acc, w: F.struct(
-            (acc["at"] + F.char_length(w) + 1).alias("at"),
-            F.when(w == "", acc["out"]).otherwise(
-                F.array_append(acc["out"], make_range(acc["at"], acc["at"] + F.char_length(w)))).alias("out")))
-    return state["out"]
+def token_offsets(text, block: int = 64) -> Column:
+    """Offsets of whitespace-separated tokens; stands in for offsets supplied by a tokenizer.
+
+    Positions are cumulated over blocks of words first and then inside each block, so that long
+    texts do not copy a growing array once per word.
+    """
+    width = lambda words: F.aggregate(words, F.lit(0), lambda n, w: n + F.char_length(w) + 1)
+    starts = lambda blocks: F.aggregate(
+        blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda acc, b: F.struct((acc["at"] + width(b)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
+
+    def place(words, start):
+        return F.aggregate(
+            words, F.struct(start.alias("at"), no_ranges().alias("out")),
+            lambda acc, w: F.struct(
+                (acc["at"] + F.char_length(w) + 1).alias("at"),
+                F.when(w == "", acc["out"]).otherwise(
+                    F.array_append(acc["out"], make_range(acc["at"], acc["at"] + F.char_length(w)))).alias("out")))["out"]
+
+    cut = lambda words: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(words) - 1) / block).cast("int")), lambda i: F.slice(words, i * block + 1, F.lit(block)))
+    return let(F.split(_c(text), r"\s"), lambda words: let(
+        cut(words), lambda blocks: F.flatten(F.zip_with(blocks, starts(blocks), place))))
 
 
 def token_labels(offsets, spans) -> Column:
     """1 for tokens that lie inside one of the spans; zero-width tokens are 0."""
-    spans = _c(spans)
-    return F.transform(_c(offsets), lambda t: F.when(
-        (t["start"] != t["end"]) & F.exists(spans, lambda s: (t["start"] >= s["start"]) & (t["end"] <= s["end"])),
-        F.lit(1)).otherwise(F.lit(0)))
+    inside = lambda t, all_spans: (t["start"] != t["end"]) & F.exists(
+        all_spans, lambda s: (t["start"] >= s["start"]) & (t["end"] <= s["end"]))
+    return let(_c(spans), lambda all_spans: F.transform(
+        _c(offsets), lambda t: F.when(inside(t, all_spans), F.lit(1)).otherwise(F.lit(0))))
 
 
 def longest_flag_run(text, offsets, flags) -> Column:

@@ -18,6 +18,14 @@ def _quote(literal: str) -> str:
     return re.sub(r"([^\w\s])", r"\\\1", literal)
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once.
+
+    An expression used inside a lambda would otherwise be evaluated again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _splice(text: Column, pos: Column, length: Column, new) -> Column:
     """Replace `length` characters at the 1-based position `pos`."""
     new = new if isinstance(new, Column) else F.lit(new)
@@ -130,23 +138,22 @@ def _chosen(candidates: Column, seed: Column, k: Column) -> Column:
 
 
 def _swap_words(text: Column, table: dict, seed: Column, k: Column) -> Column:
-    words = F.split(strip(text), r"\s+")
     core = lambda w: F.lower(F.btrim(w, F.lit(".,")))
     known = F.array(*[F.lit(w) for w in table])
-    flagged = F.transform(words, lambda w, i: F.when(F.array_contains(known, core(w)), i))
-    chosen = _chosen(F.array_compact(flagged), seed, k)
     swap = lambda w: F.concat(F.try_element_at(_lookup(table), core(w)), F.substr(w, F.char_length(core(w)) + 1))
-    return F.array_join(
-        F.transform(words, lambda w, i: F.when(F.array_contains(chosen, i), swap(w)).otherwise(w)), " ")
+    flagged = lambda words: F.array_compact(F.transform(words, lambda w, i: F.when(F.array_contains(known, core(w)), i)))
+    swapped = lambda words, chosen: F.transform(words, lambda w, i: F.when(F.array_contains(chosen, i), swap(w)).otherwise(w))
+    return let(F.split(strip(text), r"\s+"), lambda words: let(
+        _chosen(flagged(words), seed, k), lambda chosen: F.array_join(swapped(words, chosen), " ")))
 
 
 def _ocr_noise(text: Column, seed: Column, k: Column) -> Column:
-    chars = F.split(text, "")
     known = F.array(*[F.lit(c) for c in K.OCR_CONFUSABLES])
-    chosen = _chosen(
-        F.array_compact(F.transform(chars, lambda c, i: F.when(F.array_contains(known, F.lower(c)), i))), seed, k)
     noisy = lambda c: F.try_element_at(_lookup(K.OCR_CONFUSABLES), F.lower(c))
-    return F.array_join(F.transform(chars, lambda c, i: F.when(F.array_contains(chosen, i), noisy(c)).otherwise(c)), "")
+    flagged = lambda chars: F.array_compact(F.transform(chars, lambda c, i: F.when(F.array_contains(known, F.lower(c)), i)))
+    changed = lambda chars, chosen: F.transform(chars, lambda c, i: F.when(F.array_contains(chosen, i), noisy(c)).otherwise(c))
+    return let(F.split(text, ""), lambda chars: let(
+        _chosen(flagged(chars), seed, k), lambda chosen: F.array_join(changed(chars, chosen), "")))
 
 
 def _insert_tokens(text: Column, seed: Column, k: Column) -> Column:
@@ -213,10 +220,10 @@ def novel_frac(original, edited) -> Column:
     Membership is tested per distinct token through set difference, then repeats are counted
     against the (short) set of new tokens only.
     """
-    new = tokens(edited)
-    unseen = F.array_except(new, tokens(original))
-    hits = F.when(F.size(unseen) == 0, F.lit(0)).otherwise(F.size(F.filter(new, lambda t: F.array_contains(unseen, t))))
-    return hits / F.greatest(F.lit(1), F.size(new))
+    repeats = lambda new, unseen: F.when(F.size(unseen) == 0, F.lit(0)).otherwise(
+        F.size(F.filter(new, lambda t: F.array_contains(unseen, t))))
+    return let(tokens(edited), lambda new: let(
+        F.array_except(new, tokens(original)), lambda unseen: repeats(new, unseen) / F.greatest(F.lit(1), F.size(new))))
 
 
 def length_ratio(original, edited) -> Column:
