@@ -82,6 +82,10 @@ def _fuzzy_range(text: pd.Series, span: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"start": [s for s, _ in out], "end": [s + n for s, n in out]}).astype("int32")
 
 
+# The optimizer copies deterministic functions into filters and would run this one twice.
+_fuzzy_range = _fuzzy_range.asNondeterministic()
+
+
 def locate_spans_fuzzy(df: DataFrame, id_col: str, text_col: str, spans_col: str,
                        min_chars: int = 8, threshold: float = 0.85) -> DataFrame:
     """Add `ranges` and `coverage_chars` for the cited spans of each row.
@@ -94,7 +98,13 @@ def locate_spans_fuzzy(df: DataFrame, id_col: str, text_col: str, spans_col: str
     cited = cited.withColumn("_at", find_span("_text", "_span"))
     hits = cited.where("_at >= 0").select(
         id_col, "_pos", make_range(F.col("_at"), F.col("_at") + F.char_length("_span")).alias("_r"))
-    misses = cited.where("_at < 0").withColumn("_r", _fuzzy_range("_text", "_span"))
+    # A long enough run leaves out at most `slack` characters on either side, so it contains the
+    # middle of the span; only texts that hold the middle verbatim go on to Python.
+    n = F.char_length("_span")
+    slack = n - F.ceil(F.greatest(threshold * n, F.lit(min_chars))).cast("int")
+    middle = F.substr("_span", slack + 1, n - 2 * slack)
+    likely = (n - 2 * slack <= 0) | (F.instr(F.col("_text"), middle) > 0)
+    misses = cited.where((F.col("_at") < 0) & likely).withColumn("_r", _fuzzy_range("_text", "_span"))
     size = F.col("_r.end") - F.col("_r.start")
     misses = misses.where((size >= threshold * F.char_length("_span")) & (size >= min_chars))
     found = hits.unionByName(misses.select(id_col, "_pos", "_r"))

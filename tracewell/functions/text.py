@@ -202,7 +202,9 @@ def marker_hits(text, patterns=K.MARKER_PATTERNS) -> Column:
 
 
 def new_markers(original, edited, patterns=K.MARKER_PATTERNS) -> Column:
-    return F.array_except(marker_hits(edited, patterns), marker_hits(original, patterns))
+    """Wording families of the edited text that the original does not show."""
+    return let(marker_hits(edited, patterns), lambda hits: F.when(F.size(hits) == 0, hits).otherwise(
+        F.array_except(hits, marker_hits(original, patterns))))
 
 
 def explicit_cues(text, pattern=K.EXPLICIT_CUE) -> Column:
@@ -210,6 +212,10 @@ def explicit_cues(text, pattern=K.EXPLICIT_CUE) -> Column:
     return F.regexp_extract_all(_c(text), F.lit("(?iuU)" + pattern), F.lit(0))
 
 
+def has_explicit_cue(text, pattern=K.EXPLICIT_CUE) -> Column:
+    return _c(text).rlike("(?iuU)" + pattern)
+
+
 def tokens(text) -> Column:
     return F.regexp_extract_all(F.lower(_c(text)), F.lit("[a-z0-9]+"), F.lit(0))
 

@@ -13,7 +13,8 @@ ITEM = ["note_id", "variant"]
 
 def edit_reasons(candidates: DataFrame, strict_only: bool = False, removal_ratio=K.REMOVAL_LENGTH_RATIO,
                  keep_ratio=K.KEEP_LENGTH_RATIO, max_novel_removal=K.MAX_NOVEL_REMOVAL, max_novel_keep=K.MAX_NOVEL_KEEP) -> DataFrame:
-    """Add `reason` (NULL when the attempt is accepted), `tier`, `length_ratio` and `novel_token_frac`.
+    """Add `reason` (NULL when the attempt is accepted) and, for usable attempts, `tier`,
+    `length_ratio` and `novel_token_frac`.
 
     Needs note_id, variant, attempt, original_text, text, gold_relation, determinable, relation,
     event1_mentioned, event2_mentioned and optionally edit_error. Checks run from cheap to costly and
@@ -22,31 +23,30 @@ def edit_reasons(candidates: DataFrame, strict_only: bool = False, removal_ratio
     removal = F.col("variant") == "silent_removal"
     original, edited = F.col("original_text"), F.col("text")
     error = F.col("edit_error") if "edit_error" in candidates.columns else F.lit(None).cast("string")
-    out = candidates.withColumns({
-        "length_ratio": F.round(T.length_ratio(original, edited), 4),
-        "_ratio": T.length_ratio(original, edited),
-        "_new": T.new_markers(original, edited),
-        "_novel": T.novel_frac(original, edited)})
+    ratio, novel = T.length_ratio(original, edited), T.novel_frac(original, edited)
     low = F.when(removal, removal_ratio[0]).otherwise(keep_ratio[0])
     high = F.when(removal, removal_ratio[1]).otherwise(keep_ratio[1])
     implied = removal & F.col("determinable")
     seen = F.coalesce(F.col("event1_mentioned") & F.col("event2_mentioned"), F.lit(False))
-    reason = (
-        F.when(error.isNotNull(), F.concat(F.lit("edit_error:"), error))
-        .when(edited.isNull() | (strip(edited) == "") | (strip(edited) == strip(original)), "empty_or_unchanged")
-        .when((F.col("_ratio") < low) | (F.col("_ratio") > high), "length_ratio")
-        .when(F.size("_new") > 0, F.concat(F.lit("marker:"), F.array_join("_new", "+")))
-        .when(F.col("_novel") > F.when(removal, max_novel_removal).otherwise(max_novel_keep), "novel_tokens")
-        .when(removal & (F.size(T.explicit_cues(edited)) > 0), "explicit_cue_remains")
-        .when(F.col("determinable").isNull(), "judge_error")
-        .when(~seen, "event_not_mentioned")
-        .when(implied, F.lit("still_determinable" if strict_only else "implied_timing_retry"))
-        .when(~removal & ~(F.col("determinable") & F.col("relation").eqNullSafe(F.col("gold_relation"))), "relation_not_preserved")
+    # coalesce stops at the first objection, so costly checks only run on what is left.
+    reason = F.coalesce(
+        F.when(error.isNotNull(), F.concat(F.lit("edit_error:"), error)),
+        F.when(edited.isNull() | (strip(edited) == "") | (strip(edited) == strip(original)), "empty_or_unchanged"),
+        F.when((ratio < low) | (ratio > high), "length_ratio"),
+        T.let(T.new_markers(original, edited), lambda m: F.when(F.size(m) > 0, F.concat(F.lit("marker:"), F.array_join(m, "+")))),
+        F.when(novel > F.when(removal, max_novel_removal).otherwise(max_novel_keep), "novel_tokens"),
+        F.when(removal & T.has_explicit_cue(edited), "explicit_cue_remains"),
+        F.when(F.col("determinable").isNull(), "judge_error"),
+        F.when(~seen, "event_not_mentioned"),
+        F.when(implied, F.lit("still_determinable" if strict_only else "implied_timing_retry")),
+        F.when(~removal & ~(F.col("determinable") & F.col("relation").eqNullSafe(F.col("gold_relation"))), "relation_not_preserved"),
     )
-    tier = (F.when(F.col("reason").isNull(), F.when(removal, "strict").otherwise("keep_verified"))
-            .when(F.col("reason") == "implied_timing_retry", "implied_only"))
-    return (out.withColumn("reason", reason).withColumn("tier", tier)
-            .withColumn("novel_token_frac", F.round("_novel", 4)).drop("_ratio", "_new", "_novel"))
+    out = candidates.withColumn("reason", reason)
+    kept = F.col("reason").isNull() | (F.col("reason") == "implied_timing_retry")
+    return out.withColumns({
+        "tier": F.when(F.col("reason").isNull(), F.when(removal, "strict").otherwise("keep_verified"))
+        .when(F.col("reason") == "implied_timing_retry", "implied_only"),
+        "length_ratio": F.when(kept, F.round(ratio, 4)), "novel_token_frac": F.when(kept, F.round(novel, 4))})
 
 
 def accept_edit(reasoned: DataFrame) -> DataFrame:
