@@ -10,6 +10,15 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once.
+
+    An expression used inside a lambda would otherwise be evaluated again for every element, and one
+    used several times would be copied into the plan as often.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(col) -> Column:
     """Drop surrounding white space of any kind (`trim` drops blanks only)."""
     return F.btrim(_c(col), F.lit(" \t\n\r\f\x0b"))
@@ -88,22 +97,20 @@ def parse_answer(col, domain=K.RELATIONS) -> Column:
     Struct of relation (NULL outside the domain), evidence_span (NULL when blank or not text),
     confidence (clipped to [0, 1], 0 when missing) and reason (`invalid_json` when unreadable).
     """
-    body = json_object_text(col)
-    doc = F.try_parse_json(body)
-    relation = F.try_variant_get(doc, "$.relation", "string")
-    span = F.when(
-        F.schema_of_variant(F.try_variant_get(doc, "$.evidence_span", "variant")) == "STRING",
-        F.try_variant_get(doc, "$.evidence_span", "string"),
-    )
-    confidence = F.coalesce(F.try_variant_get(doc, "$.confidence", "double"), F.lit(0.0))
-    ok = doc.isNotNull()
-    return F.struct(
-        F.when(ok & relation.isin(list(domain)), relation).alias("relation"),
-        F.when(ok & (strip(span) != ""), span).alias("evidence_span"),
-        F.when(ok, F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))).otherwise(F.lit(0.0)).alias("confidence"),
-        F.when(ok, F.coalesce(F.try_variant_get(doc, "$.reason", "string"), F.lit("")))
-        .otherwise(F.lit("invalid_json")).alias("reason"),
-    )
+    def fields(doc):
+        relation = F.try_variant_get(doc, "$.relation", "string")
+        quoted = F.schema_of_variant(F.try_variant_get(doc, "$.evidence_span", "variant")) == "STRING"
+        span = F.when(quoted, F.try_variant_get(doc, "$.evidence_span", "string"))
+        confidence = F.coalesce(F.try_variant_get(doc, "$.confidence", "double"), F.lit(0.0))
+        ok = doc.isNotNull()
+        return F.struct(
+            F.when(ok & relation.isin(list(domain)), relation).alias("relation"),
+            F.when(ok & (strip(span) != ""), span).alias("evidence_span"),
+            F.when(ok, F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))).otherwise(F.lit(0.0)).alias("confidence"),
+            F.when(ok, F.coalesce(F.try_variant_get(doc, "$.reason", "string"), F.lit("")))
+            .otherwise(F.lit("invalid_json")).alias("reason"))
+
+    return let(F.try_parse_json(json_object_text(col)), fields)
 
 
 def content_key(model, version, kind, text) -> Column:

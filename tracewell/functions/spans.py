@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tracewell import constants as K
-from tracewell.functions.scalars import strip
-from tracewell.functions.text import let
+from tracewell.functions.scalars import let, strip
 
 # Ship the Python code with the job, so workers need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

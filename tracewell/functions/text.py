@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell import constants as K
 from tracewell.functions.hashing import draw_index
-from tracewell.functions.scalars import strip
+from tracewell.functions.scalars import let, strip
 
 
 def _c(col) -> Column:
@@ -18,14 +18,6 @@ def _quote(literal: str) -> str:
     return re.sub(r"([^\w\s])", r"\\\1", literal)
 
 
-def let(value: Column, body) -> Column:
-    """`body(value)` with the value computed once.
-
-    An expression used inside a lambda would otherwise be evaluated again for every element.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _splice(text: Column, pos: Column, length: Column, new) -> Column:
     """Replace `length` characters at the 1-based position `pos`."""
     new = new if isinstance(new, Column) else F.lit(new)

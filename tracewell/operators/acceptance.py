@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tracewell import constants as K
 from tracewell.functions import text as T
-from tracewell.functions.scalars import strip
+from tracewell.functions.scalars import let, strip
 from tracewell.functions.spans import find_span
 
 ITEM = ["note_id", "variant"]
@@ -33,7 +33,7 @@ def edit_reasons(candidates: DataFrame, strict_only: bool = False, removal_ratio
         F.when(error.isNotNull(), F.concat(F.lit("edit_error:"), error)),
         F.when(edited.isNull() | (strip(edited) == "") | (strip(edited) == strip(original)), "empty_or_unchanged"),
         F.when((ratio < low) | (ratio > high), "length_ratio"),
-        T.let(T.new_markers(original, edited), lambda m: F.when(F.size(m) > 0, F.concat(F.lit("marker:"), F.array_join(m, "+")))),
+        let(T.new_markers(original, edited), lambda m: F.when(F.size(m) > 0, F.concat(F.lit("marker:"), F.array_join(m, "+")))),
         F.when(novel > F.when(removal, max_novel_removal).otherwise(max_novel_keep), "novel_tokens"),
         F.when(removal & T.has_explicit_cue(edited), "explicit_cue_remains"),
         F.when(F.col("determinable").isNull(), "judge_error"),
