@@ -7,6 +7,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewell.session import spread
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 
@@ -115,12 +117,18 @@ def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A base table or a derived view as a DataFrame."""
     if name in TABLES:
         return table(spark, sf, name)
-    return run(spark, sf, VIEWS[name])
+    inputs = {"documents": texts(spark, sf)} if name == "f_notes" else {}
+    return run(spark, sf, VIEWS[name], inputs)
+
+
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents for costly work per text."""
+    return spread(table(spark, sf, "documents"))
 
 
-def run(spark: SparkSession, sf: str, text: str) -> DataFrame:
+def run(spark: SparkSession, sf: str, text: str, inputs: dict[str, DataFrame] = {}) -> DataFrame:
     """SQL over base tables and derived views named in braces."""
-    return spark.sql(text.replace("//", " DIV "), **{d: view(spark, sf, d) for d in _deps(text)})
+    return spark.sql(text.replace("//", " DIV "), **{d: inputs[d] if d in inputs else view(spark, sf, d) for d in _deps(text)})
 
 
 @lru_cache

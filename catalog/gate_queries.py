@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import view
+from catalog.fixtures import texts, view
 from catalog.registry import query
 from catalog.scalar_queries import PARSED, parsed_answers
 from catalog.text_queries import MARKERS, _brace
@@ -108,7 +108,7 @@ def g7(spark, sf):
 
 def candidates(spark, sf):
     """Three edit attempts per document and variant: unchanged, cut, marked, rewritten, cued or clean."""
-    d = view(spark, sf, "documents").select(
+    d = texts(spark, sf).select(
         F.col("doc_id"), F.col("doc_id").cast("string").alias("note_id"), F.col("text").alias("original_text"), "lang",
         F.get(F.array(*[F.lit(r) for r in K.RELATIONS]), (F.col("doc_id") % 3).cast("int")).alias("gold_relation"))
     c = d.withColumn("variant", F.explode(F.array(F.lit("silent_removal"), F.lit("silent_keep")))).select(

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import view
+from catalog.fixtures import texts, view
 from catalog.registry import query
 from tracewell import constants as K
 from tracewell.functions import spans, text as T
@@ -188,7 +188,7 @@ MARKERS = "LIST_FILTER([" + ", ".join(f"CASE WHEN REGEXP_MATCHES(t, '(?i){_brace
 
 @query("e1_marker_hits", f"SELECT doc_id, ARRAY_TO_STRING({MARKERS}, ',') AS markers FROM (SELECT doc_id, {PLAIN} AS t FROM {{documents}}) d")
 def e1(spark, sf):
-    return view(spark, sf, "documents").select("doc_id", F.array_join(T.marker_hits("text"), ",").alias("markers"))
+    return texts(spark, sf).select("doc_id", F.array_join(T.marker_hits("text"), ",").alias("markers"))
 
 
 @query("e1_new_markers", f"SELECT note_id, CASE WHEN cue IS NULL THEN 'meta_temporal,omitted' ELSE 'brackets' END AS markers FROM (SELECT note_id, {CUE} AS cue, text FROM {{f_notes}}) n")
@@ -227,7 +227,7 @@ def e5(spark, sf):
 
 def worded(spark, sf):
     """Documents that mention two facts named by words of their own text."""
-    d = view(spark, sf, "documents")
+    d = texts(spark, sf)
     word = lambda i: F.split_part("text", F.lit(" "), F.lit(i))
     facts = d.select((F.col("doc_id") * 2).alias("fact_id"), F.lit("diagnosis").alias("concept_type"), word(9).alias("value")).unionByName(
         d.select((F.col("doc_id") * 2 + 1).alias("fact_id"), F.lit("treatment").alias("concept_type"), F.concat(word(6), F.lit(" 1234 "), word(7)).alias("value")))

@@ -22,3 +22,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         else:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input comes in fewer pieces than there are cores.
+
+    For costly work per row on few or small files. Large inputs already have more scan tasks than
+    cores and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
