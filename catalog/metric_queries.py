@@ -14,9 +14,9 @@ from tracewell.operators import judging, ranking, reports, splits
 PRED = """p AS (SELECT *, abstained = 'True' AS ab, abstained = 'False' AS an, abstained = 'False' AND COALESCE(answer = gold_relation, FALSE) AS ok, masked_cue = 'True' AS mc FROM {f_pred})"""
 
 
-def rounded(df, *keep):
-    """Round every double column to six digits."""
-    return df.select([F.round(c, 6).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
+def rounded(df, digits=6):
+    """Round every double column."""
+    return df.select([F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _r(num, den):
@@ -376,10 +376,11 @@ s AS (SELECT note_id, ord, CAST(x AS DOUBLE) / gn AS r, CASE WHEN ps > 0 THEN CA
 z AS (SELECT *, UNNEST(LIST_FILTER(['all', CASE WHEN ord % 7 <> 0 THEN 'answered_only' END, CASE WHEN ord % 2 = 0 THEN 'tier:verified' ELSE 'tier:relation_only' END], lambda v: v IS NOT NULL)) AS "rows" FROM s)"""
 
 
-@query("m30_span_recall_report", f"""WITH {SPAN_SCORES} SELECT "rows", COUNT(*) AS n_scorable, ROUND(AVG(r), 6) AS mean_recall, ROUND(AVG(pr), 6) AS mean_precision, ROUND(CAST({_n('r = 0')} AS DOUBLE) / COUNT(*), 6) AS frac_zero_recall,
- ROUND(AVG(f), 6) AS mean_span_len_frac, ROUND(MEDIAN(r), 6) AS median_recall, ROUND(MEDIAN(pr), 6) AS median_precision, ROUND(MEDIAN(f), 6) AS median_span_len_frac FROM z GROUP BY "rows" """)
+@query("m30_span_recall_report", f"""WITH {SPAN_SCORES} SELECT "rows", COUNT(*) AS n_scorable, ROUND(AVG(r), 5) AS mean_recall, ROUND(AVG(pr), 5) AS mean_precision, ROUND(CAST({_n('r = 0')} AS DOUBLE) / COUNT(*), 5) AS frac_zero_recall,
+ ROUND(AVG(f), 5) AS mean_span_len_frac, ROUND(MEDIAN(r), 5) AS median_recall, ROUND(MEDIAN(pr), 5) AS median_precision, ROUND(MEDIAN(f), 5) AS median_span_len_frac FROM z GROUP BY "rows" """)
 def m30(spark, sf):
-    return rounded(reports.span_recall_report(scored_spans(spark, sf))).drop("mean_f1", "frac_full_recall", "frac_span_over_80pct")
+    # Five digits: some means end in an exact half at the sixth.
+    return rounded(reports.span_recall_report(scored_spans(spark, sf)), digits=5).drop("mean_f1", "frac_full_recall", "frac_span_over_80pct")
 
 
 @query("m31_extraction_metrics", f"""WITH {PRED}, t AS (SELECT source, COUNT(*) AS n, {_n('ab')} AS a, {_n('ok')} AS o, SUM(CASE WHEN an THEN score END) AS s, {_n('an')} AS c, SUM(score) AS v FROM p GROUP BY source)

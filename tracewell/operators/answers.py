@@ -7,6 +7,7 @@ from tracewell.functions.stats import ratio
 from tracewell.operators import graph
 from tracewell.operators.facts import active_state, query_subsets
 from tracewell.operators.graph import KEY, Representation
+from tracewell.session import cut_lineage
 
 ENTRY = [*KEY, "value", "day", "approx_relation", "approx_anchor_day", "ord_group", "ord", "pos"]
 
@@ -60,7 +61,10 @@ def query_active_value(offered: DataFrame, points: DataFrame, extra_keys: list[s
 def compress(base: Representation, threshold: float, window: int) -> dict[str, Representation]:
     """The representations that are compared, by name."""
     aggregated = graph.aggregate_mentions(base)
+    # States and chains feed several representations each; they are written once.
+    aggregated = aggregated._replace(nodes=cut_lineage(aggregated.nodes))
     collapsed = graph.collapse_revisions(aggregated)
+    collapsed = collapsed._replace(nodes=cut_lineage(collapsed.nodes), history=cut_lineage(collapsed.history))
     return {
         "uncompressed_baseline": base,
         "aggregation": aggregated,

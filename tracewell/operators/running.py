@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.hashing import draw_key
 
 
-def score_block(score: Column, cells: int = 1024, descending: bool = False) -> Column:
+def score_block(score: Column, cells: int = 1 << 16, descending: bool = False) -> Column:
     """Monotone block number of a score in [0, 1]; scores outside fall into the outermost blocks."""
     cell = F.floor(F.least(F.greatest(score, F.lit(-1.0)), F.lit(2.0)) * cells).cast("int")
     return -cell if descending else cell
@@ -44,7 +44,7 @@ def prefix_sums(df: DataFrame, keys: list[str], block: Column, order: list, sums
     )
 
 
-def seeded_rank(df: DataFrame, id_cols: list[str], seed, keys: list[str] = (), digits: int = 3) -> DataFrame:
+def seeded_rank(df: DataFrame, id_cols: list[str], seed, keys: list[str] = (), digits: int = 4) -> DataFrame:
     """Add `rank` (1-based, unique within the key) of a seeded shuffle and `n`, the rows per key.
 
     The digest spreads evenly, so its leading hex digits give balanced blocks.

@@ -17,13 +17,15 @@ def require_columns(df: DataFrame, columns, name: str = "table") -> DataFrame:
     return df
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: StructType | None = None, multi_line: bool = True) -> DataFrame:
     """CSV whose quoted fields may hold newlines and doubled quotes.
 
+    Files with newlines inside fields are read by one task each, so large inputs should come as many
+    files; without such newlines `multi_line=False` lets Spark split them.
     Columns are taken by header name. With a schema, the known columns that the header names are
     typed by it and all others stay text; there is no inference pass over the data.
     """
-    options = {"header": True, "multiLine": True, "escape": '"', "quote": '"'}
+    options = {"header": True, "multiLine": multi_line, "escape": '"', "quote": '"'}
     raw = spark.read.options(**options).csv(path)
     if schema is None:
         return raw
