@@ -73,9 +73,9 @@ def test_csv_with_quotes_and_newlines(spark, tmp_path):
 
 def test_folder_of_facts_and_edges(spark, tmp_path):
     write = lambda df, name: sinks.write_table(df, str(tmp_path / name), "csv")
-    write(spark.createDataFrame([("n1", "[]")], "note_id string, mentioned_fact_ids string"), "synthetic_notes_v1.csv")
-    write(spark.createDataFrame([("f1", "p", "diagnosis", "7")], "fact_id string, patient_id string, concept_type string, day string"), "synthetic_facts_v1.csv")
-    write(spark.createDataFrame([("p", "f0", "f1", "2")], "patient_id string, from_fact_id string, to_fact_id string, day string"), "synthetic_revision_edges_v1.csv")
+    write(spark.createDataFrame([("n1", "[]")], "note_id string, mentioned_fact_ids string"), "notes.csv")
+    write(spark.createDataFrame([("f1", "p", "diagnosis", "7")], "fact_id string, patient_id string, concept_type string, day string"), "facts.csv")
+    write(spark.createDataFrame([("p", "f0", "f1", "2")], "patient_id string, from_fact_id string, to_fact_id string, day string"), "revision_edges.csv")
     notes, facts, edges = readers.read_notes_facts_edges(spark, str(tmp_path))
     assert facts.first().day == 7 and edges.first().day == 2 and notes.count() == 1
 

@@ -17,7 +17,7 @@ def effective_verdict(verdict, relation, evidence, text) -> Column:
     raw = F.when(v.isin("explicit", "implied", "none"), v).otherwise(F.lit("parse_error"))
     rel = norm_relation(relation)
     quote = F.when(~_c(evidence).isin("null", ""), _c(evidence))
-    # An evidence of blanks normalises to '' and is contained in every text, as in the reference rule.
+    # An evidence of blanks normalises to '' and is contained in every text.
     ok = F.coalesce(F.contains(F.lower(norm_ws(text)), F.lower(norm_ws(quote))) & quote.isNotNull(), F.lit(False))
     determined = raw.isin("explicit", "implied")
     supported = rel.isNotNull() & ok

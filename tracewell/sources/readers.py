@@ -45,8 +45,8 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
     return df if "ord" in df.columns else df.withColumn("ord", F.monotonically_increasing_id())
 
 
-def read_notes_facts_edges(spark: SparkSession, folder: str, notes="synthetic_notes_v1.csv", facts="synthetic_facts_v1.csv",
-                           edges="synthetic_revision_edges_v1.csv") -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_notes_facts_edges(spark: SparkSession, folder: str, notes="notes.csv", facts="facts.csv",
+                           edges="revision_edges.csv") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Notes, facts and revision edges of one folder; a missing file raises Spark's path error."""
     f = read_csv(spark, f"{folder}/{facts}", schemas.FACTS)
     f = f if "ord" in f.columns else f.withColumn("ord", F.monotonically_increasing_id())
