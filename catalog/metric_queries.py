@@ -467,20 +467,22 @@ def recipe(spark, sf):
     return splits.training_recipe(p, p.where("source <> 'src0'"), "source", ["strict"])
 
 
-@query("s5_training_recipe", f"""WITH {PRED}, b AS (SELECT example_id, gold_relation, CASE WHEN variant = 'clean' THEN 'clean' WHEN variant = 'mask_temporal_cue' AND NOT mc THEN 'notice' WHEN variant IN ('mask_temporal_cue', 'remove_evidence') THEN 'marker' ELSE variant END AS part
+RECIPE = f"""WITH {PRED}, b AS (SELECT example_id, gold_relation, CASE WHEN variant = 'clean' THEN 'clean' WHEN variant = 'mask_temporal_cue' AND NOT mc THEN 'notice' WHEN variant IN ('mask_temporal_cue', 'remove_evidence') THEN 'marker' ELSE variant END AS part
  FROM p WHERE source <> 'src0' AND NOT (variant = 'silent_removal' AND validity_tier <> 'strict')),
 r(condition, part, kind, available) AS (VALUES ('A', 'clean', 'clean', 1), ('A', 'marker', 'marker', 0), ('A', 'notice', 'marker', 0), ('B', 'clean', 'clean', 1), ('B', 'silent_removal', 'silent_removal', 0), ('B', 'silent_keep', 'silent_keep', 1),
  ('C', 'clean', 'clean', 1), ('C', 'marker', 'marker', 0), ('C', 'notice', 'marker', 0), ('C', 'silent_removal', 'silent_removal', 0), ('C', 'silent_keep', 'silent_keep', 1), ('D', 'clean', 'clean', 1), ('D', 'silent_removal', 'silent_removal', 0),
  ('E', 'clean', 'clean', 1), ('E', 'marker', 'marker', 0), ('E', 'notice', 'notice_intact', 1), ('E', 'silent_removal', 'silent_removal', 0), ('E', 'silent_keep', 'silent_keep', 1))
-SELECT r.condition, b.example_id, r.kind, r.available, b.gold_relation FROM b JOIN r ON r.part = b.part""")
+"""
+
+
+@query("s5_training_recipe", RECIPE + "SELECT r.condition, b.example_id, r.kind, r.available, b.gold_relation FROM b JOIN r ON r.part = b.part")
 def s5(spark, sf):
     return recipe(spark, sf).select("condition", "example_id", "kind", "available", "gold_relation")
 
 
-@query("s6_recipe_manifest", f"""WITH {PRED} SELECT 'D' AS condition, CASE WHEN variant = 'clean' THEN 'clean' ELSE 'silent_removal' END AS kind, CASE WHEN variant = 'clean' THEN 1 ELSE 0 END AS available, COUNT(*) AS n
-FROM p WHERE source <> 'src0' AND (variant = 'clean' OR variant = 'silent_removal' AND validity_tier = 'strict') GROUP BY 1, 2, 3""")
+@query("s6_recipe_manifest", RECIPE + "SELECT r.condition, r.kind, r.available, COUNT(*) AS n FROM b JOIN r ON r.part = b.part GROUP BY 1, 2, 3")
 def s6(spark, sf):
-    return splits.recipe_manifest(recipe(spark, sf)).where("condition = 'D'")
+    return splits.recipe_manifest(recipe(spark, sf))
 
 
 @query("s7_notice_flag", f"WITH {PRED} SELECT example_id, variant = 'mask_temporal_cue' AND NOT COALESCE(mc, FALSE) AS notice FROM p")
