@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tracewell.llm import bpe, packing, repetition, sharding
-from tracewell.llm.common import table
+from tracewell.llm import bpe, packing, quality, repetition, sharding, toxicity
+from tracewell.llm.common import id_remainder, table
 from tracewell.llm.registry import query
 
 
@@ -30,3 +30,19 @@ def op6(spark, sf_dir):
 @query("op5_speculative_bpe")
 def op5(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op8_nnpu_toxicity")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    features, model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~id_remainder("doc_id", 5, 0))
+    scored = toxicity.score(docs, features, model, out="score")
+    return scored.select("doc_id", id_remainder("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op9_nnpu_quality")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~id_remainder("doc_id", 3, 1))
+    scored = quality.score(docs, model, out="score")
+    return scored.select("doc_id", id_remainder("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
