@@ -34,7 +34,7 @@ def risk(z_pos: np.ndarray, z_unl: np.ndarray, prior: float) -> tuple[float, flo
     return prior * _softplus(-z_pos).mean(), _softplus(z_unl).mean() - prior * _softplus(z_pos).mean()
 
 
-def fit(x_pos: np.ndarray, x_unl: np.ndarray, prior: float | None, steps: int = STEPS) -> tuple[np.ndarray, float]:
+def fit(x_pos: np.ndarray, x_unl: np.ndarray, prior: float | None, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and bias of least non-negative risk, by full-batch Adam; deterministic.
 
     The negatives' part of the risk cannot be negative in truth. Where its estimate falls below zero the step goes
@@ -52,7 +52,7 @@ def fit(x_pos: np.ndarray, x_unl: np.ndarray, prior: float | None, steps: int =
             g_pos, g_unl = prior * (up - as_negative), unlabelled
         else:
             g_pos, g_unl = prior * as_negative, -unlabelled
-        g = np.append(g_pos.astype(x_pos.dtype) @ x_pos + g_unl.astype(x_unl.dtype) @ x_unl + RIDGE * w[:-1], g_pos.sum() + g_unl.sum())
+        g = np.append(g_pos.astype(x_pos.dtype) @ x_pos + g_unl.astype(x_unl.dtype) @ x_unl + ridge * w[:-1], g_pos.sum() + g_unl.sum())
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         rate = RATE * min(1.0, 2 * (1 - (step - 1) / steps))
         w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
@@ -82,7 +82,7 @@ def dense(features: list, width: int) -> np.ndarray:
     return out
 
 
-def train(examples: DataFrame, width: int, prior: float | None = None) -> Model:
+def train(examples: DataFrame, width: int, prior: float | None = None, ridge: float = RIDGE) -> Model:
     """The mean of the classifiers fitted to `examples`: positive boolean, id_hash long, features array<int>.
 
     `examples` is a bounded sample, its bound given by the operator that draws it; it is dealt to as many tasks as
@@ -98,7 +98,7 @@ def train(examples: DataFrame, width: int, prior: float | None = None) -> Model:
         x, pos, out = sides(rows)
         if any(not m.any() for m in (pos & out, ~pos & out, pos & ~out, ~pos & ~out)):
             return pd.DataFrame({"prior": np.zeros(0)})
-        w, _ = fit(x[pos & ~out], x[~pos & ~out], None)
+        w, _ = fit(x[pos & ~out], x[~pos & ~out], None, ridge)
         z = x[out] @ w
         return pd.DataFrame({"prior": [class_prior(z[pos[out]], z[~pos[out]])]})
 
@@ -111,7 +111,7 @@ def train(examples: DataFrame, width: int, prior: float | None = None) -> Model:
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         x, pos, out = sides(rows)
         if (pos & ~out).any() and (~pos & ~out).any():
-            w, b = fit(x[pos & ~out], x[~pos & ~out], prior)
+            w, b = fit(x[pos & ~out], x[~pos & ~out], prior, ridge)
         else:
             w, b = np.zeros(width), 4.0 if pos.any() else -4.0
         return pd.DataFrame({"weights": [np.asarray(w, "<f8").tobytes()], "bias": [b]})

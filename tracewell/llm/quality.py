@@ -14,6 +14,7 @@ from tracewell.llm.common import starts_of, steps, sums, word_ids
 #: Bounds of the sample that the classifiers are fitted to.
 MAX_POSITIVE = 6000
 MAX_UNLABELLED = 12000
+RIDGE = 1e-4
 #: Each measure falls into the class of the highest edge that it reaches.
 SHARES = (1e-9, 0.002, 0.01, 0.03, 0.06, 0.12, 0.2, 0.3, 0.45, 0.6, 0.8)
 LENGTHS = (2, 3, 4, 5, 6, 7, 8, 10, 14, 20)
@@ -119,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, trusted: Column | None = None, id_co
         for batch in batches:
             yield pa.array([row for raw in steps(batch) for row in shapes.features(raw).tolist()], pa.list_(pa.int32()))
 
-    return nnpu.train(sample.select("positive", "id_hash", present(F.col("text")).alias("features")), WIDTH)
+    return nnpu.train(sample.select("positive", "id_hash", present(F.col("text")).alias("features")), WIDTH, ridge=RIDGE)
 
 
 def score(docs: DataFrame, model: nnpu.Model, text_col: str = "text", out: str = "quality_score") -> DataFrame:

@@ -19,6 +19,8 @@ MAX_UNLABELLED = 15000
 #: Features kept, those most unevenly spread between toxic and unlabelled examples, and the least z value of one.
 FEATURES = 512
 LEAST_Z = 5.0
+#: How much larger its share of the toxic examples is, at least.
+LEAST_LIFT = 3.0
 #: Examples added to a feature's count, so that a rare feature needs more than chance to stand out.
 SMOOTHING = 10
 #: A feature is met in so many examples at least.
@@ -41,7 +43,7 @@ def word_features(word: bytes) -> list[bytes]:
 
 
 def telling_features(sample: DataFrame, limit: int = FEATURES) -> list[bytes]:
-    """The features whose shares of toxic and of unlabelled examples differ most, by the two-sample z value."""
+    """The features with a far larger share of the toxic than of the unlabelled examples, by the two-sample z value."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             positive, at = batch.column(0).to_pylist(), 0
@@ -59,7 +61,8 @@ def telling_features(sample: DataFrame, limit: int = FEATURES) -> list[bytes]:
     shared = (F.col("p") + F.col("u") + SMOOTHING) / (n_p + n_u + 2 * SMOOTHING)
     z = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(shared * (1 - shared) * (1 / n_p + 1 / n_u) + 1e-12)
     counts = sample.select("positive", "text").mapInArrow(count, "feature binary, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    best = counts.where(F.col("p") + F.col("u") >= LEAST_EXAMPLES).select("feature", F.abs(z).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(limit)
+    common = (F.col("p") + F.col("u") >= LEAST_EXAMPLES) & (F.col("p") / n_p >= LEAST_LIFT * F.col("u") / n_u)
+    best = counts.where(common).select("feature", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(limit)
     return [bytes(r["feature"]) for r in best.collect()]
 
 
