@@ -3,7 +3,7 @@
 import math
 import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ LEAST_LIFT = 3.0
 SMOOTHING = 10
 #: A feature is met in so many examples at least.
 LEAST_EXAMPLES = 5
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Words whose features a worker keeps before it starts anew.
 KEPT_WORDS = 600_000
 
@@ -38,8 +38,16 @@ def words(text: bytes) -> set[bytes]:
 
 
 def word_features(word: bytes) -> list[bytes]:
-    """The word itself, marked by a space, and its beginnings."""
-    return [b" " + word, *(word[:n] for n in PREFIXES if n <= len(word))]
+    """The word itself, marked by a space, and its beginnings short of the whole word."""
+    return [b" " + word, *(word[:n] for n in PREFIXES if n < len(word))]
+
+
+def features_of(found: Iterable[bytes]) -> Iterator[bytes]:
+    """The features of a text from those of its distinct words: each, and marked by a plus if two words share it."""
+    for feature, times in Counter(found).items():
+        yield feature
+        if times > 1:
+            yield b"+" + feature
 
 
 def telling_features(sample: DataFrame, limit: int = FEATURES) -> list[bytes]:
@@ -50,7 +58,7 @@ def telling_features(sample: DataFrame, limit: int = FEATURES) -> list[bytes]:
             for raw in steps(batch.column(1)):
                 both = (Counter(), Counter())
                 for text, toxic in zip(raw, positive[at:at + len(raw)]):
-                    both[toxic].update({f for w in words(text) for f in word_features(w)})
+                    both[toxic].update(features_of(f for w in words(text) for f in word_features(w)))
                 at += len(raw)
                 found = list(both[0] | both[1])
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *(pa.array([c[f] for f in found], pa.int64()) for c in both[::-1])],
@@ -67,23 +75,24 @@ def telling_features(sample: DataFrame, limit: int = FEATURES) -> list[bytes]:
 
 
 class Scorer:
-    """Finds the telling features of texts; the numbers of each word's features are kept."""
+    """Finds the telling features of texts; those of each word are kept."""
 
     def __init__(self, features: list[bytes]):
         self.number = {f: i for i, f in enumerate(features)}
+        self.parts = {f.removeprefix(b"+") for f in features}
         self.known: dict = {}
 
     def features(self, text: bytes) -> list[int]:
-        known, found = self.known, set()
+        known, found = self.known, []
         if len(known) > KEPT_WORDS:
             known.clear()
         for w in words(text):
             own = known.get(w)
             if own is None:
-                own = known[w] = tuple(self.number[f] for f in word_features(w) if f in self.number)
+                own = known[w] = tuple(f for f in word_features(w) if f in self.parts)
             if own:
-                found.update(own)
-        return sorted(found)
+                found += own
+        return sorted(self.number[f] for f in features_of(found) if f in self.number)
 
 
 def fit(docs: DataFrame, labels: DataFrame, trusted: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
