@@ -4,11 +4,20 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tracewell.llm import bpe, packing, quality, repetition, sharding, toxicity
+from tracewell.llm import bpe, language, packing, quality, repetition, sharding, toxicity
 from tracewell.llm.common import id_remainder, table
 from tracewell.llm.registry import query
 
 
+@query("op2_kneser_ney_language")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs, ~id_remainder("doc_id", 4, 2))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", id_remainder("doc_id", 4, 2).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score",
+                        "language.cross_entropy", "language.rejected")
+
+
 @query("op3_suffix_repetition")
 def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
