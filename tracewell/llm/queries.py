@@ -4,11 +4,16 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tracewell.llm import bpe, language, packing, quality, repetition, sharding, toxicity
+from tracewell.llm import bpe, language, packing, ppm, quality, repetition, sharding, toxicity
 from tracewell.llm.common import id_remainder, table
 from tracewell.llm.registry import query
 
 
+@query("op1_ppm_score")
+def op1(spark, sf_dir):
+    return ppm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~id_remainder("doc_id", 7, 2))
+
+
 @query("op2_kneser_ney_language")
 def op2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
