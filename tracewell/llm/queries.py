@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tracewell.llm import bpe, language, packing, ppm, quality, repetition, sharding, toxicity
+from tracewell.llm import bpe, language, near, packing, ppm, quality, repetition, sharding, toxicity
 from tracewell.llm.common import id_remainder, table
 from tracewell.llm.registry import query
 
@@ -60,3 +60,8 @@ def op9(spark, sf_dir):
     model = quality.fit(docs, table(spark, sf_dir, "labels"), ~id_remainder("doc_id", 3, 1))
     scored = quality.score(docs, model, out="score")
     return scored.select("doc_id", id_remainder("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_weighted_minhash")
+def op10(spark, sf_dir):
+    return near.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
