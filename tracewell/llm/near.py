@@ -26,8 +26,9 @@ BLOCK_BYTES = 16 << 20
 PART_SHINGLES = 2_000_000
 #: Members of a bucket that are compared with one another in a task.
 CHUNK = 2048
-#: A shingle's weight is its count times a whole number from UNIT (met in all documents) to 2 * UNIT (in one alone).
-UNIT = 64
+#: A shingle's weight is its count times a whole number: RARE up to FEW documents, and falling with the logarithm of
+#: their number to COMMON where all documents have it.
+RARE, COMMON, FEW = 128, 96, 16
 #: Bits of a shingle's key in its part, and draws of the sampling, which shingles share by hash.
 KEY_BITS = 40
 DRAWS = 1 << 16
@@ -94,10 +95,9 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 
 def idf(df: np.ndarray, n_docs: int) -> np.ndarray:
-    """Whole numbers from 2 * UNIT for a shingle of one document down to UNIT for one of all documents."""
-    if n_docs < 2:
-        return np.full(len(df), 2 * UNIT, np.int64)
-    return np.round(UNIT * (2 - np.log(df) / np.log(n_docs))).astype(np.int64)
+    """Smoothed inverse document frequencies of shingles, as whole numbers from RARE to COMMON."""
+    steepness = (RARE - COMMON) / np.log(max(2.0, n_docs / FEW))
+    return np.round(RARE - steepness * np.log(np.maximum(1.0, np.asarray(df) / FEW))).astype(np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -279,7 +279,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Two documents are linked if their words are equal, or if they share a band and the weighted Jaccard similarity
     of their shingles of five words is `similarity` or more; groups are what links connect. A shingle weighs its count
-    in the document times an inverse document frequency between 1 and 2, counted over all documents. At 0.8 two
+    in the document times a smoothed inverse document frequency, counted over all documents. At 0.8 two
     documents miss all bands in one case of five thousand.
 
     Documents with equal words count as one from the bands on. Each document is first compared with one centre of its
