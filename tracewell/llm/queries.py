@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tracewell.llm import bpe, language, near, packing, ppm, quality, repetition, sharding, toxicity
+from tracewell.llm import bpe, language, near, neighbours, packing, ppm, quality, repetition, sharding, toxicity
 from tracewell.llm.common import id_remainder, table
 from tracewell.llm.registry import query
 
@@ -46,6 +46,11 @@ def op5(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op7_multiprobe_neighbours")
+def op7(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op8_nnpu_toxicity")
 def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
