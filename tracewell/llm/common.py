@@ -21,19 +21,23 @@ def id_remainder(id_col: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder named in spark.checkpoint.dir and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir, which all machines share.
 
     Where the setting is missing, as in tests on a local master, a folder beside the warehouse is taken;
     a cluster without the setting is an error, as its machines share no other folder known here.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read from there."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
