@@ -25,7 +25,9 @@ BLOCK_BYTES = 16 << 20
 #: Shingles of each part that counts documents.
 PART_SHINGLES = 2_000_000
 #: Members of a bucket that are compared with one another in a task.
-CHUNK = 2048
+CHUNK = 1024
+#: Partners that a member names in the first round; each round names twice as many more, until none are left.
+PARTNERS = 4
 #: A shingle's weight is its count times a whole number: RARE up to FEW documents, and falling with the logarithm of
 #: their number to COMMON where all documents have it.
 RARE, COMMON, FEW = 128, 96, 16
@@ -249,27 +251,44 @@ def _verified(pairs: DataFrame, vectors: DataFrame, similarity: float) -> DataFr
     return joined.select("a", "b", value.alias("similarity")).where(F.col("similarity") >= similarity)
 
 
-def _likely_pairs(members: DataFrame) -> DataFrame:
-    """Pairs a, b of different components in a bucket with LIKELY equal samples or more.
+def _likely_pairs(members: DataFrame, low: int, width: int) -> DataFrame:
+    """Pairs a, b of different components in a bucket with LIKELY equal samples or more; a row with nulls if there are more.
 
     Members of a bucket are numbered and cut into chunks, and every two chunks meet in a task of their own that
-    compares samples; so no bucket meets in one task, and only likely pairs leave it.
+    compares samples; so no bucket meets in one task. A member names the partners that rank from `low` to
+    `low + width` by equal samples, and at first also those most like all members, as the original of many copies is.
     """
     chunked = numbered(members, ["bucket"], ["node"], "number").withColumn("chunk", F.floor(F.col("number") / CHUNK).cast("int"))
     last = chunked.groupBy("bucket").agg(F.max("chunk").alias("last"))
     spread = chunked.join(last, "bucket").select("bucket", "node", "component", "samples", "chunk", F.explode(F.sequence(F.lit(0), "last")).alias("other")).select(
-        "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "component", "samples")
+        "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component", "samples")
 
     def compare(rows: pa.Table) -> pa.Table:
-        node, component = rows["node"].to_numpy(), rows["component"].to_numpy()
-        samples = np.frombuffer(b"".join(rows["samples"].to_pylist()), np.uint32).reshape(-1, SAMPLES)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in range(len(node) - 1):
-            equal = (samples[i + 1:] == samples[i]).sum(axis=1)
-            at = np.flatnonzero((equal >= LIKELY * SAMPLES) & (component[i + 1:] != component[i])) + i + 1
-            a.append(np.minimum(node[i], node[at]))
-            b.append(np.maximum(node[i], node[at]))
-        return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        order = np.argsort(rows["node"].to_numpy())
+        node, component, chunk = (rows[c].to_numpy()[order] for c in ("node", "component", "chunk"))
+        samples = np.frombuffer(b"".join(rows["samples"].to_pylist()), np.uint32).reshape(-1, SAMPLES)[order]
+        within, out, more = rows["i"][0] == rows["j"][0], [np.zeros((0, 2), np.int64)], False
+        equal = np.zeros((len(node), len(node)), np.uint8)
+        for k in range(SAMPLES):
+            equal += samples[:, k, None] == samples[None, :, k]
+        if not within:
+            equal[chunk[:, None] == chunk[None, :]] = 0
+        equal[np.arange(len(node)), np.arange(len(node))] = 0
+        equal[equal < LIKELY * SAMPLES] = 0
+        central = np.argsort(-equal.sum(axis=1, dtype=np.int64), kind="stable")
+        for i in range(len(node)):
+            at = np.flatnonzero(equal[i])
+            at = at[np.argsort(-equal[i, at].astype(np.int64), kind="stable")]
+            apart = component[at] != component[i]
+            more |= bool(apart[low + width:].any())
+            named = at[low:low + width][apart[low:low + width]]
+            if low == 0 and len(at):
+                hubs = central[equal[i, central] > 0][:width]
+                named = np.append(named, hubs[component[hubs] != component[i]])
+            if len(named):
+                out.append(np.stack([np.minimum(node[i], node[named]), np.maximum(node[i], node[named])], axis=1))
+        found = np.unique(np.concatenate(out), axis=0)
+        return pa.table([pa.array([*found[:, 0].tolist(), *[None] * more], pa.int64()), pa.array([*found[:, 1].tolist(), *[None] * more], pa.int64())], names=["a", "b"])
 
     return spread.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
@@ -284,8 +303,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents with equal words count as one from the bands on. Each document is first compared with one centre of its
     buckets, the one it shares most bands with; what is then still apart in a bucket is compared by samples, and
-    likely pairs exactly. So groups of copies cost one comparison a member, and no link between members of different
-    groups is skipped.
+    likely pairs exactly, the likeliest first, in rounds that end when no likely pair is left between groups. So a
+    group of copies costs a few comparisons a member, and no link between members of different groups is skipped.
 
     One row of each group is `kept`. A null or empty text, or one without words, is a group of its own; repeated rows
     are copies of one another; ties go to the least id, a null id coming first. Other columns are not read; no rows
@@ -307,12 +326,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = shared.groupBy("node").agg(F.max(F.struct("bands", (-F.col("centre")).alias("centre"))).alias("best"))
     links = checkpointed(_verified(first.select((-F.col("best.centre")).alias("a"), F.col("node").alias("b")), vectors, similarity).select("a", "b"))
 
-    found = components(links)
-    labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    rest = _likely_pairs(labelled.join(mixed, "bucket", "left_semi"))
-    more = checkpointed(_verified(rest, vectors, similarity).select("a", "b"))
-    found = components(links.unionAll(more))
+    found, low, width, more = components(links), 0, PARTNERS, True
+    while more:
+        labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+        rest = checkpointed(_likely_pairs(labelled.join(mixed, "bucket", "left_semi"), low, width))
+        linked = checkpointed(_verified(rest.where("a IS NOT NULL"), vectors, similarity).select("a", "b"))
+        if not linked.isEmpty():
+            links = links.unionAll(linked)
+            found = components(links)
+        more, low, width = not rest.where("a IS NULL").isEmpty(), low + width, 2 * width
 
     of_digest = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     placed_rows = rows.select("id", "row", "digest").join(of_digest, "digest", "left").withColumn("component", F.coalesce("component", "row"))
