@@ -99,12 +99,17 @@ def fit(docs: DataFrame, labels: DataFrame, trusted: Column | None = None, id_co
         label_col: str = "toxic") -> tuple[list[bytes], nnpu.Model]:
     """Telling features and classifier, from rows of `labels` and `docs` where `trusted` (on the id) holds.
 
-    Only the ids labelled 1 are used as labels; all other rows, labelled or not, serve as unlabelled text.
+    The examples' labels are those of the ids labelled 1; all other rows, labelled or not, serve as unlabelled text.
+    The class prior is the toxic share of all labels, or, where they name positives alone, estimated from scores.
+    Where no feature is telling, as with very few examples, every text gets the same low probability.
     """
     trusted = F.lit(True) if trusted is None else trusted
     positives = labels.where(trusted & (F.col(label_col) == 1))
+    share = labels.where(trusted).agg(F.avg(F.when(F.col(label_col) == 1, 1.0).when(F.col(label_col) == 0, 0.0)).alias("toxic")).first()["toxic"]
     sample = nnpu.sample(docs, positives, trusted, id_col, text_col, MAX_POSITIVE, MAX_UNLABELLED)
     features = telling_features(sample)
+    if not features:
+        return features, nnpu.Model(np.zeros(1), -4.0, 0.0)
 
     @F.arrow_udf("array<int>")
     def present(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -113,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, trusted: Column | None = None, id_co
             yield pa.array([scorer.features(t) for raw in steps(batch) for t in raw], pa.list_(pa.int32()))
 
     examples = sample.select("positive", "id_hash", present(F.col("text")).alias("features"))
-    return features, nnpu.train(examples, max(1, len(features)))
+    return features, nnpu.train(examples, len(features), prior=share if share and share < 1 else None)
 
 
 def score(docs: DataFrame, features: list[bytes], model: nnpu.Model, text_col: str = "text", out: str = "toxicity") -> DataFrame:
