@@ -19,7 +19,9 @@ START, END = 0xFE, 0xFF
 #: Bytes below START, and the end.
 ALPHABET = 255
 #: Text bytes that one task scores at a time.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
+#: Text bytes that one numpy step works on; each takes some forty bytes there.
+STEP_BYTES = 1 << 20
 #: Grams of the trie, and text bytes of the questions about them, for each part that answers the questions.
 PART_GRAMS = 200_000
 PART_BYTES = 64 << 20
@@ -73,59 +75,79 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
-def _prefix(length: int) -> Column:
-    """The gram of this length that ends at the newest symbol of `code`."""
-    return F.shiftrightunsigned("code", 8 * (DEPTH + 1 - length))
+def _totals(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their values."""
+    own, where = np.unique(keys, return_inverse=True)
+    return own, np.bincount(where, values, len(own)).astype(np.int64)
 
 
-def _context(gram: Column, length: int) -> Column:
-    """What precedes the newest symbol in a gram of length + 1."""
-    return gram.bitwiseAND(F.lit((1 << (8 * length)) - 1))
+def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value of each wanted key, 0 where it is none of the sorted keys."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[place] == wanted, values[place], 0)
 
 
-def gram_probabilities(counts: DataFrame) -> DataFrame:
-    """log10 of the probability of each gram's newest symbol after the rest of it: code, log_p.
-
-    `counts` has every gram to be scored once, with its count in the training texts, 0 if it has none. The trie is
-    kept as one table for each length: `n` of every gram, and for every context the number N of symbols that followed
-    it, the number T of different ones, and X, what these have together in the next shorter context. The longest
-    context that the training texts hold gives its symbols 2 n - 1 of 2 N and the escape T of 2 N. After an escape,
-    the symbols of the longer context are excluded from the shorter one: its N is less by X and its T by the longer
-    one's T. Beyond the empty context all symbols never seen share what is left alike.
+def log_probabilities(code: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """log10 of the probability of the newest symbol of each gram after the rest of it.
+
+    The grams are all those with the same two symbols before the newest one, so that they hold every count of the
+    contexts of two symbols or more; `pairs` has the counts of symbols (rows) after one symbol (columns). Every
+    context has the number N of symbols that followed it, the number T of different ones, and X, what these have
+    together in the next shorter context. The longest context that the training texts hold gives its symbols 2 n - 1
+    of 2 N and the escape T of 2 N. After an escape, the symbols of the longer context are excluded from the shorter
+    one: its N is less by X and its T by the longer one's T. Beyond the empty context all symbols never seen share
+    what is left alike.
     """
-    grams = {DEPTH + 1: counts.where("n > 0").select(F.col("code").alias("gram"), "n")}
-    for length in range(DEPTH, 0, -1):
-        grams[length] = grams[length + 1].groupBy(F.shiftrightunsigned("gram", 8).alias("gram")).agg(F.sum("n").alias("n"))
-    bounded = lambda df, length: F.broadcast(df) if length <= 2 else df  # noqa: E731  at most 2^16 grams of two bytes
-    contexts = {}
-    for length in range(1, DEPTH + 1):
-        shorter = grams[length].select(F.col("gram").alias("shorter"), F.col("n").alias("n_shorter"))
-        children = grams[length + 1].withColumn("shorter", F.shiftrightunsigned("gram", 8)).join(bounded(shorter, length), "shorter")
-        contexts[length] = children.groupBy(_context(F.col("gram"), length).alias(f"c{length}")).agg(
-            F.sum("n").alias(f"N{length}"), F.count("n").alias(f"T{length}"), F.sum("n_shorter").alias(f"X{length}"))
-    whole = grams[1].agg(F.sum("n").alias("n"), F.count("n").alias("t")).first()
-    total, kinds = whole["n"] or 0, whole["t"]
-
-    longest = counts.withColumn(f"c{DEPTH}", _context(F.col("code"), DEPTH)).join(contexts[DEPTH], f"c{DEPTH}", "left")
-    seen = longest.where("n > 0").select("code", F.log10((2 * F.col("n") - 1) / (2 * F.col(f"N{DEPTH}"))).alias("log_p"))
-    rest = longest.where("n = 0").withColumn("n_here", F.lit(None).cast("long")).withColumn("log_p", F.lit(0.0)).withColumn("done", F.lit(False))
+    single = pairs.sum(axis=1)
+    known, symbols = n > 0, code >> np.uint64(8 * DEPTH)
+    grams = {k: _totals(code[known] >> np.uint64(8 * (DEPTH - k)), n[known]) for k in range(2, DEPTH + 1)}
+    out, done = np.zeros(len(code)), np.zeros(len(code), bool)
+    kinds_above, shared_above = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
     for k in range(DEPTH, -1, -1):
-        here = f"N{k}", f"T{k}"
-        if k < DEPTH:
-            own = grams[k + 1].select(F.col("gram").alias("g"), F.col("n").alias("n_own"))
-            rest = rest.withColumn("g", _prefix(k + 1)).join(bounded(own, k + 1), "g", "left").drop("g").withColumn("n_here", F.col("n_own")).drop("n_own")
-            if k:
-                rest = rest.withColumn(f"c{k}", _context(_prefix(k + 1), k)).join(bounded(contexts[k], k), f"c{k}", "left")
-            else:
-                rest = rest.withColumn("N0", F.lit(total).cast("long")).withColumn("T0", F.lit(kinds).cast("long"))
-        n, t = (F.coalesce(F.col(x), F.lit(0)) for x in here)
-        if k < DEPTH:
-            n, t = n - F.coalesce(F.col(f"X{k + 1}"), F.lit(0)), t - F.coalesce(F.col(f"T{k + 1}"), F.lit(0))
-        hit = F.coalesce(F.col("n_here"), F.lit(0)) > 0
-        step = F.when(hit, F.log10((2 * F.col("n_here") - 1) / (2 * n))).when(n > 0, F.log10(t / (2 * n))).otherwise(0.0)
-        rest = rest.withColumn("log_p", F.when(F.col("done"), F.col("log_p")).otherwise(F.col("log_p") + step)).withColumn("done", F.col("done") | hit)
-    unseen = F.log10(F.lit(1.0 / max(1, ALPHABET - kinds)))
-    return seen.unionAll(rest.select("code", F.when(F.col("done"), F.col("log_p")).otherwise(F.col("log_p") + unseen)))
+        if k >= 2:
+            gram, count = grams[k]
+            mask = np.uint64((1 << (8 * k)) - 1)
+            shorter = _at(*grams[k - 1], gram >> np.uint64(8)) if k > 2 else pairs[(gram >> np.uint64(16)).astype(np.int64), (gram >> np.uint64(8) & np.uint64(255)).astype(np.int64)]
+            context, total = _totals(gram & mask, count)
+            own = code >> np.uint64(8 * (DEPTH - k))
+            here = _at(gram, count, own)
+            all_, kinds, shared = (_at(context, v, own & mask) for v in (total, _totals(gram & mask, np.ones(len(gram)))[1], _totals(gram & mask, shorter)[1]))
+        elif k == 1:
+            before = (code >> np.uint64(8 * (DEPTH - 1)) & np.uint64(255)).astype(np.int64)
+            here = pairs[symbols.astype(np.int64), before]
+            all_, kinds, shared = pairs.sum(axis=0)[before], (pairs > 0).sum(axis=0)[before], ((pairs > 0) * single[:, None]).sum(axis=0)[before]
+        else:
+            here, shared = single[symbols.astype(np.int64)], np.zeros(len(code), np.int64)
+            all_, kinds = np.full(len(code), single.sum()), np.full(len(code), (single > 0).sum())
+        left, new = all_ - shared_above, kinds - kinds_above
+        hit = here > 0
+        share = np.where(hit, 2 * here - 1, new) / np.maximum(1, 2 * left)
+        step = ~done & (left > 0)
+        out[step] += np.log10(share[step])
+        done |= hit
+        kinds_above, shared_above = kinds, shared
+    return np.where(done, out, out - np.log10(max(1, ALPHABET - (single > 0).sum())))
+
+
+def gram_probabilities(counts: DataFrame) -> DataFrame:
+    """code and log_p of each gram of `counts`, which has code and n, its count in the training texts, 0 if none.
+
+    The trie is dealt by the two symbols before the newest one, at most 2^16 branches; each is worked on alone, beside
+    the counts of pairs of symbols, at most 2^16, which all share.
+    """
+    pair = F.shiftrightunsigned("code", 8 * (DEPTH - 1))
+    pairs = np.zeros((256, 256), np.int64)
+    for r in counts.where("n > 0").groupBy(pair.alias("pair")).agg(F.sum("n").alias("n")).collect():
+        pairs[r["pair"] >> 8, r["pair"] & 255] = r["n"]
+    branch = F.shiftrightunsigned("code", 8 * (DEPTH - 2)).bitwiseAND(F.lit(0xFFFF))
+
+    def known(rows: pa.Table) -> pa.Table:
+        code = rows["code"].to_numpy().astype(np.uint64)
+        return pa.table([rows["code"], pa.array(log_probabilities(code, rows["n"].to_numpy(), pairs))], names=["code", "log_p"])
+
+    return counts.withColumn("branch", branch).groupBy("branch").applyInArrow(known, "code long, log_p double")
 
 
 def _gram_counts(docs: DataFrame) -> DataFrame:
@@ -133,7 +155,7 @@ def _gram_counts(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             trained, at = np.array(batch.column(1).to_pylist(), bool), 0
-            for raw in steps(batch.column(0)):
+            for raw in steps(batch.column(0), STEP_BYTES):
                 own, at = trained[at:at + len(raw)], at + len(raw)
                 codes, sizes = gram_codes([t.lower() for t in raw])
                 mine = np.repeat(own, sizes)
@@ -146,7 +168,7 @@ def _gram_counts(docs: DataFrame) -> DataFrame:
 
 
 def _distinct_of(texts: pa.ChunkedArray) -> np.ndarray:
-    own = [distinct_codes(gram_codes([t.lower() for t in raw])[0])[0] for raw in steps(texts)]
+    own = [distinct_codes(gram_codes([t.lower() for t in raw])[0])[0] for raw in steps(texts, STEP_BYTES)]
     return distinct_codes(np.concatenate([np.zeros(0, np.uint64), *own]))[0]
 
 
@@ -199,7 +221,7 @@ def _word_answers(placed: DataFrame) -> DataFrame:
     that has the word: block, word, n, first."""
     def ask(block: pa.Table) -> pa.Table:
         trained, words, others, at = block["trained"].to_numpy(), Counter(), set(), 0
-        for raw in steps(block["text"]):
+        for raw in steps(block["text"], STEP_BYTES):
             own, at = trained[at:at + len(raw)], at + len(raw)
             for text, yes in zip(raw, own):
                 (words if yes else others).update(text.lower().split())
@@ -248,7 +270,7 @@ def score(docs: DataFrame, trained: Column, id_col: str = "doc_id", text_col: st
             logs[bounds[p]:bounds[p + 1]] = np.frombuffer(own, np.float32)
         order = np.argsort(codes)
         codes, logs = codes[order], logs[order]
-        for raw in steps(block["text"]):
+        for raw in steps(block["text"], STEP_BYTES):
             raw = [t.lower() for t in raw]
             symbols, sizes = gram_codes(raw)
             total = sums(looked_up(symbols, codes, logs), sizes)
