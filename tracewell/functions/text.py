@@ -2,8 +2,10 @@
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tracewell import constants as K
 from tracewell.functions.hashing import draw_index
@@ -215,13 +217,20 @@ def tokens(text) -> Column:
 def novel_frac(original, edited) -> Column:
     """Share of the edited text's tokens, with repeats, that the original does not have.
 
-    Membership is tested per distinct token through set difference, then repeats are counted
-    against the (short) set of new tokens only.
+    Tokens are found by column functions; membership is tested against a set, one Arrow batch at a
+    time, so the work grows with the length of the texts. NULL where a text is NULL.
     """
-    repeats = lambda new, unseen: F.when(F.size(unseen) == 0, F.lit(0)).otherwise(
-        F.size(F.filter(new, lambda t: F.array_contains(unseen, t))))
-    return let(tokens(edited), lambda new: let(
-        F.array_except(new, tokens(original)), lambda unseen: repeats(new, unseen) / F.greatest(F.lit(1), F.size(new))))
+    def share(old: pa.Array, new: pa.Array) -> pa.Array:
+        out = []
+        for a, b in zip(old, new):
+            if not (a.is_valid and b.is_valid):
+                out.append(None)
+                continue
+            known, words = set(a.as_py()), b.as_py()
+            out.append(sum(w not in known for w in words) / max(1, len(words)))
+        return pa.array(out, pa.float64())
+
+    return F.arrow_udf(share, DoubleType())(tokens(original), tokens(edited))
 
 
 def length_ratio(original, edited) -> Column:

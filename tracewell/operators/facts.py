@@ -42,19 +42,23 @@ def _blocks(start: Column, end: Column, bits: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bits)), level))
 
 
-def active_state(facts: DataFrame, points: DataFrame, day_bits: int = 16) -> DataFrame:
+#: Any INT day, moved to 0 and up, lies below 2**DAY_BITS.
+DAY_BITS = 32
+
+
+def active_state(facts: DataFrame, points: DataFrame) -> DataFrame:
     """Active fact per query point: `fact_id` and `value`, NULL when none is active.
 
     A fact is active from its day until the first day on which a fact revising it is known; among
     the active facts of a concept the one with the highest `ord` counts. `points` holds distinct
-    patient_id, concept_type, day; days lie within +-2**(day_bits - 1).
+    patient_id, concept_type, day; any INT day will do.
 
     No pair of fact and point is formed beyond the answers. Facts never revised are reduced to one
     row per day and carried forward by a window over days. Revised facts hold for a closed interval;
-    intervals are cut into aligned blocks, reduced to one row per block and looked up by the
-    `day_bits + 1` blocks that contain a point.
+    intervals are cut into aligned blocks, reduced to one row per block. A point looks up the blocks
+    that contain it on those levels that its key has blocks on; keys without revised facts have none.
     """
-    offset = 1 << (day_bits - 1)
+    offset = 1 << (DAY_BITS - 1)
     revisers = (facts.where(F.col("revises").isNotNull())
                 .groupBy(F.col("revises").alias("fact_id")).agg(F.min("day").alias("_until")))
     known = facts.select(*KEY, "day", "fact_id", F.struct("ord", "fact_id", "value").alias("_f"))
@@ -71,11 +75,12 @@ def active_state(facts: DataFrame, points: DataFrame, day_bits: int = 16) -> Dat
     start, end = F.col("day").cast("long") + offset, F.col("_until").cast("long") + offset
     nodes = (
         closed.groupBy(*KEY, "day", "_until").agg(F.max("_f").alias("_f"))
-        .select(*KEY, "_f", F.explode(_blocks(start, end, day_bits)).alias("_b"))
+        .select(*KEY, "_f", F.explode(_blocks(start, end, DAY_BITS)).alias("_b"))
         .groupBy(*KEY, F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block"))
         .agg(F.max("_f").alias("_f"))
     )
-    probes = points.select(*KEY, "day", F.explode(F.sequence(F.lit(0), F.lit(day_bits))).alias("_level")).withColumn(
+    levels = nodes.select(*KEY, "_level").distinct()
+    probes = points.select(*KEY, "day").join(levels, KEY).withColumn(
         "_block", F.floor((F.col("day").cast("long") + offset) / _power(F.col("_level"))))
     stabbed = probes.join(nodes, KEY + ["_level", "_block"]).select(*KEY, "day", "_f")
 

@@ -113,7 +113,7 @@ def revision_chains(edges: DataFrame, heads: DataFrame, max_rounds: int = 40) ->
 
     `edges` is (new, old) with one parent per new fact; `heads` is (head). Ancestor pointers are
     doubled each round, so a chain of d facts needs about log2(d) joins. Chains that run into a
-    cycle stop when a round finds no new member.
+    cycle stop when a round finds no new member; rounds that run out are an error.
     """
     reach = heads.select("head", F.col("head").alias("fact_id"), F.lit(0).alias("depth"))
     jump = edges.select(F.col("new").alias("_from"), F.col("old").alias("_to"))
@@ -127,9 +127,9 @@ def revision_chains(edges: DataFrame, heads: DataFrame, max_rounds: int = 40) ->
         jump = cut_lineage(jump)
         step *= 2
         if new_size == size or jump.isEmpty():
-            break
+            return reach
         size = new_size
-    return reach
+    raise ValueError(f"a revision chain goes on after {max_rounds} doublings")
 
 
 def chain_heads(rep: Representation) -> tuple[DataFrame, DataFrame]:

@@ -4,6 +4,7 @@ None of them sorts all rows in one place. Rows are reduced to distinct scores wh
 cumulated in score blocks (`operators.running`).
 """
 
+import math
 import sys
 
 import numpy as np
@@ -117,14 +118,14 @@ def hash_text(text: str) -> int:
 def threshold_for_coverage(df: DataFrame, keys: list[str], score: str, target: float) -> DataFrame:
     """Score whose coverage (share of rows at or above it) is closest to the target.
 
-    Equal gaps (to 1e-12) keep the smallest score. Rows without a score count in the coverage but
-    are no candidates.
+    Equal gaps (to 1e-12) keep the smallest score. Rows without a score, or with one that is no
+    number, rank below all others; only finite scores are candidates.
     """
-    cells = df.groupBy(*keys, F.coalesce(F.col(score), F.lit(MISSING)).alias("score")).agg(F.count("*").alias("_n"))
+    cells = df.groupBy(*keys, F.coalesce(F.nanvl(F.col(score).cast("double"), F.lit(MISSING)), F.lit(MISSING)).alias("score")).agg(F.count("*").alias("_n"))
     ranked = prefix_sums(cells, keys, score_block(F.col("score")), ["score"], {"_below": F.col("_n")}, totals=True)
     coverage = (F.col("_below_total") - F.col("_below")) / F.col("_below_total")
     gap = F.round(F.abs(coverage - F.lit(target)), 12)
-    finite = ranked.where(F.col("score") > MISSING)
+    finite = ranked.where((F.col("score") > MISSING) & (F.col("score") < float("inf")))
     return finite.groupBy(*keys).agg(F.min_by(
         F.struct(F.col("score").alias("threshold"), coverage.alias("coverage")), F.struct(gap, F.col("score"))).alias("_b")
     ).select(*keys, "_b.*")
@@ -219,6 +220,35 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
     return ranked.groupBy(*keys).agg(*picks)
 
 
+def draw_hypergeometric(rng: np.random.Generator, good: int, bad: int, sizes: np.ndarray) -> np.ndarray:
+    """Good ones among `sizes` drawn without replacement; for counts of any size.
+
+    Ratio of uniforms over the logarithm of the probability: a box around the hat of the law is hit
+    until the point lies below it. The box has half-width 1.716 sd + 0.899, which covers every
+    hypergeometric law.
+    """
+    log_factorial = np.vectorize(lambda x: math.lgamma(x + 1.0), otypes=[float])
+
+    def log_weight(k, size):
+        return -(log_factorial(k) + log_factorial(good - k) + log_factorial(size - k) + log_factorial(bad - size + k))
+
+    low, high = np.maximum(0, sizes - bad), np.minimum(good, sizes)
+    out, open_ = low.astype(np.int64), np.flatnonzero(low < high)
+    share = good / max(1, good + bad)
+    while len(open_):
+        size, lo, hi = sizes[open_].astype(float), low[open_], high[open_]
+        spread = np.sqrt(size * share * (1 - share) * (good + bad - size) / max(1, good + bad - 1) + 0.5)
+        mode = np.clip(np.floor((size + 1) * (good + 1) / (good + bad + 2)), lo, hi)
+        u, v = 1 - rng.random(len(open_)), rng.random(len(open_))
+        k = np.floor(size * share + 0.5 + (1.7155277699214135 * spread + 0.8989161620588988) * (v - 0.5) / u)
+        inside = (k >= lo) & (k <= hi)
+        k = np.clip(k, lo, hi)
+        taken = inside & (2 * np.log(u) <= log_weight(k, size) - log_weight(mode, size))
+        out[open_[taken]] = k[taken].astype(np.int64)
+        open_ = open_[~taken]
+    return out
+
+
 def random_matched_coverage(df: DataFrame, keys: list[str], answered: Column, correct: Column, target: float,
                             repeats: int = 1000, seed: int = 7) -> DataFrame:
     """Accuracy of random subsets of the target size.
@@ -240,16 +270,9 @@ def random_matched_coverage(df: DataFrame, keys: list[str], answered: Column, co
                 n, ans, ok = int(row["n_total"]), int(row["_ans"]), int(row["_ok"])
                 size = min(max(1, round(target * n)), n)
                 rng = np.random.default_rng([seed, *[hash_text(str(row[k])) for k in names]])
-                if n < 10**9:
-                    drawn = rng.multivariate_hypergeometric([ok, ans - ok, n - ans], size, size=repeats)
-                else:  # numpy's limit; for such counts the normal limit is exact to every printed digit
-                    shrink = np.sqrt((n - size) / (n - 1))
-                    p_ans, p_ok = ans / n, ok / max(1, ans)
-                    a = rng.normal(size * p_ans, shrink * np.sqrt(size * p_ans * (1 - p_ans)), repeats)
-                    c = rng.normal(a * p_ok, shrink * np.sqrt(np.maximum(a, 0) * p_ok * (1 - p_ok)))
-                    drawn = np.stack([c, a - c, size - a], axis=1)
-                total = drawn[:, 0] + drawn[:, 1]
-                acc = np.where(total > 0, drawn[:, 0] / np.maximum(total, 1), 0.0)
+                total = draw_hypergeometric(rng, ans, n - ans, np.full(repeats, size))
+                right = draw_hypergeometric(rng, ok, ans - ok, total)
+                acc = np.where(total > 0, right / np.maximum(total, 1), 0.0)
                 rows.append({**{k: row[k] for k in names}, "n_selected": size, "mean_accuracy": acc.mean(),
                              "accuracy_lo": np.percentile(acc, 2.5), "accuracy_hi": np.percentile(acc, 97.5),
                              "mean_answered": total.mean()})

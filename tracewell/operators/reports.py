@@ -34,8 +34,9 @@ def rate(cond: Column, base: Column) -> Column:
 
 
 def per_model(df: DataFrame, *aggs: Column) -> DataFrame:
-    """Aggregates per model plus a row `overall`."""
-    return df.rollup("model").agg(*aggs).withColumn("model", F.coalesce("model", F.lit("overall")))
+    """Aggregates per model plus a row `overall`; rows without a model count in the latter alone."""
+    out = df.rollup("model").agg(*aggs, F.grouping("model").alias("_all"))
+    return out.where(F.col("model").isNotNull() | (F.col("_all") == 1)).withColumn("model", F.coalesce("model", F.lit("overall"))).drop("_all")
 
 
 # ---------------------------------------------------------------- selective prediction
@@ -207,10 +208,14 @@ def _summary(z=K.Z_ROUNDED):
 
 
 def paired_clean(members: DataFrame, clean: DataFrame, keys: list[str]) -> DataFrame:
-    """Clean results on the base notes of each group: members holds keys and base_id."""
+    """Clean results on the base notes of each group: members holds keys and base_id.
+
+    A group of a model is held against the clean results of that model, where they name one.
+    """
+    on = ["example_id", *(["model"] if "model" in keys and "model" in clean.columns else [])]
     base = members.select(*keys, F.col("base_id").alias("example_id")).distinct()
-    side = clean.select("example_id", answered().alias("_a"), correct().alias("_o"))
-    return base.join(side, "example_id").groupBy(*keys).agg(
+    side = clean.select(*on, answered().alias("_a"), correct().alias("_o"))
+    return base.join(side, on).groupBy(*keys).agg(
         F.count("*").alias("clean_n_same_notes"), F.avg(F.col("_a").cast("int")).alias("clean_coverage_same_notes"),
         ratio(n_of(F.col("_o")), n_of(F.col("_a"))).alias("clean_answered_accuracy_same_notes"))
 
@@ -255,12 +260,13 @@ def control_composition(control: DataFrame, token: str = K.MASK_TOKEN) -> DataFr
 
 def per_class_breakdown(control: DataFrame, clean: DataFrame, relations=K.RELATIONS) -> DataFrame:
     """Coverage, accuracy and predicted classes per variant, tier (and over tiers) and gold class,
-    on the edited notes and on the clean versions of the same notes."""
+    on the edited notes and on the clean versions of the same notes, by the same model where both name one."""
+    own = ["model"] if "model" in control.columns and "model" in clean.columns else []
     tier = F.coalesce("validity_tier", F.lit("keep"))
     edited = control.select("variant", tier.alias("tier"), "gold_relation", "answer", "abstained", F.lit("edited").alias("condition"))
-    side = clean.select("example_id", "answer", "abstained")
-    paired = control.select("variant", tier.alias("tier"), "gold_relation", F.col("base_id").alias("example_id")).join(
-        side, "example_id").select("variant", "tier", "gold_relation", "answer", "abstained", F.lit("clean_same_notes").alias("condition"))
+    side = clean.select("example_id", *own, "answer", "abstained")
+    paired = control.select("variant", tier.alias("tier"), "gold_relation", *own, F.col("base_id").alias("example_id")).join(
+        side, ["example_id", *own]).select("variant", "tier", "gold_relation", "answer", "abstained", F.lit("clean_same_notes").alias("condition"))
     rows = edited.unionByName(paired).where(F.col("variant").isNotNull() & F.col("gold_relation").isNotNull())
     ans = answered()
     share = {f"pred_{i}": rate(F.col("answer").eqNullSafe(F.lit(r)), ans) for i, r in enumerate(relations)}

@@ -1,15 +1,13 @@
 """Session helpers."""
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the reliable checkpoint folder and go on from there.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`. A folder of our own is only
-    set on a local master without one, as in tests.
+    The folder is the one the cluster names in `spark.checkpoint.dir`. On a local master without one,
+    as in tests, it is a folder of the warehouse.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -18,7 +16,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         if configured:
             context.setCheckpointDir(configured)
         elif context.master.startswith("local"):
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="tracewell-checkpoint-"))
+            context.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
         else:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return df.checkpoint(eager=True)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tracewell import constants as K
 from tracewell import schemas
@@ -142,7 +142,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
                                          F.monotonically_increasing_id().alias("_line"))
     bad = "_corrupt_record"
     parsed = lines.where(F.trim("value") != "").withColumn(
-        "_r", F.from_json("value", schema.add(bad, "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}))
+        "_r", F.from_json("value", StructType([*schema.fields, StructField(bad, StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}))
     return parsed.where(F.col(f"_r.{bad}").isNull() & F.col("_r").isNotNull()).select("_r.*", "_file", "_block", "_line").drop(bad)
 
 
