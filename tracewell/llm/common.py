@@ -1,7 +1,9 @@
 """Helpers shared by the operators of this folder."""
 
 import math
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,10 @@ STEP_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; also lets Python workers import this library from the place where the driver has it."""
+    root, paths = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
