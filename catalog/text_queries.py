@@ -263,14 +263,29 @@ SELECT note_id, CASE WHEN LENGTH(s) >= 8 AND STRPOS(text, s) > 0 THEN LENGTH(s)
 FROM (SELECT note_id, text, TRIM(SUBSTR(text, 8, 30), E' \\t\\n\\r') AS s FROM {f_notes}) n""")
 def e9(spark, sf):
     n = notes(spark, sf).withColumn("cited", F.array(F.substring("text", 8, 30)))
-    return spans.locate_spans_fuzzy(n, "note_id", "text", "cited").select("note_id", "coverage_chars")
+    return spans.locate_spans_fuzzy(n, "text", "cited").select("note_id", "coverage_chars")
 
 
-@query("e9_locate_spans_fuzzy")
+@query("e9_locate_spans_fuzzy", """
+SELECT note_id, CASE WHEN ok THEN 1 ELSE 0 END AS n_ranges, CASE WHEN ok THEN STRPOS(text, s) - 1 END AS start, CASE WHEN ok THEN STRPOS(text, s) - 1 + LENGTH(s) END AS stop,
+  CASE WHEN ok THEN LENGTH(s) ELSE 0 END AS coverage_chars
+FROM (SELECT *, LENGTH(s) >= 8 AND LENGTH(s) >= 0.85 * (LENGTH(s) + 1) AS ok FROM (
+  SELECT note_id, text, LTRIM(SUBSTR(text, GREATEST(1, CAST(LENGTH(text) // 2 AS INT)), 30), E' \\t\\n\\r') AS s FROM {f_notes}) m) n""")
 def e9_fuzzy(spark, sf):
-    # The cited span has one foreign character at its end, so it never occurs verbatim.
-    n = notes(spark, sf).withColumn("cited", F.array(F.concat(F.substring("text", 8, 30), F.lit("§"))))
-    return spans.locate_spans_fuzzy(n, "note_id", "text", "cited").select("note_id", "ranges", "coverage_chars")
+    # The cited span, from the middle of the text, has one foreign character at its end, so it never occurs verbatim.
+    cited = F.concat(F.substr("text", F.greatest(F.lit(1), F.floor(F.char_length("text") / 2).cast("int")), F.lit(30)), F.lit("§"))
+    found = spans.locate_spans_fuzzy(notes(spark, sf).withColumn("cited", F.array(cited)), "text", "cited")
+    first = F.get("ranges", F.lit(0))
+    return found.select("note_id", F.size("ranges").alias("n_ranges"), first["start"].alias("start"), first["end"].alias("stop"), "coverage_chars")
+
+
+@query("e9_repeated_ids", """
+SELECT note_id, COUNT(*) AS n_rows, SUM(CASE WHEN LENGTH(s) >= 8 AND STRPOS(text, s) > 0 THEN LENGTH(s) ELSE 0 END) AS coverage_chars
+FROM (SELECT SUBSTR(note_id, 1, LENGTH(note_id) - 1) AS note_id, text, TRIM(SUBSTR(text, 8, 30), E' \\t\\n\\r') AS s FROM {f_notes}) n GROUP BY 1""")
+def e9_repeated(spark, sf):
+    n = notes(spark, sf).withColumn("cited", F.array(F.substring("text", 8, 30)))
+    found = spans.locate_spans_fuzzy(n.withColumn("note_id", F.expr("substr(note_id, 1, length(note_id) - 1)")), "text", "cited")
+    return found.groupBy("note_id").agg(F.count("*").alias("n_rows"), F.sum("coverage_chars").alias("coverage_chars"))
 
 
 @query("e10_char_overlap", """

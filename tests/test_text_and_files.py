@@ -42,7 +42,7 @@ def test_perturbations_follow_the_tables(spark):
 def test_fuzzy_spans(spark):
     df = spark.createDataFrame([(1, "the patient was given antibiotics on day two", ["was given antibiotixx on", "short", "given antibiotics on day twx", "nothing like it at all"])],
                                "id int, text string, cited array<string>")
-    r = spans.locate_spans_fuzzy(df, "id", "text", "cited").first()
+    r = spans.locate_spans_fuzzy(df.unionAll(df), "text", "cited").first()
     assert [(x.start, x.end) for x in r.ranges] == [(16, 43)] and r.coverage_chars == 27
 
 

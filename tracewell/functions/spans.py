@@ -7,10 +7,11 @@ import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from tracewell import constants as K
 from tracewell.functions.scalars import let, strip
@@ -75,46 +76,42 @@ def _longest_common_run(text: str, span: str) -> tuple[int, int]:
     return at, best
 
 
-@F.pandas_udf(RANGE)
-def _fuzzy_range(text: pd.Series, span: pd.Series) -> pd.DataFrame:
-    out = [_longest_common_run(t, s) for t, s in zip(text, span)]
-    return pd.DataFrame({"start": [s for s, _ in out], "end": [s + n for s, n in out]}).astype("int32")
-
-
-# The optimizer copies deterministic functions into filters and would run this one twice.
-_fuzzy_range = _fuzzy_range.asNondeterministic()
-
-
-def locate_spans_fuzzy(df: DataFrame, id_col: str, text_col: str, spans_col: str,
-                       min_chars: int = 8, threshold: float = 0.85) -> DataFrame:
+def locate_spans_fuzzy(df: DataFrame, text_col: str, spans_col: str, min_chars: int = 8, threshold: float = 0.85) -> DataFrame:
     """Add `ranges` and `coverage_chars` for the cited spans of each row.
 
     A span counts where it occurs verbatim. The few that do not occur are compared in Python and
     count when the longest common run is long enough. Overlapping ranges count twice in the coverage.
+    Every row is worked on in place, so rows may repeat an id and no text is shuffled.
     """
-    cited = df.select(id_col, F.col(text_col).alias("_text"), F.posexplode(spans_col).alias("_pos", "_raw"))
-    cited = cited.withColumn("_span", strip("_raw")).where(F.char_length("_span") >= min_chars)
-    cited = cited.withColumn("_at", find_span("_text", "_span"))
-    hits = cited.where("_at >= 0").select(
-        id_col, "_pos", make_range(F.col("_at"), F.col("_at") + F.char_length("_span")).alias("_r"))
+    def closest(texts: pa.Array, misses: pa.Array) -> pa.Array:
+        out = []
+        for text, own in zip(texts.to_pylist(), misses.to_pylist()):
+            runs = [(m, *_longest_common_run(text, m["span"])) for m in own or []] if text is not None else []
+            out.append([{"pos": m["pos"], "start": at, "end": at + n} for m, at, n in runs
+                        if n >= threshold * len(m["span"]) and n >= min_chars])
+        return pa.array(out, pa.list_(pa.struct([("pos", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])))
+
+    fields = [StructField(c, IntegerType()) for c in ("pos", "start", "end")]
+    # The optimizer copies deterministic functions into filters and would run this one twice.
+    compare = F.arrow_udf(closest, ArrayType(StructType(fields))).asNondeterministic()
+    text = F.col(text_col)
     # A long enough run leaves out at most `slack` characters on either side, so it contains the
-    # middle of the span; only texts that hold the middle verbatim go on to Python.
-    n = F.char_length("_span")
-    slack = n - F.ceil(F.greatest(threshold * n, F.lit(min_chars))).cast("int")
-    middle = F.substr("_span", slack + 1, n - 2 * slack)
-    likely = (n - 2 * slack <= 0) | (F.instr(F.col("_text"), middle) > 0)
-    misses = cited.where((F.col("_at") < 0) & likely).withColumn("_r", _fuzzy_range("_text", "_span"))
-    size = F.col("_r.end") - F.col("_r.start")
-    misses = misses.where((size >= threshold * F.char_length("_span")) & (size >= min_chars))
-    found = hits.unionByName(misses.select(id_col, "_pos", "_r"))
-    # One short list per row: the number of cited spans of a single answer.
-    lists = found.groupBy(id_col).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_r"))), lambda x: x["_r"]).alias("ranges"),
-        F.sum(F.col("_r.end") - F.col("_r.start")).alias("coverage_chars"))
-    return df.join(lists, id_col, "left").withColumns({
-        "ranges": F.coalesce("ranges", no_ranges()),
-        "coverage_chars": F.coalesce("coverage_chars", F.lit(0)),
-    })
+    # middle of the span; only spans whose middle occurs verbatim go on to Python.
+    slack = lambda n: n - F.ceil(F.greatest(threshold * n, F.lit(min_chars))).cast("int")
+    likely = lambda span, n: (n - 2 * slack(n) <= 0) | (F.instr(text, F.substr(span, slack(n) + 1, n - 2 * slack(n))) > 0)
+    cited = F.filter(
+        F.transform(F.coalesce(F.col(spans_col), F.array()), lambda raw, i: F.struct(i.cast("int").alias("pos"), strip(raw).alias("span"))),
+        lambda c: F.coalesce(F.char_length(c["span"]) >= min_chars, F.lit(False)))
+    placed = df.withColumn("_cited", F.transform(cited, lambda c: F.struct(c["pos"].alias("pos"), c["span"].alias("span"), find_span(text, c["span"]).alias("at"))))
+    missed = placed.withColumn("_misses", F.filter("_cited", lambda c: (c["at"] < 0) & likely(c["span"], F.char_length(c["span"]))))
+    found = missed.withColumn("_close", compare(F.when(F.size("_misses") > 0, text), F.transform("_misses", lambda c: F.struct(c["pos"].alias("pos"), c["span"].alias("span")))))
+    exact = F.transform(F.filter("_cited", lambda c: c["at"] >= 0), lambda c: F.struct(
+        c["pos"].alias("pos"), c["at"].cast("int").alias("start"), (c["at"] + F.char_length(c["span"])).cast("int").alias("end")))
+    both = found.withColumn("_found", F.array_sort(F.concat(exact, F.coalesce("_close", F.array().cast("array<struct<pos:int,start:int,end:int>>")))))
+    return both.withColumns({
+        "ranges": F.transform("_found", lambda r: make_range(r["start"], r["end"])),
+        "coverage_chars": F.aggregate("_found", F.lit(0).cast("long"), lambda n, r: n + (r["end"] - r["start"])),
+    }).drop("_cited", "_misses", "_close", "_found")
 
 
 # ---------------------------------------------------------------- overlap

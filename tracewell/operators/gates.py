@@ -71,7 +71,7 @@ def hard_gate(responses: DataFrame, probes: DataFrame, key: str = "note_id", min
     failed for queries on the note with its cited ranges masked. Evidence is necessary when enough
     probes change the relation.
     """
-    located = locate_spans_fuzzy(responses, key, "text", "evidence_spans", threshold=fuzzy_threshold)
+    located = locate_spans_fuzzy(responses, "text", "evidence_spans", threshold=fuzzy_threshold)
     located = located.withColumn("coverage", F.col("coverage_chars") / F.greatest(F.lit(1), F.char_length("text")))
     first = responses.select(key, F.col("relation").alias("_first"))
     probed = probes.where(~F.col("failed")).join(first, key).groupBy(key).agg(
