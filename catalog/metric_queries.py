@@ -498,7 +498,7 @@ def s8(spark, sf):
     return predict_text_gate(model, notes(spark, sf)).select("note_id", "availability_probability", "max_relation_prob", "abstained", "answer")
 
 
-@query("g19_apply_model")
+@query("g19_apply_model", """SELECT note_id, LENGTH(text) / 1000.0 AS score, LENGTH(text) < 300 AS abstained FROM {f_notes}""")
 def g19(spark, sf):
     from tracewell.operators.model import apply_model
 
