@@ -189,9 +189,9 @@ def test_likely_pairs_cross_chunks(spark, monkeypatch):
     monkeypatch.setattr(near, "CHUNK", 3)
     sample = np.arange(near.SAMPLES, dtype=np.uint32)
     far = sample + 1000
-    members = [(1, n, n, (far if n == 7 else sample).tobytes()) for n in range(10)] + [(2, 20, 5, sample.tobytes()), (2, 21, 5, sample.tobytes())]
-    df = spark.createDataFrame(members, "bucket long, node long, component long, samples binary")
-    everything = {(a, b) for a in range(10) for b in range(a + 1, 10) if 7 not in (a, b)}
+    members = [(1, n, n, (far if n == 7 else sample).tobytes(), 50 if n == 3 else 100) for n in range(10)] + [(2, n, 5, sample.tobytes(), 100) for n in (20, 21)]
+    df = spark.createDataFrame(members, "bucket long, node long, component long, samples binary, total long")
+    everything = {(a, b) for a in range(10) for b in range(a + 1, 10) if not {a, b} & {3, 7}}
     assert {(r.a, r.b) for r in near._likely_pairs(df, 0, 100).collect()} == everything
     got, low = set(), 0
     while True:

@@ -21,13 +21,15 @@ SAMPLES = BANDS * ROWS
 #: Share of equal samples from which a pair that shares a band is compared exactly; at a similarity of 0.8 the share
 #: of 64 samples is lower in one pair of a thousand.
 LIKELY = 0.65
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Text bytes that one numpy step works on.
+STEP_BYTES = 1 << 20
 #: Shingles of each part that counts documents.
-PART_SHINGLES = 2_000_000
+PART_SHINGLES = 1_000_000
 #: Members of a bucket that are compared with one another in a task.
 CHUNK = 1024
-#: Partners that a member names in the first round; each round names twice as many more, until none are left.
-PARTNERS = 4
+#: Partners that a member names in the first round; each round names four times as many more, until none are left.
+PARTNERS = 2
 #: A shingle's weight is its count times a whole number: RARE up to FEW documents, and falling with the logarithm of
 #: their number to COMMON where all documents have it.
 RARE, COMMON, FEW = 128, 96, 16
@@ -81,7 +83,7 @@ def new_words() -> dict:
 
 def parts_and_keys(code: np.ndarray, parts: int) -> np.ndarray:
     """Part and key of each shingle in one number. A part has 2^40 keys for some PART_SHINGLES shingles at any scale,
-    so that about two in a million share their key with another one."""
+    so that about one in a million share their key with another one."""
     return (code >> np.uint64(KEY_BITS)) % np.uint64(parts) << np.uint64(KEY_BITS) | code & np.uint64((1 << KEY_BITS) - 1)
 
 
@@ -140,8 +142,20 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return keys
 
 
-def weighted_jaccard(keys_a: np.ndarray, weights_a: np.ndarray, total_a: int, keys_b: np.ndarray, weights_b: np.ndarray, total_b: int) -> float:
-    """Sum of the lesser weights over the sum of the greater ones; keys are sorted, totals count unshared shingles too."""
+def vector(keys: np.ndarray, weights: np.ndarray) -> tuple[bytes, bytes]:
+    """A text's shingles for comparison: 32 bits of each key, sorted, and their weights in two bytes, or four where one needs them.
+
+    Two of the shingles of a text share the 32 bits in one text of tens of thousands; their weights are then added.
+    """
+    own, where = np.unique(keys.astype(np.uint32), return_inverse=True)
+    sums_ = np.bincount(where, weights, len(own)).astype(np.int64)
+    return own.astype("<u4").tobytes(), sums_.astype("<u2" if not len(own) or sums_.max() < 1 << 16 else "<u4").tobytes()
+
+
+def weighted_jaccard(keys_a: bytes, weights_a: bytes, total_a: int, keys_b: bytes, weights_b: bytes, total_b: int) -> float:
+    """Sum of the lesser weights over the sum of the greater ones, of vectors; totals count unshared shingles too."""
+    (keys_a, weights_a), (keys_b, weights_b) = ((np.frombuffer(k, "<u4"), np.frombuffer(w, "<u4" if len(w) == len(k) else "<u2").astype(np.int64))
+                                                for k, w in ((keys_a, weights_a), (keys_b, weights_b)))
     _, a, b = np.intersect1d(keys_a, keys_b, assume_unique=True, return_indices=True)
     both = int(np.minimum(weights_a[a], weights_b[b]).sum())
     return both / max(1, total_a + total_b - both)
@@ -151,7 +165,7 @@ def _shared_counts(placed: DataFrame, parts: int) -> DataFrame:
     """For every block those of its shingles that two documents or more have, with their number: block, part, keys, df."""
     def ask(block: pa.Table) -> pa.Table:
         known, own = new_words(), [np.zeros(0, np.uint64)]
-        for raw in steps(block["text"]):
+        for raw in steps(block["text"], STEP_BYTES):
             own.append(parts_and_keys(shingles(raw, known)[0], parts))
         keys = np.sort(np.concatenate(own))
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
@@ -204,7 +218,7 @@ def _signed(placed: DataFrame, counts: DataFrame, parts: int, n_docs: int, simil
         order = np.argsort(keys)
         keys, df = np.append(keys[order], np.uint64(2**64 - 1)), np.append(df[order], 1)
         known, rows, seen = new_words(), [], set()
-        for raw in steps(block["text"]):
+        for raw in steps(block["text"], STEP_BYTES):
             code, tf, n, digests = shingles(raw, known)
             own = parts_and_keys(code, parts)
             place = np.searchsorted(keys, own)
@@ -226,8 +240,7 @@ def _signed(placed: DataFrame, counts: DataFrame, parts: int, n_docs: int, simil
                     seen.add(digest)
                     mine = slice(int(starts[i]), int(starts[i] + n[i]))
                     in_two = times[mine] > 1
-                    by_key = np.argsort(own[mine][in_two] & np.uint64((1 << KEY_BITS) - 1))
-                    rows.append((digest, int(total[i]), bands[number[i]].tolist(), samples[number[i]].tobytes(), _packed(own[mine][in_two][by_key]), weight[mine][in_two][by_key].astype("<u4").tobytes()))
+                    rows.append((digest, int(total[i]), bands[number[i]].tolist(), samples[number[i]].tobytes(), *vector(own[mine][in_two], weight[mine][in_two])))
         columns = list(zip(*rows)) if rows else [()] * 6
         types = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
         return pa.table([block["id"], *(pa.array(c, t) for c, t in zip(columns, types))], names=["id", "digest", "total", "bands", "samples", "keys", "weights"])
@@ -242,7 +255,7 @@ def _verified(pairs: DataFrame, vectors: DataFrame, similarity: float) -> DataFr
     @F.arrow_udf("double")
     def jaccard(keys_a: pa.Array, weights_a: pa.Array, total_a: pa.Array, keys_b: pa.Array, weights_b: pa.Array, total_b: pa.Array) -> pa.Array:
         rows = zip(*(c.to_pylist() for c in (keys_a, weights_a, total_a, keys_b, weights_b, total_b)))
-        return pa.array([weighted_jaccard(_unpacked(a), np.frombuffer(v, "<u4"), s, _unpacked(b), np.frombuffer(w, "<u4"), t) for a, v, s, b, w, t in rows], pa.float64())
+        return pa.array([weighted_jaccard(*row) for row in rows], pa.float64())
 
     used = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     own = vectors.join(used, "node", "left_semi").select("node", F.struct("keys", "weights", "total").alias("v"))
@@ -251,21 +264,22 @@ def _verified(pairs: DataFrame, vectors: DataFrame, similarity: float) -> DataFr
     return joined.select("a", "b", value.alias("similarity")).where(F.col("similarity") >= similarity)
 
 
-def _likely_pairs(members: DataFrame, low: int, width: int) -> DataFrame:
+def _likely_pairs(members: DataFrame, low: int, width: int, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs a, b of different components in a bucket with LIKELY equal samples or more; a row with nulls if there are more.
 
     Members of a bucket are numbered and cut into chunks, and every two chunks meet in a task of their own that
-    compares samples; so no bucket meets in one task. A member names the partners that rank from `low` to
+    compares samples; so no bucket meets in one task. Documents whose weights differ so much that they cannot reach the
+    similarity are no partners. A member names the partners that rank from `low` to
     `low + width` by equal samples, and at first also those most like all members, as the original of many copies is.
     """
     chunked = numbered(members, ["bucket"], ["node"], "number").withColumn("chunk", F.floor(F.col("number") / CHUNK).cast("int"))
     last = chunked.groupBy("bucket").agg(F.max("chunk").alias("last"))
-    spread = chunked.join(last, "bucket").select("bucket", "node", "component", "samples", "chunk", F.explode(F.sequence(F.lit(0), "last")).alias("other")).select(
-        "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component", "samples")
+    spread = chunked.join(last, "bucket").select("bucket", "node", "component", "samples", "total", "chunk", F.explode(F.sequence(F.lit(0), "last")).alias("other")).select(
+        "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component", "samples", "total")
 
     def compare(rows: pa.Table) -> pa.Table:
         order = np.argsort(rows["node"].to_numpy())
-        node, component, chunk = (rows[c].to_numpy()[order] for c in ("node", "component", "chunk"))
+        node, component, chunk, total = (rows[c].to_numpy()[order] for c in ("node", "component", "chunk", "total"))
         samples = np.frombuffer(b"".join(rows["samples"].to_pylist()), np.uint32).reshape(-1, SAMPLES)[order]
         within, out, more = rows["i"][0] == rows["j"][0], [np.zeros((0, 2), np.int64)], False
         equal = np.zeros((len(node), len(node)), np.uint8)
@@ -275,6 +289,8 @@ def _likely_pairs(members: DataFrame, low: int, width: int) -> DataFrame:
             equal[chunk[:, None] == chunk[None, :]] = 0
         equal[np.arange(len(node)), np.arange(len(node))] = 0
         equal[equal < LIKELY * SAMPLES] = 0
+        equal[total[:, None] * similarity > total[None, :]] = 0
+        equal[total[None, :] * similarity > total[:, None]] = 0
         central = np.argsort(-equal.sum(axis=1, dtype=np.int64), kind="stable")
         for i in range(len(node)):
             at = np.flatnonzero(equal[i])
@@ -320,22 +336,25 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = rows.where("keys IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node"))
     vectors = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
 
-    members = checkpointed(vectors.select("node", "samples", F.explode("bands").alias("bucket")))
+    members = checkpointed(vectors.select("node", "samples", "total", F.explode("bands").alias("bucket")))
     centres = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("node").alias("size")).where("size > 1").drop("size")
     shared = members.select("bucket", "node").join(centres, "bucket").where("node <> centre").groupBy("node", "centre").agg(F.count("bucket").alias("bands"))
     first = shared.groupBy("node").agg(F.max(F.struct("bands", (-F.col("centre")).alias("centre"))).alias("best"))
     links = checkpointed(_verified(first.select((-F.col("best.centre")).alias("a"), F.col("node").alias("b")), vectors, similarity).select("a", "b"))
 
-    found, low, width, more = components(links), 0, PARTNERS, True
+    found, low, width, more, tested = components(links), 0, PARTNERS, True, None
     while more:
         labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-        rest = checkpointed(_likely_pairs(labelled.join(mixed, "bucket", "left_semi"), low, width))
-        linked = checkpointed(_verified(rest.where("a IS NOT NULL"), vectors, similarity).select("a", "b"))
+        rest = checkpointed(_likely_pairs(labelled.join(mixed, "bucket", "left_semi"), low, width, similarity))
+        fresh = rest.where("a IS NOT NULL")
+        fresh = fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti")
+        linked = checkpointed(_verified(fresh, vectors, similarity).select("a", "b"))
+        tested = rest if tested is None else tested.unionAll(rest)
         if not linked.isEmpty():
             links = links.unionAll(linked)
             found = components(links)
-        more, low, width = not rest.where("a IS NULL").isEmpty(), low + width, 2 * width
+        more, low, width = not rest.where("a IS NULL").isEmpty(), low + width, 4 * width
 
     of_digest = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     placed_rows = rows.select("id", "row", "digest").join(of_digest, "digest", "left").withColumn("component", F.coalesce("component", "row"))
