@@ -207,15 +207,26 @@ def _summary(z=K.Z_ROUNDED):
     return aggs, derived
 
 
-def paired_clean(members: DataFrame, clean: DataFrame, keys: list[str]) -> DataFrame:
-    """Clean results on the base notes of each group: members holds keys and base_id.
+def on_same_notes(members: DataFrame, side: DataFrame) -> DataFrame:
+    """Rows of `side` on the base notes of `members`, which has example_id.
 
-    A group of a model is held against the clean results of that model, where they name one.
+    Where both name a model, a model is held against its own rows; one that `side` does not know is
+    held against all of them.
     """
-    on = ["example_id", *(["model"] if "model" in keys and "model" in clean.columns else [])]
+    if "model" not in members.columns or "model" not in side.columns:
+        return members.join(side.drop("model"), "example_id")
+    theirs = side.withColumnRenamed("model", "_model")
+    known = theirs.select(F.col("_model").alias("model")).distinct().withColumn("_known", F.lit(True))
+    matched = members.join(known, "model", "left").join(theirs, "example_id")
+    return matched.where(F.col("_known").isNull() | F.col("_model").eqNullSafe(F.col("model"))).drop("_known", "_model")
+
+
+def paired_clean(members: DataFrame, clean: DataFrame, keys: list[str]) -> DataFrame:
+    """Clean results on the base notes of each group: members holds keys and base_id."""
     base = members.select(*keys, F.col("base_id").alias("example_id")).distinct()
-    side = clean.select(*on, answered().alias("_a"), correct().alias("_o"))
-    return base.join(side, on).groupBy(*keys).agg(
+    model = [c for c in ("model",) if c in clean.columns]
+    side = clean.select("example_id", *model, answered().alias("_a"), correct().alias("_o"))
+    return on_same_notes(base, side).groupBy(*keys).agg(
         F.count("*").alias("clean_n_same_notes"), F.avg(F.col("_a").cast("int")).alias("clean_coverage_same_notes"),
         ratio(n_of(F.col("_o")), n_of(F.col("_a"))).alias("clean_answered_accuracy_same_notes"))
 
@@ -261,12 +272,12 @@ def control_composition(control: DataFrame, token: str = K.MASK_TOKEN) -> DataFr
 def per_class_breakdown(control: DataFrame, clean: DataFrame, relations=K.RELATIONS) -> DataFrame:
     """Coverage, accuracy and predicted classes per variant, tier (and over tiers) and gold class,
     on the edited notes and on the clean versions of the same notes, by the same model where both name one."""
-    own = ["model"] if "model" in control.columns and "model" in clean.columns else []
     tier = F.coalesce("validity_tier", F.lit("keep"))
     edited = control.select("variant", tier.alias("tier"), "gold_relation", "answer", "abstained", F.lit("edited").alias("condition"))
-    side = clean.select("example_id", *own, "answer", "abstained")
-    paired = control.select("variant", tier.alias("tier"), "gold_relation", *own, F.col("base_id").alias("example_id")).join(
-        side, ["example_id", *own]).select("variant", "tier", "gold_relation", "answer", "abstained", F.lit("clean_same_notes").alias("condition"))
+    named = lambda df: [c for c in ("model",) if c in df.columns]
+    members = control.select("variant", tier.alias("tier"), "gold_relation", *named(control), F.col("base_id").alias("example_id"))
+    paired = on_same_notes(members, clean.select("example_id", *named(clean), "answer", "abstained")).select(
+        "variant", "tier", "gold_relation", "answer", "abstained", F.lit("clean_same_notes").alias("condition"))
     rows = edited.unionByName(paired).where(F.col("variant").isNotNull() & F.col("gold_relation").isNotNull())
     ans = answered()
     share = {f"pred_{i}": rate(F.col("answer").eqNullSafe(F.lit(r)), ans) for i, r in enumerate(relations)}
