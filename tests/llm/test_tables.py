@@ -191,11 +191,12 @@ def test_likely_pairs_cross_chunks(spark, monkeypatch):
     far = sample + 1000
     members = [(1, n, n, (far if n == 7 else sample).tobytes(), 50 if n == 3 else 100) for n in range(10)] + [(2, n, 5, sample.tobytes(), 100) for n in (20, 21)]
     df = spark.createDataFrame(members, "bucket long, node long, component long, samples binary, total long")
+    signed, df = df.select("node", "samples", "total"), df.drop("samples", "total")
     everything = {(a, b) for a in range(10) for b in range(a + 1, 10) if not {a, b} & {3, 7}}
-    assert {(r.a, r.b) for r in near._likely_pairs(df, 0, 100).collect()} == everything
+    assert {(r.a, r.b) for r in near._likely_pairs(df, signed, 0, 100).collect()} == everything
     got, low = set(), 0
     while True:
-        rows_ = {(r.a, r.b) for r in near._likely_pairs(df, low, 1).collect()}
+        rows_ = {(r.a, r.b) for r in near._likely_pairs(df, signed, low, 1).collect()}
         got, low = got | rows_, low + 1
         if (None, None) not in rows_:
             break

@@ -264,18 +264,19 @@ def _verified(pairs: DataFrame, vectors: DataFrame, similarity: float) -> DataFr
     return joined.select("a", "b", value.alias("similarity")).where(F.col("similarity") >= similarity)
 
 
-def _likely_pairs(members: DataFrame, low: int, width: int, similarity: float = SIMILARITY) -> DataFrame:
+def _likely_pairs(members: DataFrame, signed: DataFrame, low: int, width: int, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs a, b of different components in a bucket with LIKELY equal samples or more; a row with nulls if there are more.
 
     Members of a bucket are numbered and cut into chunks, and every two chunks meet in a task of their own that
     compares samples; so no bucket meets in one task. Documents whose weights differ so much that they cannot reach the
-    similarity are no partners. A member names the partners that rank from `low` to
+    similarity are no partners. `members` has bucket, node and component; the samples of `signed` join them last. A
+    member names the partners that rank from `low` to
     `low + width` by equal samples, and at first also those most like all members, as the original of many copies is.
     """
     chunked = numbered(members, ["bucket"], ["node"], "number").withColumn("chunk", F.floor(F.col("number") / CHUNK).cast("int"))
     last = chunked.groupBy("bucket").agg(F.max("chunk").alias("last"))
-    spread = chunked.join(last, "bucket").select("bucket", "node", "component", "samples", "total", "chunk", F.explode(F.sequence(F.lit(0), "last")).alias("other")).select(
-        "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component", "samples", "total")
+    spread = chunked.join(last, "bucket").select("bucket", "node", "component", "chunk", F.explode(F.sequence(F.lit(0), "last")).alias("other")).select(
+        "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component").join(signed, "node")
 
     def compare(rows: pa.Table) -> pa.Table:
         order = np.argsort(rows["node"].to_numpy())
@@ -336,7 +337,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = rows.where("keys IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node"))
     vectors = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
 
-    members = checkpointed(vectors.select("node", "samples", "total", F.explode("bands").alias("bucket")))
+    members = checkpointed(vectors.select("node", F.explode("bands").alias("bucket")))
     centres = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("node").alias("size")).where("size > 1").drop("size")
     shared = members.select("bucket", "node").join(centres, "bucket").where("node <> centre").groupBy("node", "centre").agg(F.count("bucket").alias("bands"))
     first = shared.groupBy("node").agg(F.max(F.struct("bands", (-F.col("centre")).alias("centre"))).alias("best"))
@@ -346,7 +347,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     while more:
         labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-        rest = checkpointed(_likely_pairs(labelled.join(mixed, "bucket", "left_semi"), low, width, similarity))
+        rest = checkpointed(_likely_pairs(labelled.join(mixed, "bucket", "left_semi"), vectors.select("node", "samples", "total"), low, width, similarity))
         fresh = rest.where("a IS NOT NULL")
         fresh = fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti")
         linked = checkpointed(_verified(fresh, vectors, similarity).select("a", "b"))
