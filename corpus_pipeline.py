@@ -30,15 +30,19 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the least id.
+    """One row of each group of near copies: the one of the least id.
 
-    Rows that repeat an id of a kept document are told from it by nothing that a join could use: they are set apart
-    and one of each id is taken. A table without repeated ids has none of them, and its texts are joined once.
+    A row is told by its id and the MD5 of its text, so rows of different texts under one id, also a null one, are
+    decided on their own. Rows equal in both are copies of one another, of which one at most is the kept one, unless
+    they have no words: then each is a group of its own and all stay. Where some go, they are set apart and any one of
+    them is taken. A table without such rows has none to set apart, and its texts are joined once.
     """
-    groups = near.near_copies(docs)
-    kept = groups.groupBy("doc_id").agg(F.max("kept").alias("__kept"), F.count("kept").alias("__rows")).where("__kept")
-    once, repeated = (docs.join(kept.where(rule), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi") for rule in ("__rows = 1", "__rows > 1"))
-    return once.unionByName(repeated.dropDuplicates(["doc_id"]))
+    md5 = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    groups = near.near_copies(docs, md5_col="__md5").groupBy("doc_id", "__md5").agg(F.count_if("kept").alias("__kept"), F.count("kept").alias("__rows"))
+    kept = groups.where("__kept > 0").withColumnsRenamed({"doc_id": "__id", "__md5": "__text"})
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (md5 == F.col("__text"))
+    whole, some = (docs.join(kept.where(rule), same, "left_semi") for rule in ("__kept = __rows", "__kept < __rows"))
+    return whole.unionByName(some.withColumn("__md5", md5).dropDuplicates(["doc_id", "__md5"]).drop("__md5"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

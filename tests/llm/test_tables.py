@@ -225,3 +225,21 @@ def test_pipeline_on_odd_rows(spark, odd, none, tmp_path):
             docs = spark.read.parquet(str(tmp_path / f"{i}{name}"))
         assert (docs.count() > 0) == (i == 0)
     assert len(SCHEMA) > 0
+
+
+def test_pipeline_keeps_one_row_of_each_group_whatever_the_ids(spark):
+    r = np.random.RandomState(11)
+    own = [" ".join(f"t{i}x{w}" for w in r.randint(0, 10**6, 60)) for i in range(5)]
+    near_copy = own[0].rsplit(" ", 1)[0] + " changed"
+    two_words = "two  " + own[4]
+    data = [(7, own[0], "a"), (7, own[1], "a"), (7, own[1], "a"),  # two texts under one id, one of them twice
+            (3, near_copy, "a"),  # copy of the first text under 7, of a lesser id
+            (None, own[2], "a"), (None, own[3], "a"), (None, own[3], "a"), (9, own[2], "a"),  # null ids come first
+            (None, None, "a"), (None, "", "a"), (None, None, "a"), (5, two_words, "a"), (5, two_words.replace("  ", " "), "a")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(4)
+    left = corpus_pipeline.near_copies_out(spark, docs, "")
+    got = Counter((x.doc_id, x.text) for x in left.collect())
+    fives = [k for k in got if k[0] == 5]
+    assert len(fives) == 1 and got.pop(fives[0]) == 1
+    assert got == Counter({(3, near_copy): 1, (7, own[1]): 1, (None, own[2]): 1, (None, own[3]): 1, (None, None): 2, (None, ""): 1})
+    assert left.columns == docs.columns

@@ -206,9 +206,11 @@ def _shared_counts(placed: DataFrame, parts: int) -> DataFrame:
     return asked.groupBy("part").applyInArrow(count, "block int, part int, keys binary, df binary")
 
 
-def _signed(placed: DataFrame, counts: DataFrame, parts: int, n_docs: int, similarity: float) -> DataFrame:
+def _signed(placed: DataFrame, counts: DataFrame, parts: int, n_docs: int, similarity: float, with_text: bool = False) -> DataFrame:
     """Every document with its digest and total weight; signature and weighted shingles where it can have near copies.
 
+    `text_md5` is that of the text as it is, null unless `with_text`; the digest is that of the words.
+
     A pair of the wanted similarity shares that part of the weight of either document, and what it shares is met in
     two documents at least. So a document with less weight in shared shingles has no near copy, and is not sampled.
     """
@@ -231,23 +233,24 @@ def _signed(placed: DataFrame, counts: DataFrame, parts: int, n_docs: int, simil
             of_able = able[owner]
             samples = signature(own[of_able], weight[of_able].astype(np.float64), n[able]) if able.any() else np.zeros((0, SAMPLES), np.uint32)
             bands, number, starts = band_keys(samples).view(np.int64), np.cumsum(able) - 1, starts_of(n)
-            for i, digest in enumerate(digests):
+            for i, (digest, text) in enumerate(zip(digests, raw)):
+                text_md5 = hashlib.md5(text).hexdigest() if with_text else None
                 if not able[i]:
-                    rows.append((None, 0, None, None, None, None))
+                    rows.append((text_md5, None, 0, None, None, None, None))
                 elif digest in seen:
-                    rows.append((digest, int(total[i]), None, None, None, None))
+                    rows.append((text_md5, digest, int(total[i]), None, None, None, None))
                 else:
                     seen.add(digest)
                     mine = slice(int(starts[i]), int(starts[i] + n[i]))
                     in_two = times[mine] > 1
-                    rows.append((digest, int(total[i]), bands[number[i]].tolist(), samples[number[i]].tobytes(), *vector(own[mine][in_two], weight[mine][in_two])))
-        columns = list(zip(*rows)) if rows else [()] * 6
-        types = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([block["id"], *(pa.array(c, t) for c, t in zip(columns, types))], names=["id", "digest", "total", "bands", "samples", "keys", "weights"])
+                    rows.append((text_md5, digest, int(total[i]), bands[number[i]].tolist(), samples[number[i]].tobytes(), *vector(own[mine][in_two], weight[mine][in_two])))
+        columns = list(zip(*rows)) if rows else [()] * 7
+        types = (pa.string(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([block["id"], *(pa.array(c, t) for c, t in zip(columns, types))], names=["id", "text_md5", "digest", "total", "bands", "samples", "keys", "weights"])
 
     id_type = placed.schema["id"].dataType.simpleString()
     return placed.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(
-        sign, f"id {id_type}, digest binary, total long, bands array<long>, samples binary, keys binary, weights binary")
+        sign, f"id {id_type}, text_md5 string, digest binary, total long, bands array<long>, samples binary, keys binary, weights binary")
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, similarity: float) -> DataFrame:
@@ -310,9 +313,13 @@ def _likely_pairs(members: DataFrame, signed: DataFrame, low: int, width: int, s
     return spread.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES,
+                md5_col: str | None = None) -> DataFrame:
     """One row for each row of `docs`: `id_col`, group_id (the least id of its group), kept.
 
+    With `md5_col`, also a column of this name with the hexadecimal MD5 of the text, that of the empty text for a null
+    one; it tells rows of one id from one another.
+
     Two documents are linked if their words are equal, or if they share a band and the weighted Jaccard similarity
     of their shingles of five words is `similarity` or more; groups are what links connect. A shingle weighs its count
     in the document times a smoothed inverse document frequency, counted over all documents. At 0.8 two
@@ -332,7 +339,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     facts = texts.agg(F.count("id").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     parts = max(1, -(-facts["bytes"] // (6 * PART_SHINGLES)))
     placed = texts.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
-    signed = _signed(placed, _shared_counts(placed, parts), parts, facts["n"], similarity)
+    signed = _signed(placed, _shared_counts(placed, parts), parts, facts["n"], similarity, md5_col is not None)
     rows = checkpointed(signed.withColumn("row", F.monotonically_increasing_id()))
     nodes = rows.where("keys IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node"))
     vectors = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
@@ -358,6 +365,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         more, low, width = not rest.where("a IS NULL").isEmpty(), low + width, 4 * width
 
     of_digest = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    placed_rows = rows.select("id", "row", "digest").join(of_digest, "digest", "left").withColumn("component", F.coalesce("component", "row"))
+    placed_rows = rows.select("id", "row", "digest", "text_md5").join(of_digest, "digest", "left").withColumn("component", F.coalesce("component", "row"))
     least = placed_rows.groupBy("component").agg(F.min(F.struct("id", "row")).alias("least"))
-    return placed_rows.join(least, "component").select(F.col("id").alias(id_col), F.col("least.id").alias("group_id"), (F.col("row") == F.col("least.row")).alias("kept"))
+    named = [] if md5_col is None else [F.col("text_md5").alias(md5_col)]
+    return placed_rows.join(least, "component").select(
+        F.col("id").alias(id_col), F.col("least.id").alias("group_id"), (F.col("row") == F.col("least.row")).alias("kept"), *named)
