@@ -16,7 +16,7 @@ TOXIC = 0.5
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the repetition rules keep; texts that are null, empty or under fifty words go."""
-    judged = repetition.repetition(docs, out="__repetition")
+    judged = repetition.repetition(docs, max_covered=repetition.COVERED_LIMIT, out="__repetition")
     return judged.where("__repetition.kept").select(*docs.columns)
 
 

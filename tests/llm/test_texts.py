@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cases import rows
+from corpus_pipeline import quality_rules
 from tracewell.llm import bpe, language, nnpu, pairs, ppm, quality, repetition, toxicity
 from tracewell.llm.common import id_remainder, table
+from tracewell.llm.queries import op3
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,6 +64,19 @@ def test_rules(odd, none):
         assert r.kept == (not r.base_failed and r.n_covered <= 0.5 * r.n_words and r.longest_repeat <= 100)
 
 
+def test_covered_fraction_decides_in_query_and_pipeline(spark, tmp_path):
+    clean = " ".join(f"c{i}" for i in range(300))
+    passage = " ".join(f"p{i}" for i in range(60))
+    half = " ".join(f"h{i}" for i in range(147))
+    covered = f"{passage} {half} {passage}"
+    spark.createDataFrame([(1, clean), (2, covered)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op3(spark, str(tmp_path)).collect()}
+    assert got[1].kept and not got[2].kept
+    assert not got[2].base_failed and got[2].longest_repeat == 60 and got[2].n_covered == 120 and got[2].n_words == 267
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert [r.doc_id for r in quality_rules(spark, docs, "").collect()] == [1]
+
+
 def test_bpe_like_the_library(odd, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)

@@ -26,7 +26,7 @@ def op2(spark, sf_dir):
 @query("op3_suffix_repetition")
 def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return repetition.repetition(docs).select("doc_id", "repetition.*")
+    return repetition.repetition(docs, max_covered=repetition.COVERED_LIMIT).select("doc_id", "repetition.*")
 
 
 @query("op4_shortest_pack_first")
