@@ -193,9 +193,7 @@ def e1(spark, sf):
 
 @query("e1_new_markers", f"SELECT note_id, CASE WHEN cue IS NULL THEN 'meta_temporal,omitted' ELSE 'brackets' END AS markers FROM (SELECT note_id, {CUE} AS cue, text FROM {{f_notes}}) n")
 def e1_new(spark, sf):
-    # The notes hold neither wording themselves unless the original text does, which the masked form shares.
-    n = notes(spark, sf).withColumn("text", F.concat(F.lit("Seen. "), F.coalesce(T.find_cue("text"), F.lit(""))))
-    return n.select("note_id", F.array_join(T.new_markers("text", T.mask_cue("text")["text"]), ",").alias("markers"))
+    return notes(spark, sf).select("note_id", F.array_join(T.new_markers("text", T.mask_cue("text")["text"]), ",").alias("markers"))
 
 
 @query("e2_explicit_cues", f"""

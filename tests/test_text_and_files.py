@@ -127,3 +127,12 @@ def test_markdown_is_for_small_reports(spark):
     assert sinks.markdown(spark.createDataFrame([("a", None)], "x string, y int")) == "| x | y |\n|---|---|\n| a | -- |"
     with pytest.raises(ValueError):
         sinks.markdown(spark.range(20), max_rows=10)
+
+
+def test_new_markers_query_reads_the_whole_notes(spark, monkeypatch):
+    from catalog import text_queries
+
+    texts = [("a", "Pain [left] came after the scan."), ("b", "Pain came after the scan."), ("c", "Dose omitted. No cue."), ("d", "No cue.")]
+    monkeypatch.setattr(text_queries, "notes", lambda spark, sf: spark.createDataFrame(texts, "note_id string, text string"))
+    got = {r.note_id: r.markers for r in text_queries.e1_new(spark, "").collect()}
+    assert got == {"a": "", "b": "brackets", "c": "meta_temporal", "d": "meta_temporal,omitted"}
