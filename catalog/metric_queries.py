@@ -355,6 +355,17 @@ def m29_agreement(spark, sf):
     return rounded(judging.judge_agreement(judged(spark, sf)).where("pair = 'original_vs_judge'").drop("pair"))
 
 
+def _agreement(pair: str, a: str, b: str, rule: str) -> str:
+    return f"SELECT '{pair}' AS pair, x.* FROM (WITH t AS (SELECT {a} AS a, {b} AS b FROM b WHERE ot <> 'none' AND {rule}), {KAPPA}) x"
+
+
+@query("m29_judge_agreement_pairs", f"WITH {JUDGED} " + " UNION ALL ".join([
+    _agreement("original_vs_judge", "ot", "jt", "jt <> 'missing'"), _agreement("original_vs_rerun", "ot", "rt", "rt IS NOT NULL"),
+    _agreement("rerun_vs_judge", "rt", "jt", "rt IS NOT NULL AND jt <> 'missing'")]))
+def m29_agreement_pairs(spark, sf):
+    return rounded(judging.judge_agreement(judged(spark, sf)))
+
+
 @query("m29_judge_confusion", f"WITH {JUDGED} SELECT ot AS orig, jt AS judge, COUNT(*) AS n FROM b GROUP BY 1, 2")
 def m29_confusion(spark, sf):
     return judging.judge_confusion(judged(spark, sf))

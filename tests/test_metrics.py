@@ -134,3 +134,11 @@ def test_splits_are_exact_disjoint_and_stable(spark):
         splits.split_rest(df, "pid", spark.createDataFrame([(999,)], "pid long"), 5)
     with pytest.raises(ValueError):
         splits.sample_fraction(df, 1.5, ["id"])
+
+
+def test_a_query_returns_all_pairs_of_judges(spark):
+    import __spark_entry__ as entry
+
+    got = entry.queries()["m29_judge_agreement_pairs"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.pair for r in got) == ["original_vs_judge", "original_vs_rerun", "rerun_vs_judge"]
+    assert "m29_judge_agreement_pairs" in entry.oracle_sql()
