@@ -243,3 +243,14 @@ def test_pipeline_keeps_one_row_of_each_group_whatever_the_ids(spark):
     assert len(fives) == 1 and got.pop(fives[0]) == 1
     assert got == Counter({(3, near_copy): 1, (7, own[1]): 1, (None, own[2]): 1, (None, own[3]): 1, (None, None): 2, (None, ""): 1})
     assert left.columns == docs.columns
+
+
+def test_near_copies_of_null_ids_weigh_like_others(spark):
+    assert near.idf(np.array([1, 5000, 10**6]), 3).tolist() == [near.RARE, near.COMMON, near.COMMON]
+    r = np.random.RandomState(8)
+    common = " ".join(f"c{i}" for i in range(30))
+    texts = [common + " " + " ".join(f"v{w}" for w in r.randint(0, 10**6, 20)) for _ in range(600)]
+    texts += [t.rsplit(" ", 1)[0] + " changed" for t in texts[:20]]
+    data = [(None if i else 1, t) for i, t in enumerate(texts)]
+    kept = near.near_copies(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).where("kept").count()
+    assert kept == 600

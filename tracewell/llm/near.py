@@ -101,7 +101,7 @@ def _unpacked(raw: bytes) -> np.ndarray:
 def idf(df: np.ndarray, n_docs: int) -> np.ndarray:
     """Smoothed inverse document frequencies of shingles, as whole numbers from RARE to COMMON."""
     steepness = (RARE - COMMON) / np.log(max(2.0, n_docs / FEW))
-    return np.round(RARE - steepness * np.log(np.maximum(1.0, np.asarray(df) / FEW))).astype(np.int64)
+    return np.maximum(COMMON, np.round(RARE - steepness * np.log(np.maximum(1.0, np.asarray(df) / FEW)))).astype(np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -336,7 +336,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     blocks = block_count(docs, text_col, block_bytes)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    facts = texts.agg(F.count("id").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    facts = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     parts = max(1, -(-facts["bytes"] // (6 * PART_SHINGLES)))
     placed = texts.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
     signed = _signed(placed, _shared_counts(placed, parts), parts, facts["n"], similarity, md5_col is not None)
