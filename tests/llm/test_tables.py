@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 from collections import Counter, defaultdict
+from math import comb
 
 import numpy as np
 import public_tokenizers
@@ -254,3 +255,14 @@ def test_near_copies_of_null_ids_weigh_like_others(spark):
     data = [(None if i else 1, t) for i, t in enumerate(texts)]
     kept = near.near_copies(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).where("kept").count()
     assert kept == 600
+
+
+def test_likely_pairs_miss_far_fewer_than_the_bands(spark):
+    least = int(np.ceil(near.LIKELY * near.SAMPLES))
+    missed = sum(comb(near.SAMPLES, k) * near.SIMILARITY**k * (1 - near.SIMILARITY)**(near.SAMPLES - k) for k in range(least))
+    assert missed < (1 - near.SIMILARITY**near.ROWS)**near.BANDS / 20
+    one = np.arange(near.SAMPLES, dtype=np.uint32)
+    other = np.where(one < 38, one, one + 1000).astype(np.uint32)
+    members = spark.createDataFrame([(1, 1, 1), (1, 2, 2)], "bucket long, node long, component long")
+    signed = spark.createDataFrame([(1, one.tobytes(), 100), (2, other.tobytes(), 100)], "node long, samples binary, total long")
+    assert [(r.a, r.b) for r in near._likely_pairs(members, signed, 0, 2).collect()] == [(1, 2)]
