@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tracewell.llm import bpe, language, near, neighbours, packing, ppm, quality, repetition, sharding, toxicity
+from tracewell.llm import bpe, infill, language, near, neighbours, packing, ppm, quality, repetition, sharding, toxicity
 from tracewell.llm.common import id_remainder, table
 from tracewell.llm.registry import query
 
@@ -70,3 +70,23 @@ def op9(spark, sf_dir):
 @query("op10_weighted_minhash")
 def op10(spark, sf_dir):
     return near.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op12_fill_in_middle", """
+WITH u AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h,
+                  regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS units FROM documents),
+     c AS (SELECT *, len(units)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS c1, ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS c2,
+                  ('0x' || h[17:24])::BIGINT % 100 AS r3, ('0x' || h[25:32])::BIGINT % 100 AS r4 FROM u),
+     f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r3 >= 50 THEN 'plain'
+                          WHEN r4 < 80 THEN 'spm' ELSE 'psm' END AS form FROM c),
+     p AS (SELECT *, array_to_string(units[1:least(c1, c2)], '') AS a, array_to_string(units[least(c1, c2) + 1:greatest(c1, c2)], '') AS b,
+                  array_to_string(units[greatest(c1, c2) + 1:], '') AS z FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b ELSE '<S>' || z || '<P>' || a || '<M>' || b END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p""")
+def op12(spark, sf_dir):
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), out="infill")
+    text = infill.restored(F.col("infill.form"), F.col("infill.output"))
+    return made.select("doc_id", "infill.n", "infill.form", "infill.prefix_chars", "infill.middle_chars",
+                       F.sha2(F.col("infill.output").cast("binary"), 256).alias("output_sha256"), F.sha2(text.cast("binary"), 256).alias("restored_sha256"))
