@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tracewell.llm import bpe, infill, language, near, neighbours, packing, ppm, quality, repetition, sharding, toxicity
+from tracewell.llm import bpe, infill, language, near, neighbours, packing, ppm, quality, repetition, sharding, toxicity, urls
 from tracewell.llm.common import id_remainder, table
 from tracewell.llm.registry import query
 
@@ -90,3 +90,22 @@ def op12(spark, sf_dir):
     text = infill.restored(F.col("infill.form"), F.col("infill.output"))
     return made.select("doc_id", "infill.n", "infill.form", "infill.prefix_chars", "infill.middle_chars",
                        F.sha2(F.col("infill.output").cast("binary"), 256).alias("output_sha256"), F.sha2(text.cast("binary"), 256).alias("restored_sha256"))
+
+
+#: Host, path and whether the rule allows.
+URL_RULES = [("net", "/", False), ("example.net", "/en/", True), ("example.com", "/de/", False), ("org", "/fr/", True)]
+
+
+@query("op11_bloom_cascade", """
+WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+     h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM r),
+     p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+     w AS (SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                          WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                          WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                          WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM w""")
+def op11(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, allow boolean")
+    return urls.filtered(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "url_filter.*")
