@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tracewell.llm import bpe, infill, language, near, neighbours, packing, ppm, quality, repetition, sharding, toxicity, urls
+from tracewell.llm import bpe, collocations, infill, language, near, neighbours, packing, ppm, quality, repetition, sharding, toxicity, urls
 from tracewell.llm.common import id_remainder, table
 from tracewell.llm.registry import query
 
@@ -109,3 +109,24 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 def op11(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, allow boolean")
     return urls.filtered(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "url_filter.*")
+
+
+@query("op13_collocations", """
+WITH piece AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM (
+         SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
+     words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM piece),
+     place AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+     size AS (SELECT unnest([1, 2, 3, 4]) AS k),
+     f AS (SELECT lang, w[i:i + k - 1] AS g, k, count(*) AS n FROM place, size WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 30 OR k = 1),
+     total AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+     c AS (SELECT * FROM f WHERE k > 1 AND n >= 30),
+     held AS (SELECT lang, g[i:i + m - 1] AS g, max(n) AS n FROM (SELECT lang, g, k, n, m, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k) GROUP BY ALL),
+     kept AS (SELECT c.* FROM c LEFT JOIN held USING (lang, g) WHERE held.n IS NULL OR 100 * held.n < 80 * c.n),
+     cut AS (SELECT lang, g, k, n AS a, unnest(range(1, k)) AS p FROM kept),
+     s AS (SELECT cut.lang, cut.g, cut.a, cut.p, x.n AS l, y.n AS r, (2000000::HUGEINT * cut.a // (x.n + y.n))::BIGINT AS score
+           FROM cut JOIN f x ON x.lang = cut.lang AND x.g = cut.g[1:cut.p] JOIN f y ON y.lang = cut.lang AND y.g = cut.g[cut.p + 1:]),
+     best AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, p) = 1),
+     ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT ranked.lang, rank, phrase, a, l, r, total.n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""")
+def op13(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
