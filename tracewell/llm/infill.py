@@ -31,7 +31,8 @@ def _checked(marks: tuple[str, str, str]) -> list[bytes]:
     """The marks in bytes. No mark's first character stands further on in a mark, and none begins another, so what
     precedes or follows a mark never makes a false one with it."""
     firsts = {m[:1] for m in marks}
-    if len(marks) != 3 or "" in marks or any(c in m[1:] for m in marks for c in firsts) or any(a.startswith(b) for a in marks for b in marks if a is not b):
+    if len(marks) != 3 or "" in marks or any(c in m[1:] for m in marks for c in firsts) \
+            or any(marks[i].startswith(marks[j]) for i in range(3) for j in range(3) if i != j):
         raise ValueError(f"marks that can be mistaken: {marks}")
     return [m.encode() for m in marks]
 

@@ -60,10 +60,11 @@ class Bloom:
     def __init__(self, keys: int, miss: float, level: int):
         self.bits = max(64, math.ceil(keys * -math.log(miss) / math.log(2) ** 2 / 64) * 64)
         self.probes = max(1, round(-math.log2(miss)))
-        self.level, self.words = np.uint64(level + 1), None
+        self.salts = [np.uint64((level + 1) * int(m) % 2**64) for m in (_MIX, _STEP)]
+        self.words = None
 
     def positions(self, a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
-        x, y = a.view(np.uint64) ^ self.level * _MIX, b.view(np.uint64) ^ self.level * _STEP
+        x, y = (h.view(np.uint64) ^ salt for h, salt in zip((a, b), self.salts))
         for _ in range(self.probes):
             x = (x ^ x >> np.uint64(29)) * _MIX + y
             yield (x ^ x >> np.uint64(32)) % np.uint64(self.bits)
