@@ -1,9 +1,9 @@
 """Packing, shards, neighbours, near copies and the pipeline against plain versions."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
-from math import comb
 
 import numpy as np
 import public_tokenizers
@@ -186,22 +186,53 @@ def test_near_copies(spark, odd, none):
     assert len(copies) >= 6 and sum(r.kept for r in copies) in (1, 2)
 
 
-def test_likely_pairs_cross_chunks(spark, monkeypatch):
-    monkeypatch.setattr(near, "CHUNK", 3)
-    sample = np.arange(near.SAMPLES, dtype=np.uint32)
-    far = sample + 1000
-    members = [(1, n, n, (far if n == 7 else sample).tobytes(), 50 if n == 3 else 100) for n in range(10)] + [(2, n, 5, sample.tobytes(), 100) for n in (20, 21)]
-    df = spark.createDataFrame(members, "bucket long, node long, component long, samples binary, total long")
-    signed, df = df.select("node", "samples", "total"), df.drop("samples", "total")
-    everything = {(a, b) for a in range(10) for b in range(a + 1, 10) if not {a, b} & {3, 7}}
-    assert {(r.a, r.b) for r in near._likely_pairs(df, signed, 0, 100).collect()} == everything
-    got, low = set(), 0
-    while True:
-        rows_ = {(r.a, r.b) for r in near._likely_pairs(df, signed, low, 1).collect()}
-        got, low = got | rows_, low + 1
-        if (None, None) not in rows_:
-            break
-    assert got - {(None, None)} == everything and low > 1
+@pytest.mark.parametrize(("chunk", "chunk_bytes"), [(1024, 4 << 20), (3, 4 << 20), (1024, 300)])
+def test_all_documents_that_share_a_band_are_compared(spark, monkeypatch, chunk, chunk_bytes):
+    monkeypatch.setattr(near, "CHUNK", chunk)
+    monkeypatch.setattr(near, "CHUNK_BYTES", chunk_bytes)
+    r = random.Random(chunk + chunk_bytes)
+    base, bags = list(range(60)), []
+    for _ in range(90):
+        kept = r.sample(base, r.choice([30, 48, 52, 56]))
+        bags.append({k: r.choice([1, 1, 1, 2, 70_000]) if r.random() < 0.02 else 1 for k in kept + r.sample(range(100, 10**6), r.randrange(8))})
+    bands = [[1000 * k + r.randrange(6) if k < 3 else 10**6 * k + n for k in range(near.BANDS)] for n in range(90)]
+    component = [0 if n < 25 else 25 if n < 40 else n for n in range(90)]
+    like = lambda a, b: sum(min(a[k], b[k]) for k in a.keys() & b.keys()) / sum(max(a.get(k, 0), b.get(k, 0)) for k in a.keys() | b.keys())
+    expected = list(component)
+    for i in range(90):
+        for j in range(i):
+            if set(bands[i]) & set(bands[j]) and like(bags[i], bags[j]) >= near.SIMILARITY:
+                expected = [expected[j] if g == expected[i] else g for g in expected]
+    vectors = spark.createDataFrame([(n, sum(b.values()), *near.vector(np.array(list(b), np.uint64), np.array(list(b.values()))), bands[n]) for n, b in enumerate(bags)],
+                                    "node long, total long, keys binary, weights binary, bands array<long>")
+    members = vectors.select("node", "total", F.octet_length("keys").alias("bytes"), F.explode("bands").alias("bucket")).join(
+        spark.createDataFrame(list(enumerate(component)), "node long, component long"), "node")
+    links = [tuple(x) for x in near._cross_links(members, vectors, near.SIMILARITY).collect()]
+    got = list(component)
+    for a, b in links:
+        assert component[a] != component[b] and like(bags[a], bags[b]) >= near.SIMILARITY
+        got = [got[b] if g == got[a] else g for g in got]
+    assert len(set(got)) == len(set(expected)) < len(set(component)) and len(set(zip(got, expected))) == len(set(got))
+    dealt = near._dealt(members, near.SIMILARITY)
+    assert dealt.groupBy("bucket", "i", "j").count().agg(F.max("count")).first()[0] <= (90 if chunk > 3 else 40)
+    whole = members.withColumn("component", F.lit(1))
+    assert near._dealt(whole, near.SIMILARITY).count() == 0
+
+
+def test_a_hot_group_with_strangers_in_its_buckets(spark):
+    r = np.random.RandomState(21)
+    base = [f"b{i}" for i in range(80)]
+    texts = []
+    for k in range(160):
+        own = list(base)
+        for at in r.randint(0, 80, size=r.randint(0, 2) if k < 120 else r.randint(3, 9)):
+            own[at] = f"x{k}y{at}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = sorted(near.near_copies(docs, block_bytes=4000).collect(), key=lambda x: x.doc_id)
+    expected = plain_groups(texts)
+    least = {g: expected.index(g) for g in set(expected)}
+    assert [x.group_id for x in got] == [least[g] for g in expected] and 5 < len(least) < 60
 
 
 def test_pipeline_stages(spark, tmp_path):
@@ -255,14 +286,3 @@ def test_near_copies_of_null_ids_weigh_like_others(spark):
     data = [(None if i else 1, t) for i, t in enumerate(texts)]
     kept = near.near_copies(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).where("kept").count()
     assert kept == 600
-
-
-def test_likely_pairs_miss_far_fewer_than_the_bands(spark):
-    least = int(np.ceil(near.LIKELY * near.SAMPLES))
-    missed = sum(comb(near.SAMPLES, k) * near.SIMILARITY**k * (1 - near.SIMILARITY)**(near.SAMPLES - k) for k in range(least))
-    assert missed < (1 - near.SIMILARITY**near.ROWS)**near.BANDS / 20
-    one = np.arange(near.SAMPLES, dtype=np.uint32)
-    other = np.where(one < 38, one, one + 1000).astype(np.uint32)
-    members = spark.createDataFrame([(1, 1, 1), (1, 2, 2)], "bucket long, node long, component long")
-    signed = spark.createDataFrame([(1, one.tobytes(), 100), (2, other.tobytes(), 100)], "node long, samples binary, total long")
-    assert [(r.a, r.b) for r in near._likely_pairs(members, signed, 0, 2).collect()] == [(1, 2)]

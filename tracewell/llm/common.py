@@ -1,5 +1,6 @@
 """Helpers shared by the operators of this folder."""
 
+import ctypes
 import math
 import os
 from collections.abc import Iterator
@@ -92,3 +93,11 @@ def word_ids(words: list[list[bytes]], known: dict) -> tuple[np.ndarray, np.ndar
     counts = np.fromiter(map(len, words), np.int64, len(words))
     ids = np.fromiter((known[w] for ws in words for w in ws), np.int64, int(counts.sum()))
     return ids, counts
+
+
+def release() -> None:
+    """Give memory that numpy and Arrow have freed back to the machine; a worker else keeps the most it ever used."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -10,26 +10,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import block_count, checkpointed, starts_of, steps, word_ids
+from tracewell.llm.common import block_count, checkpointed, release, starts_of, steps, word_ids
 from tracewell.llm.components import components
-from tracewell.llm.ranks import numbered
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
-#: Share of equal samples from which a pair that shares a band is compared exactly; at a similarity of 0.8 the share
-#: of 64 samples is lower in about four pairs of a million, a fiftieth of what the bands miss.
-LIKELY = 0.55
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Text bytes that one numpy step works on.
 STEP_BYTES = 1 << 20
 #: Shingles of each part that counts documents.
 PART_SHINGLES = 1_000_000
-#: Members of a bucket that are compared with one another in a task.
-CHUNK = 1024
-#: Partners that a member names in the first round; each round names four times as many more, until none are left.
-PARTNERS = 2
+#: Members of a bucket that meet in a task with as many others, at most about, and bytes of their shingles.
+CHUNK, CHUNK_BYTES = 1024, 4 << 20
 #: A shingle's weight is its count times a whole number: RARE up to FEW documents, and falling with the logarithm of
 #: their number to COMMON where all documents have it.
 RARE, COMMON, FEW = 128, 96, 16
@@ -177,6 +171,7 @@ def _shared_counts(placed: DataFrame, parts: int) -> DataFrame:
             for p in np.flatnonzero(np.diff(bounds)).tolist():
                 at = slice(bounds[p], bounds[p + 1])
                 rows.append((p, _packed(own_keys[at]), None if own_n is None else own_n[at].astype("<u4").tobytes()))
+        release()
         part, keys_, n_ = zip(*rows) if rows else ((), (), ())
         return pa.table([pa.array(part, pa.int32()), pa.array([block["block"][0].as_py()] * len(rows), pa.int32()), pa.array(keys_, pa.binary()), pa.array(n_, pa.binary())],
                         names=["part", "block", "keys", "n"])
@@ -236,21 +231,22 @@ def _signed(placed: DataFrame, counts: DataFrame, parts: int, n_docs: int, simil
             for i, (digest, text) in enumerate(zip(digests, raw)):
                 text_md5 = hashlib.md5(text).hexdigest() if with_text else None
                 if not able[i]:
-                    rows.append((text_md5, None, 0, None, None, None, None))
+                    rows.append((text_md5, None, 0, None, None, None))
                 elif digest in seen:
-                    rows.append((text_md5, digest, int(total[i]), None, None, None, None))
+                    rows.append((text_md5, digest, int(total[i]), None, None, None))
                 else:
                     seen.add(digest)
                     mine = slice(int(starts[i]), int(starts[i] + n[i]))
                     in_two = times[mine] > 1
-                    rows.append((text_md5, digest, int(total[i]), bands[number[i]].tolist(), samples[number[i]].tobytes(), *vector(own[mine][in_two], weight[mine][in_two])))
-        columns = list(zip(*rows)) if rows else [()] * 7
-        types = (pa.string(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([block["id"], *(pa.array(c, t) for c, t in zip(columns, types))], names=["id", "text_md5", "digest", "total", "bands", "samples", "keys", "weights"])
+                    rows.append((text_md5, digest, int(total[i]), bands[number[i]].tolist(), *vector(own[mine][in_two], weight[mine][in_two])))
+        release()
+        columns = list(zip(*rows)) if rows else [()] * 6
+        types = (pa.string(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+        return pa.table([block["id"], *(pa.array(c, t) for c, t in zip(columns, types))], names=["id", "text_md5", "digest", "total", "bands", "keys", "weights"])
 
     id_type = placed.schema["id"].dataType.simpleString()
     return placed.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(
-        sign, f"id {id_type}, text_md5 string, digest binary, total long, bands array<long>, samples binary, keys binary, weights binary")
+        sign, f"id {id_type}, text_md5 string, digest binary, total long, bands array<long>, keys binary, weights binary")
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, similarity: float) -> DataFrame:
@@ -267,50 +263,91 @@ def _verified(pairs: DataFrame, vectors: DataFrame, similarity: float) -> DataFr
     return joined.select("a", "b", value.alias("similarity")).where(F.col("similarity") >= similarity)
 
 
-def _likely_pairs(members: DataFrame, signed: DataFrame, low: int, width: int, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs a, b of different components in a bucket with LIKELY equal samples or more; a row with nulls if there are more.
+def _dealt(members: DataFrame, similarity: float) -> DataFrame:
+    """bucket, i, j, chunk, node, component: members of mixed buckets, once for every chunk that theirs has to meet.
 
-    Members of a bucket are numbered and cut into chunks, and every two chunks meet in a task of their own that
-    compares samples; so no bucket meets in one task. Documents whose weights differ so much that they cannot reach the
-    similarity are no partners. `members` has bucket, node and component; the samples of `signed` join them last. A
-    member names the partners that rank from `low` to
-    `low + width` by equal samples, and at first also those most like all members, as the original of many copies is.
+    `members` has bucket, node, component, total and bytes. In a bucket of several components the members outside the
+    largest one meet all others, those of the largest one never each other. Chunks hold members of like total, and meet
+    those of the totals that the similarity allows; they are bounded in members and bytes, so no bucket
+    meets in one task, and a bucket of one component in none.
+    """
+    step = F.lit(1.01 / similarity)  # a little over the greatest quotient of two totals, so that rounding parts none
+    sizes = members.groupBy("bucket", "component").agg(F.count("node").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("component").alias("components")).where("components > 1")
+    size = F.floor(F.log(F.greatest("total", F.lit(1))) / F.log(step)).cast("int")
+    inside = members.join(mixed.drop("components"), "bucket").withColumn("kind", 2 * size + (F.col("component") == F.col("main")).cast("int"))
+    kinds = inside.groupBy("bucket", "kind").agg(F.ceil(F.greatest(F.count("node") / CHUNK, F.sum("bytes") / CHUNK_BYTES)).cast("int").alias("chunks"))
+    kinds = kinds.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("kind", "chunks"))).alias("kinds"))
+    number = lambda kind, chunk: F.shiftleft(kind.cast("long"), 32) + chunk
+    own = number(F.col("kind"), F.pmod(F.xxhash64("node"), F.element_at("kinds", F.col("kind"))))
+    main = lambda kind: kind % 2 == 1
+    met = F.filter(F.map_keys("kinds"), lambda k: (F.abs(F.floor(k / 2) - F.floor(F.col("kind") / 2)) <= 1) & ~(main(k) & main(F.col("kind"))))
+    others = F.flatten(F.transform(met, lambda k: F.transform(F.sequence(F.lit(0), F.element_at("kinds", k) - 1), lambda c: number(k, c))))
+    dealt = inside.join(kinds, "bucket").select("bucket", "node", "component", own.alias("chunk"), F.explode(others).alias("other"))
+    return dealt.select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component")
+
+
+def _cross_links(members: DataFrame, vectors: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b between components: every two documents of different components that share a bucket are compared exactly,
+    but for those that a link found in the same task has joined.
+
+    Two documents that share several buckets are compared in that of their first band. A task names no more links than join
+    its components, so the rows out follow the members.
     """
-    chunked = numbered(members, ["bucket"], ["node"], "number").withColumn("chunk", F.floor(F.col("number") / CHUNK).cast("int"))
-    last = chunked.groupBy("bucket").agg(F.max("chunk").alias("last"))
-    spread = chunked.join(last, "bucket").select("bucket", "node", "component", "chunk", F.explode(F.sequence(F.lit(0), "last")).alias("other")).select(
-        "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component").join(signed, "node")
-
     def compare(rows: pa.Table) -> pa.Table:
-        order = np.argsort(rows["node"].to_numpy())
-        node, component, chunk, total = (rows[c].to_numpy()[order] for c in ("node", "component", "chunk", "total"))
-        samples = np.frombuffer(b"".join(rows["samples"].to_pylist()), np.uint32).reshape(-1, SAMPLES)[order]
-        within, out, more = rows["i"][0] == rows["j"][0], [np.zeros((0, 2), np.int64)], False
-        equal = np.zeros((len(node), len(node)), np.uint8)
-        for k in range(SAMPLES):
-            equal += samples[:, k, None] == samples[None, :, k]
-        if not within:
-            equal[chunk[:, None] == chunk[None, :]] = 0
-        equal[np.arange(len(node)), np.arange(len(node))] = 0
-        equal[equal < LIKELY * SAMPLES] = 0
-        equal[total[:, None] * similarity > total[None, :]] = 0
-        equal[total[None, :] * similarity > total[:, None]] = 0
-        central = np.argsort(-equal.sum(axis=1, dtype=np.int64), kind="stable")
-        for i in range(len(node)):
-            at = np.flatnonzero(equal[i])
-            at = at[np.argsort(-equal[i, at].astype(np.int64), kind="stable")]
-            apart = component[at] != component[i]
-            more |= bool(apart[low + width:].any())
-            named = at[low:low + width][apart[low:low + width]]
-            if low == 0 and len(at):
-                hubs = central[equal[i, central] > 0][:width]
-                named = np.append(named, hubs[component[hubs] != component[i]])
-            if len(named):
-                out.append(np.stack([np.minimum(node[i], node[named]), np.maximum(node[i], node[named])], axis=1))
-        found = np.unique(np.concatenate(out), axis=0)
-        return pa.table([pa.array([*found[:, 0].tolist(), *[None] * more], pa.int64()), pa.array([*found[:, 1].tolist(), *[None] * more], pa.int64())], names=["a", "b"])
-
-    return spread.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+        order = np.argsort(rows["node"].to_numpy(), kind="stable")
+        rows = rows.take(pa.array(order))
+        chunk, bucket, same = rows["chunk"].to_numpy(), rows["bucket"][0].as_py(), rows["i"][0] == rows["j"][0]
+        low = chunk == rows["i"][0].as_py()
+        left, right = np.flatnonzero(low), np.arange(len(chunk)) if same else np.flatnonzero(~low)
+        if len(left) > len(right):
+            left, right = right, left
+        found = _links(rows, left, right, bucket, same, similarity) if len(left) and len(right) else []
+        a, b = zip(*found) if found else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    spread = _dealt(members, similarity).join(vectors.select("node", "total", "keys", "weights", "bands"), "node")
+    return spread.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def _links(rows: pa.Table, left: np.ndarray, right: np.ndarray, bucket: int, same: bool, similarity: float) -> list[tuple[int, int]]:
+    node, component, total = (rows[c].to_numpy() for c in ("node", "component", "total"))
+    bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    keys, weights = rows["keys"].to_pylist(), rows["weights"].to_pylist()
+    weight_of = lambda i: np.frombuffer(weights[i], "<u4" if len(weights[i]) == len(keys[i]) else "<u2").astype(np.int64)
+    names, label = np.unique(component, return_inverse=True)
+    sizes = np.array([len(keys[i]) // 4 for i in right])
+    universe, place = np.unique(np.concatenate([np.frombuffer(keys[i], "<u4") for i in right]), return_inverse=True)
+    held, starts = np.concatenate([weight_of(i) for i in right]), starts_of(sizes)
+    entry_of = np.repeat(np.arange(len(right)), sizes)
+    own, out = np.zeros(len(universe), np.int64), []
+    for i in left.tolist():
+        need = (label[right] != label[i]) & (total[right] >= similarity * total[i]) & (total[i] >= similarity * total[right])
+        if same:
+            need &= right > i
+        at = np.flatnonzero(need)
+        shared = bands[right[at]] == bands[i]
+        at = at[bands[i][shared.argmax(axis=1)] == bucket]
+        if not len(at):
+            continue
+        mine = np.frombuffer(keys[i], "<u4")
+        where = np.searchsorted(universe, mine)
+        where[where == len(universe)] = 0
+        hit = universe[where] == mine
+        own[where[hit]] = weight_of(i)[hit]
+        if 2 * len(at) < len(right):
+            chosen = np.zeros(len(right), bool)
+            chosen[at] = True
+            entries = np.flatnonzero(chosen[entry_of])
+            both = np.add.reduceat(np.minimum(own[place[entries]], held[entries]), starts_of(sizes[at]))
+        else:
+            both = np.add.reduceat(np.minimum(own[place], held), starts)[at]
+        own[where[hit]] = 0
+        for j in right[at[both >= similarity * np.maximum(1, total[i] + total[right[at]] - both)]].tolist():
+            if label[j] != label[i]:
+                out.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+                label[label == label[j]] = label[i]
+    return out
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES,
@@ -326,10 +363,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     documents miss all bands in one case of five thousand.
 
     Documents with equal words count as one from the bands on. Each document is first compared with one centre of its
-    buckets, the one it shares most bands with; what is then still apart in a bucket is compared by samples, and
-    likely pairs exactly, the likeliest first, in rounds that end when no likely pair is left between groups. So a
-    group of copies costs a few comparisons a member. Between members of different groups a link of documents that
-    share a band is skipped only where fewer than LIKELY of their samples are equal: at 0.8, four cases of a million.
+    buckets, the one it shares most bands with, so a group of copies costs a comparison or two a member. Then all
+    documents that share a band and are still apart are compared exactly; no link of such documents is skipped.
 
     One row of each group is `kept`. A null or empty text, or one without words, is a group of its own; repeated rows
     are copies of one another; ties go to the least id, a null id coming first. Other columns are not read; no rows
@@ -345,25 +380,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = rows.where("keys IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node"))
     vectors = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
 
-    members = checkpointed(vectors.select("node", F.explode("bands").alias("bucket")))
+    size = (F.octet_length("keys") + F.octet_length("weights")).alias("bytes")
+    members = checkpointed(vectors.select("node", "total", size, F.explode("bands").alias("bucket")))
     centres = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("node").alias("size")).where("size > 1").drop("size")
     shared = members.select("bucket", "node").join(centres, "bucket").where("node <> centre").groupBy("node", "centre").agg(F.count("bucket").alias("bands"))
     first = shared.groupBy("node").agg(F.max(F.struct("bands", (-F.col("centre")).alias("centre"))).alias("best"))
     links = checkpointed(_verified(first.select((-F.col("best.centre")).alias("a"), F.col("node").alias("b")), vectors, similarity).select("a", "b"))
 
-    found, low, width, more, tested = components(links), 0, PARTNERS, True, None
-    while more:
-        labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-        rest = checkpointed(_likely_pairs(labelled.join(mixed, "bucket", "left_semi"), vectors.select("node", "samples", "total"), low, width, similarity))
-        fresh = rest.where("a IS NOT NULL")
-        fresh = fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti")
-        linked = checkpointed(_verified(fresh, vectors, similarity).select("a", "b"))
-        tested = rest if tested is None else tested.unionAll(rest)
-        if not linked.isEmpty():
-            links = links.unionAll(linked)
-            found = components(links)
-        more, low, width = not rest.where("a IS NULL").isEmpty(), low + width, 4 * width
+    found = components(links)
+    labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    across = checkpointed(_cross_links(labelled, vectors, similarity))
+    if not across.isEmpty():
+        found = components(links.unionAll(across))
 
     of_digest = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     placed_rows = rows.select("id", "row", "digest", "text_md5").join(of_digest, "digest", "left").withColumn("component", F.coalesce("component", "row"))
