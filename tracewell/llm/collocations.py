@@ -1,8 +1,12 @@
 """Collocations: phrase counts from a weighted de Bruijn graph of the longest grams."""
 
+import math
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -17,9 +21,10 @@ LEAST, STANDS_FOR = 30, 80
 #: Phrases of each language.
 TOP = 2000
 #: Text bytes whose grams are counted together before they leave a task.
-STEP_BYTES = 8 << 20
-#: Texts that tell which beginnings are frequent, at most, and the share of grams from which one is dealt to many tasks.
-SAMPLE, HOT_SHARE, SALTS = 2000, 0.002, 64
+STEP_BYTES = 4 << 20
+#: Texts that tell which beginnings are frequent, at most, and the least share of grams from which one is dealt to several tasks.
+SAMPLE, HOT_SHARE = 2000, 0.0005
+GRAM = ["head", "salt", "third", "fourth", "n"]
 
 _DELIMITERS, _UPPER = b".,;:!?\n\x0b\x0c\r", bytes(range(65, 91))
 _PIECES = bytes.maketrans(_DELIMITERS + b"\t" + _UPPER, b"\n" * len(_DELIMITERS) + b" " + _UPPER.lower())
@@ -53,40 +58,117 @@ def local_grams(stretch: bytes) -> tuple[list[pa.Array], np.ndarray]:
         inside &= ids[at + k] > 1
         words.append(np.where(inside, ids[at + k], 0))
         # Codes are numbered anew each time, so that they stay below the number of grams.
-        _, code = np.unique(code * len(known) + words[-1], return_inverse=True)
+        code = pd.factorize(code * len(known) + words[-1])[0]
     n = np.bincount(code) if len(code) else np.zeros(0, np.int64)
     first = np.zeros(len(n), np.int64)
-    first[code] = np.arange(len(code))
+    first[code[::-1]] = np.arange(len(code))[::-1]
     names = pa.array([None, None, *list(known)[2:]], pa.binary())
     return [names.take(pa.array(w[first])) for w in words], n
 
 
-def grams(texts: DataFrame) -> DataFrame:
-    """head, third, fourth, n: the grams of columns lang and text, counted inside stretches of texts of one language.
+def _headed(lang: str, words: list[pa.Array], n: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+    """Head, third and fourth word, and count: each first word with all that begins with it, and the grams of two words or more."""
+    begin = pc.binary_join_element_wise(pa.scalar(lang.encode()), words[0], b"\n")
+    ones = pa.table([begin, pa.array(n)], names=["head", "n"]).group_by("head").aggregate([("n", "sum")])
+    more = pc.is_valid(words[1])
+    heads = pc.binary_join_element_wise(begin.filter(more), words[1].filter(more), b" ")
+    none = pa.nulls(len(ones), pa.binary())
+    join = lambda a, b: pa.concat_arrays([a, b])
+    return (join(ones["head"].combine_chunks(), heads), *(join(none, w.filter(more)) for w in words[2:]), join(ones["n_sum"].combine_chunks().cast(pa.int64()), pa.array(n).filter(more)))
 
-    The head is the language, a line feed and the first two words.
+
+def grams(texts: DataFrame, salts: dict[str, int] | None = None) -> DataFrame:
+    """head, salt, third, fourth, n: the grams of columns lang and text, counted inside stretches of texts of one language.
+
+    The head is the language, a line feed and the first two words, or a word alone with its count in all. Salts are
+    numbers up to that given for the head, by its third word; 0 for other heads.
     """
+    salts = {k.encode(): v for k, v in (salts or {}).items()}
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = pa.array(list(salts), pa.binary())
         for batch in batches:
             whole = pa.table([batch["lang"], batch["text"]], names=["lang", "text"])
             for lang in pc.unique(batch["lang"]).to_pylist():
                 for raw in steps(whole.filter(pc.equal(whole["lang"], lang))["text"], STEP_BYTES):
                     for stretch in stretches(raw):
-                        (one, two, *rest), n = local_grams(stretch)
-                        begin = pc.binary_join_element_wise(pa.scalar(lang.encode()), one, b"\n")
-                        head = pc.if_else(pc.is_null(two), begin, pc.binary_join_element_wise(begin, two, b" "))
-                        yield pa.RecordBatch.from_arrays([*(w.cast(pa.string()) for w in (head, *rest)), pa.array(n, pa.int64())], names=["head", "third", "fourth", "n"])
+                        head, third, fourth, n = _headed(lang, *local_grams(stretch))
+                        salt = np.zeros(len(head), np.int32)
+                        if salts:
+                            for i in np.flatnonzero(pc.is_in(head, hot).to_numpy(zero_copy_only=False)).tolist():
+                                salt[i] = 1 + zlib.crc32(third[i].as_py() or b"") % salts[head[i].as_py()]
+                        yield pa.RecordBatch.from_arrays([head.cast(pa.string()), pa.array(salt), third.cast(pa.string()), fourth.cast(pa.string()), n], names=GRAM)
 
-    return texts.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(count, "head string, third string, fourth string, n long")
+    return texts.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(count, "head string, salt int, third string, fourth string, n long")
 
 
-def _hot_heads(texts: DataFrame) -> list[str]:
-    """Heads of grams that a bounded sample of texts shows to be frequent; fewer than 1 / HOT_SHARE. They decide
-    where grams are counted, not the counts."""
+def _salts(texts: DataFrame, parts: int) -> dict[str, int]:
+    """Heads that a bounded sample of texts shows to have more grams than a share of a task, and numbers of tasks for them.
+    They decide where grams are counted, not the counts."""
     drawn = texts.select("lang", F.substring("text", 1, 1 << 16).alias("text"), F.xxhash64("text").alias("h")).orderBy("h").limit(SAMPLE)
-    counted = grams(drawn).groupBy("head").agg(F.count(F.lit(1)).alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy())
-    return [r["head"] for r in counted.select("head", share.alias("share")).where(F.col("share") > HOT_SHARE).collect()]
+    counted = grams(drawn).where("instr(head, ' ') > 0").groupBy("head").agg(F.count(F.lit(1)).alias("n"))
+    share = counted.select("head", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share")).where(F.col("share") > max(HOT_SHARE, 0.5 / parts))
+    return {r["head"]: max(2, math.ceil(2 * r["share"] * parts)) for r in share.collect()}
+
+
+class Runs:
+    """Sums over runs of equal keys in sorted batches; the last run of a batch stays open until the next shows its end."""
+
+    def __init__(self):
+        self.key, self.sum = None, 0
+
+    def closed(self, columns: list[pa.Array], new: np.ndarray, n: np.ndarray, least: int) -> list[tuple]:
+        """(key, sum) of the runs that end before this batch's last one, with sums of `least` or more."""
+        starts = np.flatnonzero(new)
+        sums = np.add.reduceat(n, starts)
+        key = lambda i: tuple(c[int(i)].as_py() for c in columns)
+        out, first = [], key(0)
+        if self.key == first:
+            sums[0] += self.sum
+        elif self.key is not None and self.sum >= least:
+            out.append((self.key, self.sum))
+        out += [(key(starts[i]), int(sums[i])) for i in np.flatnonzero(sums[:-1] >= least).tolist()]
+        self.key, self.sum = key(starts[-1]), int(sums[-1])
+        return out
+
+
+def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Of grams sorted by head, salt, third and fourth word: phrases that occur `least` times or more, all salted heads, and
+    the number of words of each language, with the language alone as head."""
+    runs, words, rows = [Runs() for _ in range(3)], Counter(), []
+
+    def take(level: int, found: list[tuple]) -> None:
+        for (head, salt, *rest), n in found:
+            if (salt or n >= least) if level == 0 else rest[-1] is not None:
+                rows.append((head, *rest, *[None] * (2 - len(rest)), n))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        head, salt, third, fourth, n = (batch[c] for c in GRAM)
+        n, salted = n.to_numpy(), salt.to_numpy(zero_copy_only=False) > 0
+        changed = lambda c: np.append(True, pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)).astype(bool)
+        new = changed(head) | changed(salt)
+        take(0, runs[0].closed([head, salt], new, n, 0 if salted.any() else least))
+        for level, c in ((1, third), (2, fourth)):
+            new = new | changed(pc.fill_null(c, ""))
+            take(level, runs[level].closed([head, salt, third, fourth][:2 + level], new, n, least))
+        single = pc.equal(pc.find_substring(head, " "), -1).to_numpy(zero_copy_only=False)
+        for h, x in zip(head.filter(pa.array(single)).to_pylist(), n[single].tolist()):
+            words[h.split("\n", 1)[0]] += x
+        if len(rows) > 10_000:
+            yield _rows(rows)
+            rows.clear()
+    for level, run in enumerate(runs):
+        if run.key is not None and (run.sum >= least or level == 0 and run.key[1]):
+            take(level, [(run.key, run.sum)])
+    rows += [(lang, None, None, n) for lang, n in words.items()]
+    yield _rows(rows)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(columns[3], pa.int64())], names=["head", "third", "fourth", "n"])
 
 
 def counts(texts: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -94,28 +176,18 @@ def counts(texts: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     `least` times or more; and lang and n, all words.
 
     Phrases of LONGEST words are the edges. A shorter phrase is counted by its flow: what leaves it by edges, and
-    what ends there with a piece. Grams are aggregated once, by their heads, so that edges and nodes are counted
-    where they meet. Heads that many grams share are dealt on by the third word, so that none meets in one task.
+    what ends there with a piece. Grams are dealt out once, by their heads, sorted there and summed up in passing,
+    so that edges and nodes are counted where they meet and no task holds more than a batch. Heads that many grams
+    share are dealt on by the third word.
     """
-    hot, salt = _hot_heads(texts), F.lit(0)
-    if hot:
-        salt = F.when(F.col("head").isin(hot), F.pmod(F.xxhash64("third"), F.lit(SALTS)).cast("int") + 1).otherwise(0)
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = grams(texts).withColumn("salt", salt).repartition(parts, "head", "salt")
-    total, often = F.sum("n").alias("n"), F.col("n") >= least
-    fours = met.where("fourth IS NOT NULL").groupBy("head", "salt", "third", "fourth").agg(total).where(often)
-    threes = met.where("third IS NOT NULL").groupBy("head", "salt", "third").agg(total).where(often)
-    heads = met.groupBy("head", "salt").agg(total)
-    pairs = heads.where("salt = 0").where(often).unionAll(heads.where("salt > 0").groupBy("head").agg(total).where(often).selectExpr("head", "0 AS salt", "n"))
-    ones = heads.groupBy(F.substring_index("head", " ", 1).alias("head")).agg(total)
-    none = F.lit(None).cast("string")
-    found = (fours.select("head", "third", "fourth", "n").unionAll(threes.select("head", "third", none, "n"))
-             .unionAll(pairs.where("instr(head, ' ') > 0").select("head", none, none, "n")).unionAll(ones.where(often).select("head", none, none, "n"))
-             .unionAll(ones.groupBy(F.substring_index("head", "\n", 1).alias("head")).agg(total).select("head", none, none, "n")))
-    found = checkpointed(found)
+    met = grams(texts, _salts(texts, parts)).repartition("head", "salt").sortWithinPartitions(F.xxhash64("head", "salt"), "head", "salt", "third", "fourth")
+    found = met.mapInArrow(lambda batches: _merged(batches, least), "head string, third string, fourth string, n long")
+    found = checkpointed(found.groupBy("head", "third", "fourth").agg(F.sum("n").alias("n")))
     lang, begin = F.substring_index("head", "\n", 1), F.substring_index("head", "\n", -1)
-    phrases = found.where("instr(head, '\n') > 0").select(lang.alias("lang"), F.split(F.concat_ws(" ", begin, "third", "fourth"), " ").alias("phrase"), "n")
-    return phrases, found.where("instr(head, '\n') = 0").select(F.col("head").alias("lang"), "n")
+    phrases = found.where(F.contains("head", F.lit("\n")) & (F.col("n") >= least))
+    phrases = phrases.select(lang.alias("lang"), F.split(F.concat_ws(" ", begin, "third", "fourth"), " ").alias("phrase"), "n")
+    return phrases, found.where(~F.contains("head", F.lit("\n"))).select(F.col("head").alias("lang"), "n")
 
 
 def unary_paths(phrases: DataFrame) -> DataFrame:
