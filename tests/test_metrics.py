@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions.stats import clopper_pearson_lower_values
-from tracewell.operators import acceptance, gates, judging, ranking, reports, robustness, splits
+from tracewell.operators import acceptance, gates, judging, ranking, reports, robustness, running, splits
 
 
 def test_published_bounds():
@@ -47,7 +47,7 @@ def test_rank_metrics_match_brute_force_with_a_hot_score(spark):
     t = ranking.threshold_for_coverage(df, [], "score", .6).first()
     cov = lambda x: np.mean([s >= x for _, s, _ in rows])
     assert abs(cov(t.threshold) - .6) == pytest.approx(min(abs(cov(s) - .6) for _, s, _ in rows))
-    qs = ranking.exact_quantiles(df, [], "score", {"q": .37}).first().q
+    qs = ranking.exact_quantiles(df, [], ["score"], {"q": .37}).first().q_score
     assert qs == pytest.approx(np.quantile([s for _, s, _ in rows], .37))
     ci = ranking.bootstrap_auroc(ranking.score_cells(df, [], "score", F.col("pos")), [], 300).first()
     assert ci.auroc_lo < wins < ci.auroc_hi and ci.auroc_hi - ci.auroc_lo < .15
@@ -142,3 +142,31 @@ def test_a_query_returns_all_pairs_of_judges(spark):
     got = entry.queries()["m29_judge_agreement_pairs"](spark, "/root/testdata/sf0.001").collect()
     assert sorted(r.pair for r in got) == ["original_vs_judge", "original_vs_rerun", "rerun_vs_judge"]
     assert "m29_judge_agreement_pairs" in entry.oracle_sql()
+
+
+def test_scores_of_any_scale_and_blocks_of_equal_size(spark):
+    rng = random.Random(6)
+    rows = [(rng.random() < .5, rng.choice([rng.uniform(200, 900), -rng.random() * 1e-9, 1e12 + i, 700.0, float("inf")]), i, "m" if i % 3 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "pos boolean, score double, id int, model string")
+    got = {r.model: r.auroc for r in ranking.auroc(df, ["model"], "score", F.col("pos")).collect()}
+    for model in ("m", None):
+        pos, neg = ([s for p, s, _, m in rows if m == model and p == want] for want in (True, False))
+        assert got[model] == pytest.approx(sum((a > b) + .5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg)))
+    cells = ranking.score_cells(df.where("score <> 700 AND score < 1e300"), ["model"], "score", F.col("pos"))
+    for r in running.drawn_blocks(cells, ["model"], running.Along("score", blocks=32)).groupBy("model").pivot("_block").count().collect():
+        sizes = [n or 0 for n in r[1:]]
+        assert len(sizes) == 32 and max(sizes) < 2 * sum(sizes) / 32
+
+
+def test_quantiles_of_several_columns_and_groups_at_once(spark):
+    rng = random.Random(9)
+    value = lambda: rng.choice([None, float("nan"), 3.0, rng.gauss(0, 1e9), rng.random() * 1e-300, 1.0 + rng.randrange(4) * 2**-52])
+    rows = [(rng.choice(["a", "b", None]), value(), float(rng.randrange(5)), rng.random() if i else None) for i in range(4000)] + [("c", None, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, z double")
+    shares = {"lo": .025, "median": .5, "p99": .99, "most": 1.0, "least": 0.0}
+    for r in ranking.exact_quantiles(df, ["g"], ["x", "y", "z"], shares).collect():
+        for i, c in enumerate("xyz"):
+            own = [row[1 + i] for row in rows if row[0] == r.g and row[1 + i] is not None and row[1 + i] == row[1 + i]]
+            for name, q in shares.items():
+                assert r[f"{name}_{c}"] == (pytest.approx(np.quantile(own, q), rel=1e-12) if own else None)
+    assert ranking.exact_quantiles(df.where("false"), ["g"], ["x"], shares).count() == 0

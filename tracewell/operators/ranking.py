@@ -16,7 +16,8 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tracewell.functions.hashing import draw_key
 from tracewell.functions.stats import ratio
-from tracewell.operators.running import prefix_sums, score_block
+from tracewell.operators.running import Along, drawn_blocks, on_keys, prefix_sums
+from tracewell.session import cut_lineage
 
 # Ship the Python code with the job, so workers need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -35,10 +36,9 @@ def score_cells(df: DataFrame, keys: list[str], score: str, positive: Column) ->
         F.sum(F.when(positive, 1).otherwise(0)).alias("pos"), F.sum(F.when(positive, 0).otherwise(1)).alias("neg"))
 
 
-def auroc_of_cells(cells: DataFrame, keys: list[str], block: Column | None = None) -> DataFrame:
-    """P(score of a positive > score of a negative), ties half; NULL when one side is empty."""
-    block = score_block(F.col("score")) if block is None else block
-    ranked = prefix_sums(cells, keys, block, ["score"], {"neg_below": F.col("neg")})
+def auroc_of_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """P(score of a positive > score of a negative), ties half; NULL when one side is empty. Scores of any scale."""
+    ranked = prefix_sums(cells, keys, Along("score"), ["score"], {"neg_below": F.col("neg")})
     wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
     return ranked.groupBy(*keys).agg(
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
@@ -99,7 +99,7 @@ def bootstrap_auroc(cells: DataFrame, keys: list[str], n_boot: int = 1000, seed:
             frame.insert(0, k, head[k])
         return frame
 
-    blocked = cells.withColumn("block", score_block(F.col("score"), blocks).cast("long"))
+    blocked = drawn_blocks(cut_lineage(cells), list(keys), Along("score", blocks=blocks), "block").withColumn("block", F.col("block").cast("long"))
     drawn = blocked.groupBy(*names, "block").applyInPandas(draw, schema)
     before = Window.partitionBy(*names, "replicate").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     joined = drawn.withColumn("_below", F.coalesce(F.sum("neg").over(before), F.lit(0.0)))
@@ -122,7 +122,7 @@ def threshold_for_coverage(df: DataFrame, keys: list[str], score: str, target: f
     number, rank below all others; only finite scores are candidates.
     """
     cells = df.groupBy(*keys, F.coalesce(F.nanvl(F.col(score).cast("double"), F.lit(MISSING)), F.lit(MISSING)).alias("score")).agg(F.count("*").alias("_n"))
-    ranked = prefix_sums(cells, keys, score_block(F.col("score")), ["score"], {"_below": F.col("_n")}, totals=True)
+    ranked = prefix_sums(cells, keys, Along("score"), ["score"], {"_below": F.col("_n")}, totals=True)
     coverage = (F.col("_below_total") - F.col("_below")) / F.col("_below_total")
     gap = F.round(F.abs(coverage - F.lit(target)), 12)
     finite = ranked.where((F.col("score") > MISSING) & (F.col("score") < float("inf")))
@@ -137,7 +137,7 @@ def aurc_rank(df: DataFrame, keys: list[str], score: str, correct: Column, id_co
                      F.coalesce(F.col(score), F.lit(MISSING)).alias("score"),
                      (1 - correct.cast("int")).alias("_err")).withColumn("_tie", draw_key(seed, *id_cols))
     cells = rows.groupBy(*keys, "score").agg(F.count("*").alias("_n"), F.sum("_err").alias("_e"))
-    above = prefix_sums(cells, keys, score_block(F.col("score"), descending=True), [F.col("score").desc()],
+    above = prefix_sums(cells, keys, Along("score", descending=True), [F.col("score").desc()],
                         {"_n_above": F.col("_n"), "_e_above": F.col("_e")}).select(*keys, "score", "_n_above", "_e_above")
     # Many rows may share one score: they are cut by the leading digits of the digest.
     inside = prefix_sums(rows, [*keys, "score"], F.substring("_tie", 1, 3), ["_tie"],
@@ -198,26 +198,52 @@ def choose_threshold(curve: DataFrame, keys: list[str], target: float) -> DataFr
         F.lit(float(target)).alias("requested_coverage"), F.col("_w.coverage").alias("maximum_available_coverage"))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], block: Column | None = None) -> DataFrame:
-    """Linearly interpolated quantiles, from counts per distinct value.
+def exact_quantiles(df: DataFrame, keys: list[str], values: list[str], q: dict[str, float], max_rounds: int = 64) -> DataFrame:
+    """Linearly interpolated quantiles of several columns at once: the keys and `<name>_<column>` for every share in `q`.
 
-    `block` must not decrease with the value; the default suits values in [0, 1].
+    Selection by histograms: the values that are still open are cut at their approximate quantiles and
+    counted by cell, a cell that holds a wanted rank stays open, and the next round looks inside it.
+    A round divides the open values of every key and column by about the number of cells, so two or
+    three rounds do for any number of rows, and no value list is sorted. NULL and NaN values do
+    not count; keys without values are left out.
     """
-    cells = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("score")).agg(F.count("*").alias("_n"))
-    block = score_block(F.col("score")) if block is None else block
-    ranked = prefix_sums(cells, keys, block, ["score"], {"_below": F.col("_n")}, totals=True)
-
-    def at(index):
-        # The value whose ranks [below, below + n) contain the 0-based index.
-        return F.max(F.when((F.col("_below") <= index) & (index < F.col("_below") + F.col("_n")), F.col("score")))
-
-    picks = []
-    for name, q in qs.items():
-        pos = F.lit(float(q)) * (F.col("_below_total") - 1)
-        low = F.floor(pos)
-        frac = F.max(pos - low)
-        picks.append((at(low) + frac * (at(F.ceil(pos)) - at(low))).alias(name))
-    return ranked.groupBy(*keys).agg(*picks)
+    own = [*keys, "_column"]
+    columns = F.explode(F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in values])).alias("_c")
+    open_ = cut_lineage(df.select(*keys, columns).select(*keys, "_c.*").where(F.col("_value").isNotNull() & ~F.isnan("_value")))
+    rank = lambda share: F.lit(float(share)) * (F.col("_n") - 1)
+    wanted = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(rank(s)), F.ceil(rank(s))) for s in q.values()])))
+    totals = cut_lineage(open_.groupBy(*own).agg(F.count("_value").alias("_n")).select("*", F.transform(wanted, lambda r: r.cast("long")).alias("_ranks")))
+    # Open cells: key and column, place of the cell, its first rank and the wanted ranks inside.
+    open_ = open_.withColumn("_cell", F.lit(0))
+    inside = totals.select(*own, F.lit(0).alias("_cell"), F.lit(0).cast("long").alias("_first"), "_ranks")
+    found = None
+    for _ in range(max_rounds):
+        counted = drawn_blocks(open_, [*own, "_cell"], Along("_value", blocks=256), "_block")
+        cells = counted.groupBy(*own, "_cell", "_block").agg(F.count("_value").alias("_rows"), F.min("_value").alias("_low"), F.max("_value").alias("_high"))
+        before = Window.partitionBy(*own, "_cell").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        cells = cells.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        cells = on_keys(cells, inside, [*own, "_cell"]).withColumn("_from", F.col("_first") + F.col("_before"))
+        held = F.filter("_ranks", lambda r: (r >= F.col("_from")) & (r < F.col("_from") + F.col("_rows")))
+        hit = cut_lineage(cells.withColumn("_held", held).where(F.size("_held") > 0))
+        done = hit.where("_low = _high").select(*own, F.explode("_held").alias("_rank"), F.col("_low").alias("_value"))
+        found = done if found is None else found.unionByName(done)
+        left = hit.where("_low < _high")
+        if left.isEmpty():
+            break
+        number = F.dense_rank().over(Window.partitionBy(*own).orderBy("_cell", "_block"))
+        left = cut_lineage(left.select(*own, "_low", "_high", F.col("_from").alias("_first"), F.col("_held").alias("_ranks"), number.alias("_next")))
+        spans = left.groupBy(*own).agg(F.collect_list(F.struct("_low", "_high", "_next")).alias("_spans"))
+        at = F.get(F.filter("_spans", lambda s: (s["_low"] <= F.col("_value")) & (F.col("_value") <= s["_high"])), F.lit(0))["_next"]
+        open_ = on_keys(open_.drop("_cell"), spans, own).withColumn("_cell", at).drop("_spans").where(F.col("_cell").isNotNull())
+        inside = left.select(*own, F.col("_next").alias("_cell"), "_first", "_ranks")
+    else:
+        raise RuntimeError(f"quantiles not found in {max_rounds} rounds")
+    ranks = found.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_at"))
+    ends = on_keys(totals.drop("_ranks"), ranks, own)
+    pick = lambda r: F.element_at("_at", r.cast("long"))
+    picks = [(pick(F.floor(rank(s))) + (rank(s) - F.floor(rank(s))) * (pick(F.ceil(rank(s))) - pick(F.floor(rank(s))))).alias(n) for n, s in q.items()]
+    each = ends.select(*own, *picks)
+    return each.groupBy(*keys).agg(*[F.max(F.when(F.col("_column") == c, F.col(n))).alias(f"{n}_{c}") for c in values for n in q])
 
 
 def draw_hypergeometric(rng: np.random.Generator, good: int, bad: int, sizes: np.ndarray) -> np.ndarray:

@@ -13,6 +13,8 @@ from tracewell.functions.spans import alignment_status, char_overlap, notice_vis
 from tracewell.functions.stats import ratio, wilson_high, wilson_low
 from tracewell.functions.text import day_mentions, find_cue, has_digit, word_count
 from tracewell.operators import ranking
+from tracewell.operators.running import on_keys
+from tracewell.session import cut_lineage
 
 
 def answered() -> Column:
@@ -96,7 +98,7 @@ def workflow_outcomes(df: DataFrame) -> DataFrame:
         F.count("*").alias("n_cases"), *[f(c).alias(f"_{n}_{c}") for c in ("task_success", "unsafe_error")
                                          for n, f in (("n", F.count), ("k", F.sum))],
         F.avg("time_seconds").alias("mean_time_seconds"))
-    median = ranking.exact_quantiles(work, ["system"], "time_seconds", {"median_time_seconds": 0.5}, F.floor("score").cast("long"))
+    median = ranking.exact_quantiles(work, ["system"], ["time_seconds"], {"median": 0.5})
     z = K.Z_EXACT
     stats = {}
     for c in ("task_success", "unsafe_error"):
@@ -443,16 +445,16 @@ def span_recall_report(scored: DataFrame) -> DataFrame:
     """Recall and precision over all scorable rows, over answered ones and by span tier, in long form."""
     groups = F.array_compact(F.array(
         F.lit("all"), F.when(answered(), F.lit("answered_only")), F.when(F.col("span_tier").isNotNull(), F.concat(F.lit("tier:"), F.col("span_tier")))))
-    rows = scored.where(F.col("gold_evidence_span_v2").isNotNull()).select("*", F.explode(groups).alias("rows"))
+    numbers = ["recall", "precision", "f1", "span_len_frac"]
+    # The overlap of the texts is worked out once; from here on there are numbers alone.
+    rows = cut_lineage(scored.where(F.col("gold_evidence_span_v2").isNotNull()).select(*numbers, F.explode(groups).alias("rows")))
     share = lambda c, col: ratio(n_of(c), F.count(col))
     out = rows.groupBy("rows").agg(
         F.count("*").alias("n_scorable"), F.avg("recall").alias("mean_recall"), F.avg("precision").alias("mean_precision"),
         F.avg("f1").alias("mean_f1"), share(F.col("recall") == 0, "recall").alias("frac_zero_recall"),
         share(F.col("recall") >= 0.999, "recall").alias("frac_full_recall"), F.avg("span_len_frac").alias("mean_span_len_frac"),
         share(F.col("span_len_frac") >= 0.8, "span_len_frac").alias("frac_span_over_80pct"))
-    for col, name in (("recall", "median_recall"), ("precision", "median_precision"), ("span_len_frac", "median_span_len_frac")):
-        out = out.join(ranking.exact_quantiles(rows, ["rows"], col, {name: 0.5}), "rows", "left")
-    return out
+    return out.join(ranking.exact_quantiles(rows, ["rows"], ["recall", "precision", "span_len_frac"], {"median": 0.5}), "rows", "left")
 
 
 def extraction_metrics(results: DataFrame, by: str = "template") -> DataFrame:
@@ -516,8 +518,7 @@ def corpus_stats(notes: DataFrame) -> DataFrame:
     classes = rel.groupBy("gold_relation").agg(F.count("*").alias("_n"), n_of(F.col("_in")).alias("_in"), n_of(F.col("_cue").isNull()).alias("_no"))
     total = classes.agg(F.sum("_n").alias("n_relation_notes"), (F.max("_n") / F.sum("_n")).alias("majority_rate"),
                         F.sum("_in").alias("n_spans_in_text"), F.sum("_no").alias("n_without_cue"))
-    words = ranking.exact_quantiles(rel, [], "words", {"median_words": 0.5}, (F.col("score") / 64).cast("long"))
-    return total.crossJoin(words)
+    return on_keys(total, ranking.exact_quantiles(rel, [], ["words"], {"median": 0.5}), [])
 
 
 def relation_counts(notes: DataFrame) -> DataFrame:

@@ -5,27 +5,72 @@ blocks: block totals are pre-aggregated, a small table of totals is accumulated
 exact window runs inside (key, block) only.
 """
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.hashing import draw_key
+from tracewell.session import cut_lineage
+
+
+@dataclass(frozen=True)
+class Along:
+    """Blocks drawn along a number or a timestamp: each key's range is cut at its own quantiles.
 
+    So blocks hold about equally many rows whatever the scale of the values. Equal values share a
+    block; reduce rows to distinct values first, or order them by a digest. `blocks` is a power of two.
+    """
+
+    value: str
+    descending: bool = False
+    blocks: int = 1024
 
-def score_block(score: Column, cells: int = 1 << 16, descending: bool = False) -> Column:
-    """Monotone block number of a score in [0, 1]; scores outside fall into the outermost blocks."""
-    cell = F.floor(F.least(F.greatest(score, F.lit(-1.0)), F.lit(2.0)) * cells).cast("int")
-    return -cell if descending else cell
 
+def drawn_blocks(df: DataFrame, keys: list[str], along: Along, out: str = "_block") -> DataFrame:
+    """Add the number of the key's splitters that a value reaches. NULL values are in block 0.
 
-def prefix_sums(df: DataFrame, keys: list[str], block: Column, order: list, sums: dict[str, Column],
+    The rows are read twice: once for the quantiles, which are a mergeable summary of fixed
+    precision, and once to be numbered.
+    """
+    shares = F.array(*[F.lit((i + 1) / along.blocks) for i in range(along.blocks - 1)])
+    splits = F.array_distinct(F.percentile_approx(F.col(along.value), shares, 16 * along.blocks)).alias("_splits")
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(along.blocks.bit_length() - 1))])
+    reach = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.get("_splits", at + step - 1) <= F.col(along.value), at + step).otherwise(at))
+    drawn = on_keys(df, df.groupBy(*keys).agg(splits), keys)
+    return drawn.withColumn(out, -reach if along.descending else reach).drop("_splits")
+
+
+def on_keys(df: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of a table with one row per key. A NULL key meets the NULL key; without keys there is one row for all."""
+    if not keys:
+        # A table of one row.
+        return df.join(F.broadcast(per_key), F.lit(True), "left")
+    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    condition = same[0]
+    for s in same[1:]:
+        condition &= s
+    return df.join(per_key.withColumnsRenamed(names), condition, "left").drop(*names.values())
+
+
+def prefix_sums(df: DataFrame, keys: list[str], block: Column | Along, order: list, sums: dict[str, Column],
                 totals: bool = False, inclusive: bool = False) -> DataFrame:
     """Add running sums per key in the given order.
 
     `block` must not decrease along `order`; `order` has to be unique within a block for
     reproducible results. With `totals` the sum over the whole key is added as `<name>_total`.
+
+    The input is evaluated once and written to the checkpoint folder; rows are shuffled once, by key
+    and block. Block totals and the sums inside blocks start from there.
     """
     names = list(sums)
-    work = df.withColumns({"_block": block, **{f"_v_{n}": sums[n] for n in names}})
+    values = {f"_v_{n}": sums[n] for n in names}
+    if isinstance(block, Along):
+        work = drawn_blocks(cut_lineage(df.withColumns(values)), keys, block).repartition(*keys, "_block")
+    else:
+        work = cut_lineage(df.withColumns({"_block": block, **values}).repartition(*keys, "_block"))
     per_block = work.groupBy(*keys, "_block").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names])
     # Without keys there is a single row per block, and the number of blocks is fixed by the caller.
     lead = keys or [F.lit(0)]
@@ -38,7 +83,7 @@ def prefix_sums(df: DataFrame, keys: list[str], block: Column, order: list, sums
     inside = (Window.partitionBy(*keys, "_block").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     return (
-        work.join(offsets, keys + ["_block"])
+        on_keys(work, offsets, [*keys, "_block"])
         .withColumns({n: F.col(f"_o_{n}") + F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in names})
         .drop("_block", *[f"_v_{n}" for n in names], *[f"_o_{n}" for n in names])
     )
