@@ -2,17 +2,19 @@
 
 import math
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import checkpointed, steps
+from tracewell.llm.common import checkpointed, release
 
 #: Words of the longest gram; nodes of the graph have one word less.
 LONGEST = 4
@@ -21,12 +23,14 @@ LEAST, STANDS_FOR = 30, 80
 #: Phrases of each language.
 TOP = 2000
 #: Text bytes whose grams are counted together before they leave a task.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 6 << 20
 #: Texts that tell which beginnings are frequent, at most, and the least share of grams from which one is dealt to several tasks.
 SAMPLE, HOT_SHARE = 2000, 0.0005
-GRAM = ["head", "salt", "third", "fourth", "n"]
+#: Text bytes whose grams meet in a part, about.
+PART_BYTES = 8 << 20
 
 _DELIMITERS, _UPPER = b".,;:!?\n\x0b\x0c\r", bytes(range(65, 91))
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _PIECES = bytes.maketrans(_DELIMITERS + b"\t" + _UPPER, b"\n" * len(_DELIMITERS) + b" " + _UPPER.lower())
 
 
@@ -42,133 +46,140 @@ def stretches(texts: list[bytes], limit: int = STEP_BYTES) -> Iterator[bytes]:
         start = stop
 
 
-def local_grams(stretch: bytes) -> tuple[list[pa.Array], np.ndarray]:
-    """Distinct grams of a stretch, as LONGEST columns of words (null beyond the gram's end), and their counts.
+def local_grams(stretch: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of a stretch, its distinct grams as LONGEST columns of word numbers (-1 beyond the gram's end), and their counts.
 
     Each word begins one gram: the longest that its piece has room for. So the grams of fewer than LONGEST words are
     the ends of pieces, and every occurrence of a phrase is the beginning of exactly one gram.
     """
     known: dict = {b"": 0, b"\n": 1}
     tokens = stretch.replace(b"\n", b" \n ").split(b" ")
-    ids = np.fromiter((known.setdefault(t, len(known)) for t in tokens), np.int64, len(tokens))
-    ids = np.append(ids[ids != 0], np.ones(LONGEST, np.int64))
-    at = np.flatnonzero(ids > 1)
-    code, words, inside = np.zeros(len(at), np.int64), [], np.ones(len(at), bool)
+    ids = np.fromiter((known.setdefault(t, len(known)) for t in tokens), np.int64, len(tokens)) - 2
+    ids = np.append(ids[ids != -2], np.full(LONGEST, -1))
+    at = np.flatnonzero(ids >= 0)
+    words, inside = np.empty((LONGEST, len(at)), np.int64), np.ones(len(at), bool)
     for k in range(LONGEST):
-        inside &= ids[at + k] > 1
-        words.append(np.where(inside, ids[at + k], 0))
-        # Codes are numbered anew each time, so that they stay below the number of grams.
-        code = pd.factorize(code * len(known) + words[-1])[0]
-    n = np.bincount(code) if len(code) else np.zeros(0, np.int64)
-    first = np.zeros(len(n), np.int64)
+        inside &= ids[at + k] >= 0
+        words[k] = np.where(inside, ids[at + k], -1)
+    first, n, _ = _distinct(words, np.ones(len(at), np.int64))
+    return list(known)[2:], words[:, first], n
+
+
+def _distinct(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Columns that are distinct: a place of each, the sum of n, and the number of each column. Sums are whole and below 2^53."""
+    code = np.zeros(words.shape[1], np.int64)
+    for w in words:
+        # Codes are numbered anew each time, so that they stay below the number of columns.
+        code = pd.factorize(code * (int(w.max(initial=0)) + 2) + w + 1)[0]
+    sums = np.bincount(code, n).astype(np.int64) if len(code) else np.zeros(0, np.int64)
+    first = np.zeros(len(sums), np.int64)
     first[code[::-1]] = np.arange(len(code))[::-1]
-    names = pa.array([None, None, *list(known)[2:]], pa.binary())
-    return [names.take(pa.array(w[first])) for w in words], n
+    return first, sums, code
 
 
-def _headed(lang: str, words: list[pa.Array], n: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
-    """Head, third and fourth word, and count: each first word with all that begins with it, and the grams of two words or more."""
-    begin = pc.binary_join_element_wise(pa.scalar(lang.encode()), words[0], b"\n")
-    ones = pa.table([begin, pa.array(n)], names=["head", "n"]).group_by("head").aggregate([("n", "sum")])
-    more = pc.is_valid(words[1])
-    heads = pc.binary_join_element_wise(begin.filter(more), words[1].filter(more), b" ")
-    none = pa.nulls(len(ones), pa.binary())
-    join = lambda a, b: pa.concat_arrays([a, b])
-    return (join(ones["head"].combine_chunks(), heads), *(join(none, w.filter(more)) for w in words[2:]), join(ones["n_sum"].combine_chunks().cast(pa.int64()), pa.array(n).filter(more)))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(29)
 
 
-def grams(texts: DataFrame, salts: dict[str, int] | None = None) -> DataFrame:
-    """head, salt, third, fourth, n: the grams of columns lang and text, counted inside stretches of texts of one language.
+def dealt(lang: str, words: list[bytes], grams: np.ndarray, n: np.ndarray, parts: int, salts: dict[tuple, int]) -> Iterator[tuple[int, bytes, bytes]]:
+    """Part, grams and counts, compressed: the grams of two words or more, and each word that begins grams with their number.
 
-    The head is the language, a line feed and the first two words, or a word alone with its count in all. Salts are
-    numbers up to that given for the head, by its third word; 0 for other heads.
+    The part is a hash of the language and the first two words, for a head with salts also of the third word.
     """
-    salts = {k.encode(): v for k, v in (salts or {}).items()}
+    single, flow, _ = _distinct(grams[:1], n)
+    more = np.flatnonzero(grams[1] >= 0)
+    ones = np.full((LONGEST, len(single)), -1)
+    ones[0] = grams[0, single]
+    grams, n = np.append(grams[:, more], ones, axis=1), np.append(n[more], flow)
+    own = np.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), np.uint64(0))
+    key = _mixed(own[grams[0]] * _MIX + own[grams[1]] + np.uint64(zlib.crc32(lang.encode())))
+    if salts:
+        number = {w: i for i, w in enumerate(words)}
+        for (_, one, two), size in ((h, s) for h, s in salts.items() if h[0] == lang):
+            at = np.flatnonzero((grams[0] == number.get(one, -2)) & (grams[1] == number.get(two, -2)))
+            key[at] = _mixed(key[at] + _mixed(own[grams[2, at]]) % np.uint64(size) * _MIX)
+    part = (key % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((grams[1], grams[0], part))
+    names = pa.array([*words, None], pa.large_binary())
+    columns = (names.take(pa.array(np.where(c[order] < 0, len(words), c[order]))) for c in grams)
+    text = pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.large_binary()), null_handling="skip")
+    text = pc.binary_join_element_wise(text, pa.scalar(b"\n", pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+    offsets, data = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1), memoryview(text.buffers()[2] or b"")
+    bounds = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order)).tolist()
+    packed = zstandard.ZstdCompressor(level=1)
+    counts_ = n[order].astype("<u8")
+    for a, b in zip(bounds, bounds[1:]):
+        yield int(part[order[a]]), packed.compress(data[offsets[a]:offsets[b]]), packed.compress(counts_[a:b].tobytes())
+
+
+def by_blocks(batches: Iterator[pa.RecordBatch], rows_of: Callable) -> Iterator[pa.RecordBatch]:
+    """`rows_of` language, words, grams and counts of some megabytes of texts of one language at a time."""
+    held, size = defaultdict(list), Counter()
+
+    def flush(lang: str) -> Iterator[pa.RecordBatch]:
+        for stretch in stretches(held.pop(lang)):
+            yield rows_of(lang, *local_grams(stretch))
+        del size[lang]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = pa.array(list(salts), pa.binary())
-        for batch in batches:
-            whole = pa.table([batch["lang"], batch["text"]], names=["lang", "text"])
-            for lang in pc.unique(batch["lang"]).to_pylist():
-                for raw in steps(whole.filter(pc.equal(whole["lang"], lang))["text"], STEP_BYTES):
-                    for stretch in stretches(raw):
-                        head, third, fourth, n = _headed(lang, *local_grams(stretch))
-                        salt = np.zeros(len(head), np.int32)
-                        if salts:
-                            for i in np.flatnonzero(pc.is_in(head, hot).to_numpy(zero_copy_only=False)).tolist():
-                                salt[i] = 1 + zlib.crc32(third[i].as_py() or b"") % salts[head[i].as_py()]
-                        yield pa.RecordBatch.from_arrays([head.cast(pa.string()), pa.array(salt), third.cast(pa.string()), fourth.cast(pa.string()), n], names=GRAM)
-
-    return texts.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(count, "head string, salt int, third string, fourth string, n long")
-
-
-def _salts(texts: DataFrame, parts: int) -> dict[str, int]:
-    """Heads that a bounded sample of texts shows to have more grams than a share of a task, and numbers of tasks for them.
-    They decide where grams are counted, not the counts."""
+    for batch in batches:
+        for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
+            held[lang].append(text.as_py())
+            size[lang] += len(held[lang][-1])
+            if size[lang] >= STEP_BYTES:
+                yield from flush(lang)
+            elif size.total() >= 4 * STEP_BYTES:
+                yield from flush(max(size, key=size.get))
+    for lang in list(held):
+        yield from flush(lang)
+
+
+def _salts(texts: DataFrame, parts: int) -> dict[tuple, int]:
+    """Heads (language and two words) that a bounded sample of texts shows to have more grams than a part takes, and
+    into how many they go. They decide where grams are counted, not the counts."""
     drawn = texts.select("lang", F.substring("text", 1, 1 << 16).alias("text"), F.xxhash64("text").alias("h")).orderBy("h").limit(SAMPLE)
-    counted = grams(drawn).where("instr(head, ' ') > 0").groupBy("head").agg(F.count(F.lit(1)).alias("n"))
-    share = counted.select("head", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share")).where(F.col("share") > max(HOT_SHARE, 0.5 / parts))
-    return {r["head"]: max(2, math.ceil(2 * r["share"] * parts)) for r in share.collect()}
-
-
-class Runs:
-    """Sums over runs of equal keys in sorted batches; the last run of a batch stays open until the next shows its end."""
-
-    def __init__(self):
-        self.key, self.sum = None, 0
-
-    def closed(self, columns: list[pa.Array], new: np.ndarray, n: np.ndarray, least: int) -> list[tuple]:
-        """(key, sum) of the runs that end before this batch's last one, with sums of `least` or more."""
-        starts = np.flatnonzero(new)
-        sums = np.add.reduceat(n, starts)
-        key = lambda i: tuple(c[int(i)].as_py() for c in columns)
-        out, first = [], key(0)
-        if self.key == first:
-            sums[0] += self.sum
-        elif self.key is not None and self.sum >= least:
-            out.append((self.key, self.sum))
-        out += [(key(starts[i]), int(sums[i])) for i in np.flatnonzero(sums[:-1] >= least).tolist()]
-        self.key, self.sum = key(starts[-1]), int(sums[-1])
-        return out
-
-
-def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Of grams sorted by head, salt, third and fourth word: phrases that occur `least` times or more, all salted heads, and
-    the number of words of each language, with the language alone as head."""
-    runs, words, rows = [Runs() for _ in range(3)], Counter(), []
-
-    def take(level: int, found: list[tuple]) -> None:
-        for (head, salt, *rest), n in found:
-            if (salt or n >= least) if level == 0 else rest[-1] is not None:
-                rows.append((head, *rest, *[None] * (2 - len(rest)), n))
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        head, salt, third, fourth, n = (batch[c] for c in GRAM)
-        n, salted = n.to_numpy(), salt.to_numpy(zero_copy_only=False) > 0
-        changed = lambda c: np.append(True, pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)).astype(bool)
-        new = changed(head) | changed(salt)
-        take(0, runs[0].closed([head, salt], new, n, 0 if salted.any() else least))
-        for level, c in ((1, third), (2, fourth)):
-            new = new | changed(pc.fill_null(c, ""))
-            take(level, runs[level].closed([head, salt, third, fourth][:2 + level], new, n, least))
-        single = pc.equal(pc.find_substring(head, " "), -1).to_numpy(zero_copy_only=False)
-        for h, x in zip(head.filter(pa.array(single)).to_pylist(), n[single].tolist()):
-            words[h.split("\n", 1)[0]] += x
-        if len(rows) > 10_000:
-            yield _rows(rows)
-            rows.clear()
-    for level, run in enumerate(runs):
-        if run.key is not None and (run.sum >= least or level == 0 and run.key[1]):
-            take(level, [(run.key, run.sum)])
-    rows += [(lang, None, None, n) for lang, n in words.items()]
-    yield _rows(rows)
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [()] * 4
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(columns[3], pa.int64())], names=["head", "third", "fourth", "n"])
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows_of(lang, words, grams, n):
+            grams = grams[:, grams[1] >= 0]
+            first, rows, _ = _distinct(grams[:2], np.ones(grams.shape[1], np.int64))
+            one, two = ([words[i] for i in grams[k, first].tolist()] for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(one), pa.string()), pa.array(one, pa.binary()), pa.array(two, pa.binary()), pa.array(rows, pa.int64())], names=["lang", "one", "two", "n"])
+        yield from by_blocks(batches, rows_of)
+
+    found = drawn.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(heads, "lang string, one binary, two binary, n long")
+    found = found.groupBy("lang", "one", "two").agg(F.sum("n").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return {(r["lang"], bytes(r["one"]), bytes(r["two"])): max(2, math.ceil(2 * r["share"] * parts))
+            for r in found.where(F.col("share") > max(HOT_SHARE, 0.5 / parts)).collect()}
+
+
+def merged(lang: list[str], blobs: list[bytes], sizes: list[bytes], least: int, salts: dict[tuple, int]) -> Iterator[tuple[str, str, int]]:
+    """Language, phrase and count from the grams of a part: phrases that occur `least` times or more, what the part has of
+    heads with salts, and each language's words under the empty phrase."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for own in sorted(set(lang)):
+        rows = [i for i, x in enumerate(lang) if x == own]
+        n = np.concatenate([np.frombuffer(unpack(sizes[i]), "<u8") for i in rows]).astype(np.int64)
+        text = pa.array([b"".join(unpack(blobs[i]) for i in rows)[:-1].replace(b"\n", b" \n ")], pa.large_binary())
+        tokens = pc.list_flatten(pc.split_pattern(text, pattern=b" ")).dictionary_encode()
+        ids, words = tokens.indices.to_numpy().astype(np.int64), tokens.dictionary.to_pylist()
+        stop = ids == words.index(b"\n") if len(n) > 1 else np.zeros(len(ids), bool)
+        at = np.append(0, np.flatnonzero(stop) + 1)
+        end = np.append(np.flatnonzero(stop), len(ids))
+        grams = np.full((LONGEST, len(at)), -1)
+        for k in range(LONGEST):
+            has = at + k < end
+            grams[k, has] = ids[at[has] + k]
+        yield own, "", int(n[grams[1] < 0].sum())
+        kept = {(one, two) for lang_, one, two in salts if lang_ == own}
+        for k in range(1, LONGEST + 1):
+            ends = grams[1] < 0 if k == 1 else grams[k - 1] >= 0
+            inside, counted = grams[:k, ends], n[ends]
+            first, sums, _ = _distinct(inside, counted)
+            for i in np.flatnonzero(sums >= (0 if k == 2 and kept else least)).tolist():
+                phrase = [words[j] for j in inside[:, first[i]].tolist()]
+                if sums[i] >= least or tuple(phrase) in kept:
+                    yield own, b" ".join(phrase).decode(), int(sums[i])
 
 
 def counts(texts: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -176,18 +187,30 @@ def counts(texts: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     `least` times or more; and lang and n, all words.
 
     Phrases of LONGEST words are the edges. A shorter phrase is counted by its flow: what leaves it by edges, and
-    what ends there with a piece. Grams are dealt out once, by their heads, sorted there and summed up in passing,
-    so that edges and nodes are counted where they meet and no task holds more than a batch. Heads that many grams
-    share are dealt on by the third word.
+    what ends there with a piece. Tasks count grams by blocks of texts, and deal them out once by their heads, so that edges and nodes are
+    summed up where they meet; a part stands for about PART_BYTES of text. Heads that many grams share are dealt
+    on by the third word, and summed up once more.
     """
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = grams(texts, _salts(texts, parts)).repartition("head", "salt").sortWithinPartitions(F.xxhash64("head", "salt"), "head", "salt", "third", "fourth")
-    found = met.mapInArrow(lambda batches: _merged(batches, least), "head string, third string, fourth string, n long")
-    found = checkpointed(found.groupBy("head", "third", "fourth").agg(F.sum("n").alias("n")))
-    lang, begin = F.substring_index("head", "\n", 1), F.substring_index("head", "\n", -1)
-    phrases = found.where(F.contains("head", F.lit("\n")) & (F.col("n") >= least))
-    phrases = phrases.select(lang.alias("lang"), F.split(F.concat_ws(" ", begin, "third", "fourth"), " ").alias("phrase"), "n")
-    return phrases, found.where(~F.contains("head", F.lit("\n"))).select(F.col("head").alias("lang"), "n")
+    bytes_ = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    parts = max(1, -(-bytes_ // PART_BYTES))
+    salts = _salts(texts, parts)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows_of(lang, *grams):
+            rows = list(zip(*dealt(lang, *grams, parts, salts))) or [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array([lang] * len(rows[0]), pa.string()), *(pa.array(c, pa.binary()) for c in rows[1:])], names=["part", "lang", "grams", "n"])
+        yield from by_blocks(batches, rows_of)
+
+    def merge(rows: pa.Table) -> pa.Table:
+        found = list(zip(*merged(*(rows[c].to_pylist() for c in ("lang", "grams", "n")), least, salts)))
+        release()
+        return pa.table([pa.array(c, t) for c, t in zip(found, (pa.string(), pa.string(), pa.int64()))], names=["lang", "phrase", "n"])
+
+    blobs = texts.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(count, "part long, lang string, grams binary, n binary")
+    found = blobs.groupBy("part").applyInArrow(merge, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    found = checkpointed(found)
+    phrases = found.where((F.col("phrase") != "") & (F.col("n") >= least)).select("lang", F.split("phrase", " ").alias("phrase"), "n")
+    return phrases, found.where("phrase = ''").select("lang", "n")
 
 
 def unary_paths(phrases: DataFrame) -> DataFrame:
