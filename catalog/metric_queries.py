@@ -59,6 +59,15 @@ def m2(spark, sf):
     return rounded(ranking.auroc(predictions(spark, sf), ["model"], "score", F.col("variant") == "clean"))
 
 
+# Scores from minus hundreds to thousands.
+@query("m2_auroc_logits", f"""WITH {PRED}, c AS (SELECT model, (CAST(n_chars AS DOUBLE) - 2000) / 4 AS s, {_n("variant = 'clean'")} AS pos, {_n("variant <> 'clean'")} AS neg FROM p GROUP BY model, s),
+w AS (SELECT *, SUM(neg) OVER (PARTITION BY model ORDER BY s) - neg AS below FROM c)
+SELECT model, CAST(SUM(pos) AS BIGINT) AS n_pos, CAST(SUM(neg) AS BIGINT) AS n_neg, ROUND(SUM(pos * (below + CAST(neg AS DOUBLE) / 2)) / (CAST(SUM(pos) AS DOUBLE) * SUM(neg)), 6) AS auroc FROM w GROUP BY model""")
+def m2_logits(spark, sf):
+    p = view(spark, sf, "f_pred").withColumn("logit", (F.col("n_chars").cast("double") - 2000) / 4)
+    return rounded(ranking.auroc(p, ["model"], "logit", F.col("variant") == "clean"))
+
+
 @query("m3_bootstrap_auroc")
 def m3(spark, sf):
     cells = ranking.score_cells(predictions(spark, sf), ["model"], "score", F.col("variant") == "clean")

@@ -1,12 +1,15 @@
 """Temporal store of relations."""
 
 import datetime
+import uuid
 
 from pyspark.sql import functions as F
 
 from catalog.fixtures import view
 from catalog.registry import query
 from tracewell.operators import store
+from tracewell.session import shared_folder
+from tracewell.streaming.contradictions import contradictions
 
 KG_OPEN = ["edge_key", "seq", "source_id", "target_id", "site_id", "relation_type", "valid_from", "coverage"]
 
@@ -43,6 +46,25 @@ def k2_links(spark, sf):
     return store.contradiction_links(edges, latest)
 
 
+@query("k2_contradictions_on_a_stream", """
+SELECT a.edge_key, b.edge_key AS contradicts
+FROM {f_kg} a JOIN {f_kg} b ON b.source_id = a.source_id AND b.target_id = a.target_id AND b.seq < a.seq
+ AND (b.end_seq IS NULL OR b.end_seq > a.seq) AND b.relation_type <> a.relation_type""")
+def k2_stream(spark, sf):
+    edges = view(spark, sf, "f_kg")
+    rows = edges.select("source_id", "target_id", "edge_key", "relation_type", F.col("seq").alias("at"), F.lit(True).alias("opens")).unionByName(
+        edges.where("end_seq IS NOT NULL").select("source_id", "target_id", "edge_key", F.lit(None).cast("string").alias("relation_type"), F.col("end_seq").alias("at"), F.lit(False).alias("opens")))
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    # The log comes in three parts, each in a batch of its own.
+    cuts = rows.approxQuantile("at", [1 / 3, 2 / 3], 0.01)
+    for low, high in zip([float("-inf"), *cuts], [*cuts, float("inf")]):
+        rows.where((F.col("at") > low) & (F.col("at") <= high)).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    log = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+    out = contradictions(log).writeStream.format("parquet").option("path", f"{folder}/links").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("edge_key long, contradicts long").parquet(f"{folder}/links")
+
+
 @query("k3_supersede", "SELECT edge_key, valid_from, valid_to FROM {f_kg}")
 def k3(spark, sf):
     return store.supersede(view(spark, sf, "f_kg").select(*KG_OPEN), view(spark, sf, "f_closures")).select("edge_key", "valid_from", "valid_to")
@@ -77,6 +99,32 @@ def k6_counts(spark, sf):
     return store.relation_counts_as_of(view(spark, sf, "f_kg"), [datetime.datetime(2024, 1, 8), datetime.datetime(2024, 1, 22)])
 
 
+# 10,000 moments or as many as the orders give: the day of each order, moved into the weeks of the events.
+MOMENTS = "SELECT DISTINCT CAST('2024-01-01 00:00:00' AS TIMESTAMP) + INTERVAL 1 SECOND * CAST(o_orderkey * 7919 % 4000000 AS INT) AS moment FROM {orders}"
+
+
+@query("k6_counts_at_points", f"""
+WITH m AS ({MOMENTS}), s AS (SELECT relation_type, valid_from AS t, 1 AS d FROM {{f_kg}} WHERE valid_to IS NULL OR valid_to > valid_from
+  UNION ALL SELECT relation_type, valid_to, -1 FROM {{f_kg}} WHERE valid_to > valid_from
+  UNION ALL SELECT k.relation_type, m.moment, 0 FROM m, (SELECT DISTINCT relation_type FROM {{f_kg}}) k),
+w AS (SELECT relation_type, t, SUM(d) OVER (PARTITION BY relation_type ORDER BY t) AS n FROM s)
+SELECT DISTINCT t AS moment, relation_type, CAST(n AS BIGINT) AS n FROM w WHERE n > 0 AND t IN (SELECT moment FROM m)""")
+def k6_counts_points(spark, sf):
+    moments = view(spark, sf, "orders").selectExpr("TIMESTAMP'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, o_orderkey * 7919 % 4000000) AS moment")
+    return store.relation_counts_at(view(spark, sf, "f_kg"), moments)
+
+
+@query("k6_relations_at_points", """
+WITH p AS (SELECT DISTINCT e.user_id AS source_id, e.event_type AS target_id, n.ts AS moment FROM {events} e JOIN {events} n ON n.event_id = e.event_id + 40)
+SELECT p.source_id, p.target_id, p.moment, k.edge_key, k.relation_type FROM p JOIN {f_kg} k ON k.source_id = p.source_id AND k.target_id = p.target_id
+ AND k.valid_from <= p.moment AND (k.valid_to IS NULL OR k.valid_to > p.moment)""")
+def k6_relations_points(spark, sf):
+    e = view(spark, sf, "events")
+    later = e.select((F.col("event_id") - 40).alias("event_id"), F.col("ts").alias("moment"))
+    points = e.select("event_id", F.col("user_id").alias("source_id"), F.col("event_type").alias("target_id")).join(later, "event_id").drop("event_id")
+    return store.relations_at(view(spark, sf, "f_kg"), points)
+
+
 MOTIFS = """
 SELECT site_id, COUNT(*) AS n_total_edges, COUNT(*) FILTER (WHERE relation_type = 'ABSTAINED') AS n_abstained,
        AVG(coverage) FILTER (WHERE relation_type <> 'ABSTAINED') AS mean_coverage FROM {f_kg} WHERE valid_to IS NULL GROUP BY site_id"""

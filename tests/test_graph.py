@@ -32,7 +32,7 @@ def test_active_state_matches_brute_force_with_a_hot_patient(spark):
         older = [r[2] for r in rows if r[0] == p]
         rows.append((p, rng.choice("ab"), i, i, rng.randint(-5, 40), rng.choice(older) if older and rng.random() < 0.4 else None))
     points = [(p, c, q) for p in range(0, 21, 4) for c in "ab" for q in (-6, -1, 0, 7, 20, 39, 41)]
-    got = facts.active_state(make_facts(spark, rows), spark.createDataFrame(points, "patient_id int, concept_type string, day int"), day_bits=8)
+    got = facts.active_state(make_facts(spark, rows), spark.createDataFrame(points, "patient_id int, concept_type string, day int"))
     found = {(r.patient_id, r.concept_type, r.day): r.fact_id for r in got.collect()}
     assert found == {k: brute_active(rows, *k) for k in points}
 

@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from tracewell.operators import store
+from tracewell.streaming.contradictions import contradictions
 from tracewell.streaming.ingest import append_edges
 
 EDGE = "edge_key long, seq long, source_id int, target_id int, relation_type string"
@@ -63,3 +64,44 @@ def test_stream_appends_every_edge_once(spark, tmp_path):
     batch(50).write.mode("append").parquet(src)
     append_edges(stream(), out, ck).awaitTermination(60)
     assert sorted(r.edge_key for r in spark.read.parquet(out).collect()) == list(range(100))
+
+
+def test_relations_at_a_table_of_moments_match_brute_force(spark):
+    rng = random.Random(8)
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(microseconds=s)
+    rows = []
+    for k in range(400):
+        start = rng.choice([None, rng.randrange(50), rng.randrange(10**12), -10**16])
+        end = None if rng.random() < .3 or start is None else start + rng.choice([0, -5, 1, 2, rng.randrange(10**12)])
+        rows.append((k, 0 if k % 3 else rng.randrange(3), 0, rng.choice("ABC"), start, end))
+    moments = sorted({rng.randrange(60) for _ in range(30)} | {rng.randrange(2 * 10**12) for _ in range(40)} | {-2 * 10**16, -10**16})
+    valid = lambda r, m: r[4] is not None and r[4] <= m and (r[5] is None or r[5] > m)
+    for kind in ("timestamp", "timestamp_ntz"):
+        edges = spark.createDataFrame([(*r[:4], *(None if x is None else at(x) for x in r[4:])) for r in rows],
+                                      f"edge_key long, source_id int, target_id int, relation_type string, valid_from {kind}, valid_to {kind}")
+        asked = spark.createDataFrame([(at(m),) for m in moments * 2] + [(None,)], f"moment {kind}")
+        got = {(r.moment.replace(tzinfo=None), r.relation_type): r.n for r in store.relation_counts_at(edges, asked).collect()}
+        expected = {(at(m), t): n for m in moments for t in "ABC" if (n := sum(valid(r, m) for r in rows if r[3] == t))}
+        assert got == expected
+        points = asked.withColumns({"source_id": F.lit(0), "target_id": F.lit(0)})
+        links = sorted((r.moment.replace(tzinfo=None), r.edge_key) for r in store.relations_at(edges, points).collect())
+        assert links == sorted((at(m), r[0]) for m in moments for r in rows if r[1] == 0 and valid(r, m))
+    assert store.relation_counts_at(edges.where("false"), asked).count() == store.relations_at(edges, points.where("false")).count() == 0
+
+
+def test_links_of_a_stream_in_three_batches_equal_those_of_a_table(spark, tmp_path):
+    rng = random.Random(12)
+    edges = [(i, 2 * i, 0 if i % 2 else rng.randrange(3), 0, rng.choice("ABC")) for i in range(60)]
+    ends = {i: rng.choice([2 * i + rng.randrange(1, 60), 2 * i + 2 * rng.randrange(1, 9)]) for i in range(60) if rng.random() < .6}
+    log = [(u, v, k, t, s, True) for k, s, u, v, t in edges] + [(edges[k][2], 0, k, None, s, False) for k, s in ends.items()]
+    schema = "source_id int, target_id int, edge_key long, relation_type string, at long, opens boolean"
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+    for low, high in ((0, 40), (40, 41), (41, 1000)):
+        part = [r for r in log if low <= r[4] < high]
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = contradictions(spark.readStream.schema(schema).parquet(src), salts=2)
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.edge_key, r.contradicts) for r in spark.read.parquet(out).collect())
+    expected = sorted((a[0], b[0]) for a in edges for b in edges if a[2:4] == b[2:4] and b[1] < a[1] and ends.get(b[0], 10**9) > a[1] and a[4] != b[4])
+    assert got == expected and len(got) > 50

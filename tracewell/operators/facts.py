@@ -26,12 +26,12 @@ def _power(level: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), level)
 
 
-def _blocks(start: Column, end: Column, bits: int) -> Column:
+def aligned_blocks(start: Column, end: Column, bits: int) -> Column:
     """Smallest set of aligned power-of-two blocks that tile [start, end)."""
     def level(i):
         unit = _power(i)
-        low = F.floor((start + unit - 1) / unit)      # blocks of this size start here
-        high = F.floor(end / unit)
+        low = F.call_function("shiftright", start + unit - 1, i)      # blocks of this size start here
+        high = F.call_function("shiftright", end, i)
         left = F.when((low < high) & (F.pmod(low, F.lit(2)) == 1), low)
         low_after = F.when(left.isNotNull(), low + 1).otherwise(low)
         right = F.when((low_after < high) & (F.pmod(high, F.lit(2)) == 1), high - 1)
@@ -75,7 +75,7 @@ def active_state(facts: DataFrame, points: DataFrame) -> DataFrame:
     start, end = F.col("day").cast("long") + offset, F.col("_until").cast("long") + offset
     nodes = (
         closed.groupBy(*KEY, "day", "_until").agg(F.max("_f").alias("_f"))
-        .select(*KEY, "_f", F.explode(_blocks(start, end, DAY_BITS)).alias("_b"))
+        .select(*KEY, "_f", F.explode(aligned_blocks(start, end, DAY_BITS)).alias("_b"))
         .groupBy(*KEY, F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block"))
         .agg(F.max("_f").alias("_f"))
     )

@@ -4,15 +4,20 @@
 model_id, coverage, ... `closures`: edge_key, close_seq, valid_to; closing never deletes a row.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell import constants as K
 from tracewell.functions.stats import ratio
-from tracewell.operators.running import prefix_sums
+from tracewell.operators.facts import aligned_blocks
+from tracewell.operators.running import Along, on_keys, prefix_sums
+from tracewell.session import cut_lineage
 
 PAIR = ["source_id", "target_id"]
 
+#: Times from the year -70,000 to 73,000, in microseconds moved to 0 and up, lie below 2**MICROS_BITS.
+MICROS_BITS = 62
+
 
 def node_id(note, label, scale):
     """Same note, label and scale give the same node."""
@@ -42,22 +47,33 @@ def append_relations(edges: DataFrame, block_bits: int = 16) -> DataFrame:
     two events by different relation types. Counts come from running sums over the log of inserts
     and closures, so the work is linear however many versions one pair has; sequence numbers are
     unique, which bounds a block to 2 ** block_bits inserts.
+
+    The log is written and shuffled once, by pair and block: sums over all types and over the edge's
+    own type start from the same totals by pair, block and type.
     """
     opened = edges.select(*PAIR, "relation_type", "edge_key", F.col("seq").alias("_at"), F.lit(1).alias("_open"))
     closed = edges.where(F.col("end_seq").isNotNull()).select(
         *PAIR, "relation_type", "edge_key", F.col("end_seq").alias("_at"), F.lit(0).alias("_open"))
-    log = opened.unionByName(closed)
-    sums = lambda p: {f"{p}_ins": F.col("_open"), f"{p}_act": 2 * F.col("_open") - 1}
-    block, order = F.shiftright("_at", block_bits), ["_at", "_open", "edge_key"]
-    log = prefix_sums(log, PAIR, block, order, sums("all"), totals=True)
-    log = prefix_sums(log, PAIR + ["relation_type"], block, order, sums("same"), totals=True)
-    at_open = lambda c: F.max(F.when(F.col("_open") == 1, c))
-    other = lambda kind: F.col(f"all_{kind}") - F.col(f"same_{kind}")
-    until_close = F.max(F.when(F.col("_open") == 0, other("ins")))
-    until_now = F.max(F.col("all_ins_total") - F.col("same_ins_total"))
+    log = opened.unionByName(closed).withColumn("_block", F.shiftright("_at", block_bits))
+    log = cut_lineage(log.repartition(*PAIR, "_block"))
+    sums = {"ins": F.col("_open"), "act": 2 * F.col("_open") - 1}
+    totals = log.groupBy(*PAIR, "_block", "relation_type").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    earlier = Window.partitionBy(*PAIR).orderBy("_block").rangeBetween(Window.unboundedPreceding, -1)
+    of_type = Window.partitionBy(*PAIR, "relation_type")
+    earlier_of_type = of_type.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    other = lambda every, same: F.coalesce(every, F.lit(0)) - F.coalesce(same, F.lit(0))
+    offsets = totals.select(
+        *PAIR, "_block", "relation_type", *[other(F.sum(n).over(earlier), F.sum(n).over(earlier_of_type)).alias(f"_before_{n}") for n in sums],
+        other(F.sum("ins").over(Window.partitionBy(*PAIR)), F.sum("ins").over(of_type)).alias("_in_all"))
+    inside = Window.partitionBy(*PAIR, "_block").orderBy("_at", "_open", "edge_key").rowsBetween(Window.unboundedPreceding, -1)
+    inside_of_type = Window.partitionBy(*PAIR, "_block", "relation_type").orderBy("_at", "_open", "edge_key").rowsBetween(Window.unboundedPreceding, -1)
+    log = on_keys(log, offsets, [*PAIR, "_block", "relation_type"]).withColumns(
+        {n: F.col(f"_before_{n}") + other(F.sum(c).over(inside), F.sum(c).over(inside_of_type)) for n, c in sums.items()})
+    at_open = lambda c: F.max(F.when(F.col("_open") == 1, F.col(c)))
+    until_close = F.max(F.when(F.col("_open") == 0, F.col("ins")))
     counts = log.groupBy("edge_key").agg(
-        at_open(other("act")).alias("n_contradicts"),
-        (F.coalesce(until_close, until_now) - at_open(other("ins"))).alias("n_contradicted_by"))
+        at_open("act").alias("n_contradicts"),
+        (F.coalesce(until_close, F.max("_in_all")) - at_open("ins")).alias("n_contradicted_by"))
     return edges.join(counts, "edge_key")
 
 
@@ -97,6 +113,53 @@ def relation_counts_as_of(edges: DataFrame, moments: list) -> DataFrame:
     return valid.groupBy("moment", "relation_type").agg(F.count("*").alias("n"))
 
 
+def relation_counts_at(edges: DataFrame, moments: DataFrame) -> DataFrame:
+    """Valid edges by relation type at every moment of a table (column `moment`): moment, relation_type, n.
+
+    A sweep: an edge counts 1 from its start and is taken off at its end; starts and ends are reduced
+    to distinct times, moments are put between them, and running sums over blocks of time give the
+    number at each moment. No edge meets a moment. Types without a valid edge at a moment have no row there.
+    """
+    own = edges.where(F.col("valid_from").isNotNull() & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from"))))
+    steps = own.select("relation_type", F.explode(F.array(
+        F.struct(F.col("valid_from").alias("at"), F.lit(1).alias("step")), F.struct(F.col("valid_to").alias("at"), F.lit(-1).alias("step")))).alias("_s"))
+    steps = steps.select("relation_type", "_s.*").where(F.col("at").isNotNull()).groupBy("relation_type", "at").agg(F.sum("step").alias("step"))
+    # One row with the vocabulary of relation types.
+    types = edges.agg(F.collect_set("relation_type").alias("_types"))
+    asked = moments.select(F.col("moment").alias("at")).where(F.col("at").isNotNull()).distinct()
+    asked = on_keys(asked, types, []).select(F.explode("_types").alias("relation_type"), "at", F.lit(0).cast("long").alias("step"))
+    line = steps.withColumn("_asked", F.lit(False)).unionByName(asked.withColumn("_asked", F.lit(True)))
+    # At one time the steps come before the question: an edge that starts then counts, one that ends then does not.
+    swept = prefix_sums(line, ["relation_type"], Along("at"), ["at", "_asked"], {"n": F.col("step")})
+    return swept.where(F.col("_asked") & (F.col("n") > 0)).select(F.col("at").alias("moment"), "relation_type", "n")
+
+
+def _micros(df: DataFrame, column: str) -> Column:
+    """A time in microseconds, moved to 0 and up. Times without a zone are taken as they stand."""
+    if df.schema[column].dataType.simpleString() == "timestamp_ntz":
+        since = f"CAST(CAST(`{column}` - TIMESTAMP_NTZ'1970-01-01 00:00:00' AS INTERVAL SECOND) AS DECIMAL(18, 6))"
+        return F.expr(f"CAST({since} * 1000000 AS BIGINT)") + F.lit(1 << (MICROS_BITS - 1))
+    return F.unix_micros(F.col(column).cast("timestamp")) + F.lit(1 << (MICROS_BITS - 1))
+
+
+def relations_at(edges: DataFrame, points: DataFrame) -> DataFrame:
+    """The edges of a pair that are valid at asked moments: `points` has source_id, target_id, moment.
+
+    Result: the points' columns, edge_key, relation_type, one row for every valid edge. Times are kept in microseconds; the time in which an edge is valid is
+    cut into aligned blocks whose lengths are powers of two, at most two of each length. A moment looks up the
+    one block of each length that holds it, on the lengths that its pair has. So no edge of a pair meets a moment at
+    which it is not valid, however many versions the pair has.
+    """
+    end = F.coalesce(_micros(edges, "valid_to"), F.lit(1 << MICROS_BITS))
+    held = edges.where(F.col("valid_from").isNotNull()).select(*PAIR, "edge_key", "relation_type", _micros(edges, "valid_from").alias("_start"), end.alias("_end"))
+    held = held.where("_end > _start").select(*PAIR, "edge_key", "relation_type", F.explode(aligned_blocks(F.col("_start"), F.col("_end"), MICROS_BITS)).alias("_b"))
+    held = held.select(*PAIR, "edge_key", "relation_type", "_b.level", "_b.block")
+    levels = held.select(*PAIR, "level").distinct()
+    asked = points.select(*PAIR, "moment").distinct().withColumn("_at", _micros(points, "moment")).join(levels, PAIR)
+    asked = asked.withColumn("block", F.call_function("shiftright", "_at", F.col("level")))
+    return asked.join(held, [*PAIR, "level", "block"]).select(*PAIR, "moment", "edge_key", "relation_type")
+
+
 def site_motifs(edges: DataFrame) -> DataFrame:
     """Summary per site over its active edges; nothing below the level of a site is kept."""
     kept = F.col("relation_type") != K.ABSTAINED

@@ -1,24 +1,22 @@
 """Session helpers."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the reliable checkpoint folder and go on from there.
-
-    The folder is the one the cluster names in `spark.checkpoint.dir`. On a local master without one,
-    as in tests, it is a folder of the warehouse.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in `spark.checkpoint.dir`. On a local master without one, as in tests, a
+    folder of the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    return configured or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared checkpoint folder and go on from there."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        if configured:
-            context.setCheckpointDir(configured)
-        elif context.master.startswith("local"):
-            context.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
