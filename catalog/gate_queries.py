@@ -8,7 +8,7 @@ from catalog.scalar_queries import PARSED, parsed_answers
 from catalog.text_queries import MARKERS, _brace
 from tracewell import constants as K
 from tracewell.functions import spans
-from tracewell.functions.stats import clopper_pearson_lower
+from tracewell.functions.stats import with_lower_bound
 from tracewell.operators import acceptance, gates, judging, robustness, store
 
 VALID = "(evidence_span IS NOT NULL AND STRPOS(text, evidence_span) > 0)"
@@ -294,9 +294,24 @@ def g17_counts(spark, sf):
     return robustness.perturbation_counts(perturbed(spark, sf)[1])
 
 
-@query("g18_certification_summary")
+# Halving until the chance of k or more successes at the bound is the wanted one.
+BISECTION = """b AS (SELECT k, n, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi, 0 AS step FROM kn WHERE k > 0 UNION ALL
+  SELECT k, n, CASE WHEN t < 0.025 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN t < 0.025 THEN hi ELSE (lo + hi) / 2 END, step + 1 FROM (SELECT *,
+    list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((lo + hi) / 2) + (n - i) * ln(1 - (lo + hi) / 2)))) AS t FROM b WHERE step < 50) s),
+bound AS (SELECT kn.k, kn.n, COALESCE((lo + hi) / 2, 0) AS lower FROM kn LEFT JOIN (SELECT * FROM b WHERE step = 50) x ON x.k = kn.k AND x.n = kn.n)"""
+
+
+@query("g18_certification_summary", f"""
+WITH RECURSIVE c AS (SELECT user_id, user_id % 11 = 0 AS ab, COUNT(*) AS n, COUNT(*) FILTER (WHERE event_id % 50 <> 0 AND event_id % 40 <> 1) AS p,
+  COUNT(*) FILTER (WHERE event_id % 50 <> 0 AND CAST(30 - event_id % 15 AS DOUBLE) / 30 >= 0.5) AS e FROM {{events}} GROUP BY user_id),
+kn AS (SELECT p AS k, n FROM c WHERE NOT ab UNION SELECT e, n FROM c WHERE NOT ab), {BISECTION},
+z AS (SELECT c.ab, CASE WHEN ab THEN 0 ELSE x.lower END AS pl, CASE WHEN ab THEN 0 ELSE y.lower END AS el FROM c LEFT JOIN bound x ON x.k = c.p AND x.n = c.n LEFT JOIN bound y ON y.k = c.e AND y.n = c.n)
+SELECT COUNT(*) AS n_examples, COUNT(*) FILTER (WHERE NOT ab AND pl >= 0.95 AND el >= 0.95) AS n_certified, COUNT(*) FILTER (WHERE ab) AS n_base_abstained,
+  ROUND(CAST(COUNT(*) FILTER (WHERE NOT ab AND pl >= 0.95 AND el >= 0.95) AS DOUBLE) / COUNT(*), 8) AS certification_rate, ROUND(AVG(pl), 8) AS mean_prediction_confidence,
+  ROUND(AVG(el), 8) AS mean_provenance_confidence, ROUND(POWER(CAST(0.025 AS DOUBLE), CAST(0.01 AS DOUBLE)), 8) AS ceiling, POWER(CAST(0.025 AS DOUBLE), CAST(0.01 AS DOUBLE)) >= 0.95 AS ceiling_reaches_target FROM z""")
 def g18(spark, sf):
-    return robustness.certification_summary(robustness.certify(*perturbed(spark, sf)), 100)
+    out = robustness.certification_summary(robustness.certify(*perturbed(spark, sf)), 100)
+    return out.select([F.round(c, 8).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
 @query("k9_ingest_token_gate", f"""
@@ -320,8 +335,11 @@ def k10(spark, sf):
     return store.ingest_span_gate(g).select("provenance.source_note_id", "relation_type", "provenance.reason")
 
 
-@query("m4_clopper_pearson")
+@query("m4_clopper_pearson", f"""
+WITH RECURSIVE g AS (SELECT model, variant, COUNT(*) FILTER (WHERE answer = gold_relation) AS k, COUNT(answer) AS n FROM {{f_pred}} GROUP BY model, variant),
+kn AS (SELECT DISTINCT k, n FROM g), {BISECTION}
+SELECT model, variant, k, n, ROUND(lower, 9) AS lower FROM g JOIN bound USING (k, n)""")
 def m4(spark, sf):
     p = view(spark, sf, "f_pred").groupBy("model", "variant").agg(
         F.count(F.when(F.col("answer") == F.col("gold_relation"), 1)).alias("k"), F.count("answer").alias("n"))
-    return p.withColumn("lower", clopper_pearson_lower("k", "n", 0.025))
+    return with_lower_bound(p, "k", "n", 0.025, "lower").withColumn("lower", F.round("lower", 9))

@@ -1,24 +1,27 @@
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.functions.stats import clopper_pearson_lower_values
+from tracewell.functions.stats import clopper_pearson_lower, with_lower_bound
 from tracewell.operators import acceptance, gates, judging, ranking, reports, robustness, running, splits
 
 
-def test_published_bounds():
-    assert round(float(clopper_pearson_lower_values(100, 100, 0.005)), 3) == 0.948
-    need = lambda alpha: next(n for n in range(1, 2000) if float(clopper_pearson_lower_values(n, n, alpha / 2)) >= 1 - alpha)
-    assert need(0.05) == 72
-    assert float(clopper_pearson_lower_values(528, 528, 0.005)) >= 0.99 > float(clopper_pearson_lower_values(526, 526, 0.005))
-    assert float(clopper_pearson_lower_values(0, 10, 0.05)) == 0.0
-    k, n, a = 37, 80, 0.025
-    p = float(clopper_pearson_lower_values(k, n, a))
-    from math import comb
-    assert sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1)) == pytest.approx(a, abs=1e-9)
-
+def test_exact_bounds(spark):
+    pairs = [(100, 100, .005), (72, 72, .025), (71, 71, .025), (528, 528, .005), (526, 526, .005), (0, 10, .05), (37, 80, .025), (1, 1, .5), (1, 4000, .025), (3999, 4000, .025), (1500, 4000, 1e-6),
+             (0, 0, .1), (None, 5, .1), (5, None, .1), (9, 12, .5), (99_000, 200_000, .025)]
+    df = spark.createDataFrame(pairs, "k long, n long, a double")
+    got = {r[:3]: r.lower for r in df.withColumn("lower", clopper_pearson_lower("k", "n", F.col("a"))).collect()}
+    assert round(got[100, 100, .005], 3) == 0.948 and got[528, 528, .005] >= .99 > got[526, 526, .005]
+    assert got[72, 72, .025] >= .95 > got[71, 71, .025]
+    assert got[0, 10, .05] == got[0, 0, .1] == got[None, 5, .1] == got[5, None, .1] == 0.0
+    for (k, n, a), p in got.items():
+        if k and n and k < n:
+            tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k, n + 1))
+            assert tail == pytest.approx(a, rel=1e-6, abs=1e-9 if n < 10_000 else 1e-7)
+    assert with_lower_bound(df.unionAll(df), "k", "n", .025, "lower").count() == 2 * len(pairs)
 
 def test_published_kappa(spark):
     cells = [("s", "s", 219), ("s", "i", 19), ("i", "s", 138), ("i", "i", 131)]

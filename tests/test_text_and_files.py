@@ -1,4 +1,7 @@
+import difflib
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +139,18 @@ def test_new_markers_query_reads_the_whole_notes(spark, monkeypatch):
     monkeypatch.setattr(text_queries, "notes", lambda spark, sf: spark.createDataFrame(texts, "note_id string, text string"))
     got = {r.note_id: r.markers for r in text_queries.e1_new(spark, "").collect()}
     assert got == {"a": "", "b": "brackets", "c": "meta_temporal", "d": "meta_temporal,omitted"}
+
+
+def test_longest_common_run_is_found_in_one_pass():
+    rng = random.Random(3)
+    for _ in range(400):
+        text, span = ("".join(rng.choice(rng.choice(["ab", "abc", "é日 a"])) for _ in range(rng.randrange(30))) for _ in range(2))
+        m = difflib.SequenceMatcher(None, text, span, autojunk=False).find_longest_match(0, len(text), 0, len(span))
+        start, size = spans._longest_common_run(text, span)
+        assert size == m.size and (not size or start == m.a)
+    text = "".join(rng.choice("ab ") for _ in range(200_000))
+    span = text[90_000:92_500] + "#" + text[100_000:102_500]
+    began = time.perf_counter()
+    assert spans._longest_common_run(text, span) == (90_000, 2500)
+    assert time.perf_counter() - began < 1
+    assert spans._longest_common_run("a" * 100_000, "a" * 5000 + "b") == (0, 5000)

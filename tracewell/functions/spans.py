@@ -58,22 +58,47 @@ def alignment_status(text, span, has_label) -> Column:
 # ---------------------------------------------------------------- located citations
 
 def _longest_common_run(text: str, span: str) -> tuple[int, int]:
-    """Start in the text and length of the longest common substring, earliest in the text."""
-    a = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-    b = np.frombuffer(span.encode("utf-32-le"), dtype=np.uint32)
-    best, at = 0, 0
-    run = np.zeros(len(a) + 1, dtype=np.int32)
-    ends = {}
-    for ch in b:
-        grown = np.zeros_like(run)
-        grown[1:] = np.where(a == ch, run[:-1] + 1, 0)
-        run = grown
-        top = int(run.max())
-        if top >= best and top > 0:
-            start = int(run.argmax()) - top
-            if top > best or start < at:
-                best, at = top, start
-    return at, best
+    """Start in the text and length of the longest common substring, earliest in the text.
+
+    The states of the automaton are the substrings of the span, those that end at the same places taken as
+    one; the text is read once, and the state is always its longest end that the span has.
+    """
+    moves, back, longest = [{}], [-1], [0]
+    last = 0
+    for ch in span:
+        new = len(moves)
+        moves.append({})
+        back.append(0)
+        longest.append(longest[last] + 1)
+        at = last
+        while at >= 0 and ch not in moves[at]:
+            moves[at][ch] = new
+            at = back[at]
+        if at >= 0:
+            to = moves[at][ch]
+            if longest[to] > longest[at] + 1:
+                # The shorter substrings of this state end at more places from now on: they get a state of their own.
+                short = len(moves)
+                moves.append(dict(moves[to]))
+                back.append(back[to])
+                longest.append(longest[at] + 1)
+                while at >= 0 and moves[at].get(ch) == to:
+                    moves[at][ch] = short
+                    at = back[at]
+                back[to] = short
+                to = short
+            back[new] = to
+        last = new
+    state, run, best, end = 0, 0, 0, 0
+    for i, ch in enumerate(text, 1):
+        while state and ch not in moves[state]:
+            state = back[state]
+            run = longest[state]
+        state = moves[state].get(ch, 0)
+        run = run + 1 if state else 0
+        if run > best:
+            best, end = run, i
+    return end - best, best
 
 
 def locate_spans_fuzzy(df: DataFrame, text_col: str, spans_col: str, min_chars: int = 8, threshold: float = 0.85) -> DataFrame:
