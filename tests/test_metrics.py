@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -173,3 +174,20 @@ def test_quantiles_of_several_columns_and_groups_at_once(spark):
             for name, q in shares.items():
                 assert r[f"{name}_{c}"] == (pytest.approx(np.quantile(own, q), rel=1e-12) if own else None)
     assert ranking.exact_quantiles(df.where("false"), ["g"], ["x"], shares).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 7, 300, 5000])
+def test_bottom_k_is_the_head_of_the_seeded_order(spark, n):
+    rows = [(i, "a" if i % 3 else None, i * i) for i in range(900)] + [(5000, "few", 1)] + [(7000, "same", 2)] * 400
+    df = spark.createDataFrame(rows, "id int, g string, x int").repartition(5)
+    digest = lambda i: hashlib.md5(f"7|{i}".encode()).hexdigest()
+    for group in (["g"], []):
+        got = [tuple(r) for r in splits.bottom_k(df, group, n, ["id"]).collect()]
+        expected = []
+        for g in {r[1] for r in rows} if group else {0}:
+            own = sorted((r for r in rows if not group or r[1] == g), key=lambda r: digest(r[0]))
+            expected += own[:n]
+        assert sorted(got, key=str) == sorted(expected, key=str)
+    assert splits.bottom_k(df.where("false"), ["g"], n, ["id"]).count() == 0
+    with pytest.raises(ValueError):
+        splits.sample_fraction(df, 0, ["id"])

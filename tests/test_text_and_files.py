@@ -154,3 +154,12 @@ def test_longest_common_run_is_found_in_one_pass():
     assert spans._longest_common_run(text, span) == (90_000, 2500)
     assert time.perf_counter() - began < 1
     assert spans._longest_common_run("a" * 100_000, "a" * 5000 + "b") == (0, 5000)
+
+
+def test_literals_in_front_of_the_patterns_lose_no_marker(spark):
+    texts = ["OMITED here", "it is NOT  known", "it is not known", "unſpecified", "undated.", "can not", "canKnot", "CAN\u212aNOT", "MİSSİNG", "mıssıng", "redactions", "No detail", "chronology", "a [b] c", "…", "etc...",
+             "N/A", "na", "nature", "XXXX", "TBD", "unaVaılable", "plain text", "", "no\u00a0data", "not\u00a0known", "RELATIONſHIP", "no data"]
+    df = spark.createDataFrame([(t,) for t in texts + [None]], "t string")
+    bare = F.array_compact(F.array(*[F.when(F.col("t").rlike("(?iuU)" + K.MARKER_PATTERNS[n]), F.lit(n)) for n in sorted(K.MARKER_PATTERNS)]))
+    rows = df.select("t", T.marker_hits("t").alias("got"), bare.alias("all")).collect()
+    assert all(r.got == r["all"] for r in rows) and sum(bool(r.got) for r in rows) > 15

@@ -73,6 +73,21 @@ MARKER_PATTERNS = {
     "ellipsis": r"\.\.\.|…",
     "filler": r"\*\*\*|xxx+|___+|\bTBD\b|\bn/?a\b",
 }
+# Literals, in lower case, of which every match of a family holds one.
+MARKER_LITERALS = {
+    "omitted": ["omit"],
+    "not_stated": ["not "],
+    "unspecified": ["unspecified", "undocumented", "undated", "unknown", "unclear", "unavailable"],
+    "cannot_be": ["cannot", "can not", "unable to", "not possible to"],
+    "redacted": ["redact", "removed", "missing", "masked"],
+    "no_info": ["no "],
+    "meta_temporal": ["temporal", "timing", "chronolog", "relationship"],
+    "brackets": ["["],
+    "ellipsis": ["...", "…"],
+    "filler": ["***", "xxx", "___", "tbd", "n/a", "na"],
+}
+# Letters beyond ASCII that a pattern without regard to case takes for s, i, i and k.
+FOLDED_LETTERS = ["ſ", "ı", "İ", "\u212a"]
 
 # Explicit temporal cue (case-insensitive).
 EXPLICIT_CUE = (

@@ -188,11 +188,26 @@ def sample_perturbation(key: Column, budget: int = 2, kinds=K.PERTURBATIONS) ->
 
 # ---------------------------------------------------------------- features
 
-def marker_hits(text, patterns=K.MARKER_PATTERNS) -> Column:
-    """Names of the wording families present in the text, sorted."""
+def marker_hits(text, patterns=K.MARKER_PATTERNS, literals=K.MARKER_LITERALS) -> Column:
+    """Names of the wording families present in the text, sorted.
+
+    A family's pattern is tried only on texts that hold, in lower case, one of the literals that each of its matches holds.
+    A text with one of the letters that match an ASCII letter of other form is tried on all patterns.
+    """
+    def hits(t: Column) -> Column:
+        def of(name: str) -> Column:
+            likely = t["folds"]
+            for literal in literals.get(name, [""]):
+                likely |= F.contains(t["lower"], F.lit(literal))
+            return F.when(likely & t["text"].rlike("(?iuU)" + patterns[name]), F.lit(name))
+
+        return F.array_compact(F.array(*[of(n) for n in sorted(patterns)]))
+
     text = _c(text)
-    return F.array_compact(
-        F.array(*[F.when(text.rlike("(?iuU)" + patterns[n]), F.lit(n)) for n in sorted(patterns)]))
+    folds = F.lit(False)
+    for letter in K.FOLDED_LETTERS:
+        folds |= F.contains(text, F.lit(letter))
+    return let(F.struct(text.alias("text"), F.lower(text).alias("lower"), folds.alias("folds")), hits)
 
 
 def new_markers(original, edited, patterns=K.MARKER_PATTERNS) -> Column:
@@ -217,20 +232,20 @@ def tokens(text) -> Column:
 def novel_frac(original, edited) -> Column:
     """Share of the edited text's tokens, with repeats, that the original does not have.
 
-    Tokens are found by column functions; membership is tested against a set, one Arrow batch at a
-    time, so the work grows with the length of the texts. NULL where a text is NULL.
+    Texts go to Python in Arrow batches and are cut there; membership is tested against a set, so the work grows with the
+    length of the texts. NULL where a text is NULL, which costs nothing.
     """
     def share(old: pa.Array, new: pa.Array) -> pa.Array:
-        out = []
+        token, out = re.compile("[a-z0-9]+"), []
         for a, b in zip(old, new):
             if not (a.is_valid and b.is_valid):
                 out.append(None)
                 continue
-            known, words = set(a.as_py()), b.as_py()
+            known, words = set(token.findall(a.as_py())), token.findall(b.as_py())
             out.append(sum(w not in known for w in words) / max(1, len(words)))
         return pa.array(out, pa.float64())
 
-    return F.arrow_udf(share, DoubleType())(tokens(original), tokens(edited))
+    return F.arrow_udf(share, DoubleType())(F.lower(_c(original)), F.lower(_c(edited)))
 
 
 def length_ratio(original, edited) -> Column:

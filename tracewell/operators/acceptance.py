@@ -23,30 +23,35 @@ def edit_reasons(candidates: DataFrame, strict_only: bool = False, removal_ratio
     removal = F.col("variant") == "silent_removal"
     original, edited = F.col("original_text"), F.col("text")
     error = F.col("edit_error") if "edit_error" in candidates.columns else F.lit(None).cast("string")
-    ratio, novel = T.length_ratio(original, edited), T.novel_frac(original, edited)
+    ratio = T.length_ratio(original, edited)
     low = F.when(removal, removal_ratio[0]).otherwise(keep_ratio[0])
     high = F.when(removal, removal_ratio[1]).otherwise(keep_ratio[1])
     implied = removal & F.col("determinable")
     seen = F.coalesce(F.col("event1_mentioned") & F.col("event2_mentioned"), F.lit(False))
     # coalesce stops at the first objection, so costly checks only run on what is left.
-    reason = F.coalesce(
+    early = F.coalesce(
         F.when(error.isNotNull(), F.concat(F.lit("edit_error:"), error)),
         F.when(edited.isNull() | (strip(edited) == "") | (strip(edited) == strip(original)), "empty_or_unchanged"),
         F.when((ratio < low) | (ratio > high), "length_ratio"),
-        let(T.new_markers(original, edited), lambda m: F.when(F.size(m) > 0, F.concat(F.lit("marker:"), F.array_join(m, "+")))),
-        F.when(novel > F.when(removal, max_novel_removal).otherwise(max_novel_keep), "novel_tokens"),
+        let(T.new_markers(original, edited), lambda m: F.when(F.size(m) > 0, F.concat(F.lit("marker:"), F.array_join(m, "+")))))
+    # Only texts without an objection so far go to Python.
+    left = F.col("_early").isNull()
+    novel = T.novel_frac(F.when(left, original), F.when(left, edited))
+    late = F.coalesce(
+        F.col("_early"),
+        F.when(F.col("_novel") > F.when(removal, max_novel_removal).otherwise(max_novel_keep), "novel_tokens"),
         F.when(removal & T.has_explicit_cue(edited), "explicit_cue_remains"),
         F.when(F.col("determinable").isNull(), "judge_error"),
         F.when(~seen, "event_not_mentioned"),
         F.when(implied, F.lit("still_determinable" if strict_only else "implied_timing_retry")),
         F.when(~removal & ~(F.col("determinable") & F.col("relation").eqNullSafe(F.col("gold_relation"))), "relation_not_preserved"),
     )
-    out = candidates.withColumn("reason", reason)
+    out = candidates.withColumn("_early", early).withColumn("_novel", novel).withColumn("reason", late)
     kept = F.col("reason").isNull() | (F.col("reason") == "implied_timing_retry")
     return out.withColumns({
         "tier": F.when(F.col("reason").isNull(), F.when(removal, "strict").otherwise("keep_verified"))
         .when(F.col("reason") == "implied_timing_retry", "implied_only"),
-        "length_ratio": F.when(kept, F.round(ratio, 4)), "novel_token_frac": F.when(kept, F.round(novel, 4))})
+        "length_ratio": F.when(kept, F.round(ratio, 4)), "novel_token_frac": F.when(kept, F.round("_novel", 4))}).drop("_early", "_novel")
 
 
 def accept_edit(reasoned: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@
 Draws follow the digest of the ids, so they are the same on any cluster and partitioning.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell import constants as K
+from tracewell.functions.hashing import draw_key
 from tracewell.operators.reports import notice_flag
-from tracewell.operators.running import seeded_rank
+from tracewell.operators.running import on_keys, seeded_rank
 
 
 def ranked_entities(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -30,7 +31,7 @@ def split_by_entity(df: DataFrame, key: str, test: float = 0.15, dev: float = 0.
 
 
 def test_entities(df: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
-    return ranked_entities(df, key, seed).where(F.col("rank") <= n).select(key)
+    return bottom_k(df.select(key).where(F.col(key).isNotNull()).distinct(), [], n, [key], seed)
 
 
 def split_rest(df: DataFrame, key: str, test_ids: DataFrame, n_dev: int, seed: int = 13) -> DataFrame:
@@ -44,21 +45,41 @@ def split_rest(df: DataFrame, key: str, test_ids: DataFrame, n_dev: int, seed: i
     return labelled.unionByName(test.withColumn("split", F.lit("test")))
 
 
+def bottom_k(df: DataFrame, group: list[str], n: int, id_cols: list[str], seed: int = 7) -> DataFrame:
+    """The n rows of least digest of each group, or all where there are fewer.
+
+    Selection, not ranking: rows are counted by the leading digits of their digest, which tells the cell in which the
+    n-th row of a group lies. Rows in cells before it are in; those in it, one of some 65,000 parts of the group,
+    are ranked, and of these no task sends on more than n a group. What is shuffled does not grow
+    with the rows of a group. Rows of equal ids are exchangeable. NULL is a group of its own.
+    """
+    work = df.withColumn("_key", draw_key(seed, *id_cols)).withColumn("_cell", F.substring("_key", 1, 4))
+    cells = work.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    last = cells.where((F.col("_before") < n) & (F.col("_before") + F.col("_n") >= n)).select(
+        *group, F.col("_cell").alias("_last"), (F.lit(n) - F.col("_before")).alias("_left"))
+    placed = on_keys(work, last, group)
+    inside = placed.where(F.col("_last").isNull() | (F.col("_cell") < F.col("_last")))
+    rank = F.row_number().over(Window.partitionBy(*(group or [F.lit(0)])).orderBy("_key", *id_cols))
+    edge = placed.where(F.col("_cell") == F.col("_last")).withColumn("_rank", rank).where(F.col("_rank") <= n).where(F.col("_rank") <= F.col("_left"))
+    return inside.unionByName(edge.drop("_rank")).drop("_key", "_cell", "_last", "_left")
+
+
 def sample_fraction(df: DataFrame, fraction: float, id_cols: list[str], seed: int = 7) -> DataFrame:
     """max(1, round(fraction * rows)) rows."""
     if not 0 < fraction <= 1:
         raise ValueError("fraction must be in (0, 1]")
-    size = F.greatest(F.lit(1), F.bround(F.col("n") * fraction))
-    return seeded_rank(df, id_cols, seed).where(F.col("rank") <= size).drop("rank", "n")
+    return bottom_k(df, [], max(1, round(fraction * df.count())), id_cols, seed)
 
 
 def sample_per_group(df: DataFrame, group: list[str], n: int, id_cols: list[str], seed: int = 7) -> DataFrame:
     """At most n rows per group."""
-    return seeded_rank(df, id_cols, seed, group).where(F.col("rank") <= n).drop("rank", "n")
+    return bottom_k(df, group, n, id_cols, seed)
 
 
 def sample_n(df: DataFrame, n: int, id_cols: list[str], seed: int = 0) -> DataFrame:
-    return sample_per_group(df, [], n, id_cols, seed)
+    return bottom_k(df, [], n, id_cols, seed)
 
 
 def training_parts(controls: DataFrame) -> DataFrame:
