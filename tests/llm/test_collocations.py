@@ -53,7 +53,7 @@ def test_hot_heads_are_dealt_out_and_counted_alike(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(" ".join(f"new york {rng.choice('abcdefgh')}" for _ in range(30)) + f" end{i % 5}", "en") for i in range(200)]
     docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
-    assert collocations._salts(docs.select("lang", "text"), 8)["en", b"new", b"york"] > 2
+    assert collocations._salts(docs.select("lang", "text"), 200, 8)["en", b"new", b"york"] > 2
     monkeypatch.setattr(collocations, "PART_BYTES", 2000)
     expected = plainly(rows, 30)
     assert got(docs) == expected

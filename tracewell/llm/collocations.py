@@ -23,11 +23,11 @@ LEAST, STANDS_FOR = 30, 80
 #: Phrases of each language.
 TOP = 2000
 #: Text bytes whose grams are counted together before they leave a task.
-STEP_BYTES = 6 << 20
+STEP_BYTES = 5 << 20
 #: Texts that tell which beginnings are frequent, at most, and the least share of grams from which one is dealt to several tasks.
 SAMPLE, HOT_SHARE = 2000, 0.0005
 #: Text bytes whose grams meet in a part, about.
-PART_BYTES = 8 << 20
+PART_BYTES = 6 << 20
 
 _DELIMITERS, _UPPER = b".,;:!?\n\x0b\x0c\r", bytes(range(65, 91))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -121,6 +121,7 @@ def by_blocks(batches: Iterator[pa.RecordBatch], rows_of: Callable) -> Iterator[
         for stretch in stretches(held.pop(lang)):
             yield rows_of(lang, *local_grams(stretch))
         del size[lang]
+        release()
 
     for batch in batches:
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
@@ -134,10 +135,10 @@ def by_blocks(batches: Iterator[pa.RecordBatch], rows_of: Callable) -> Iterator[
         yield from flush(lang)
 
 
-def _salts(texts: DataFrame, parts: int) -> dict[tuple, int]:
-    """Heads (language and two words) that a bounded sample of texts shows to have more grams than a part takes, and
+def _salts(texts: DataFrame, n_texts: int, parts: int) -> dict[tuple, int]:
+    """Heads (language and two words) that about SAMPLE texts show to have more grams than a part takes, and
     into how many they go. They decide where grams are counted, not the counts."""
-    drawn = texts.select("lang", F.substring("text", 1, 1 << 16).alias("text"), F.xxhash64("text").alias("h")).orderBy("h").limit(SAMPLE)
+    drawn = texts.select("lang", F.substring("text", 1, 1 << 16).alias("text")).sample(min(1.0, SAMPLE / max(1, n_texts)), 42)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows_of(lang, words, grams, n):
@@ -191,9 +192,9 @@ def counts(texts: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     summed up where they meet; a part stands for about PART_BYTES of text. Heads that many grams share are dealt
     on by the third word, and summed up once more.
     """
-    bytes_ = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    parts = max(1, -(-bytes_ // PART_BYTES))
-    salts = _salts(texts, parts)
+    size = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    parts = max(1, -(-size["bytes"] // PART_BYTES))
+    salts = _salts(texts, size["n"], parts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows_of(lang, *grams):

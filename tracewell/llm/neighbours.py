@@ -80,8 +80,9 @@ def _matrix(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
 
 
-def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query its k best of these rows: query ids, ids, inner products; rows of the query's own id excepted.
+def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query its k best of these rows: query ids, ids, inner products; rows of the query's own id excepted, and
+    those whose product is below the query's bound.
 
     Equal vectors are looked at once, with their k + 1 least ids. A matrix product finds what comes near the k-th
     value, and the products that count are then summed one by one, so that equal vectors score equally.
@@ -97,14 +98,14 @@ def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors
     distinct, out = vectors[first], []
     for at in range(0, len(queries), _QUERIES_AT_ONCE):
         q, own = queries[at:at + _QUERIES_AT_ONCE], query_ids[at:at + _QUERIES_AT_ONCE]
+        bound = np.full(len(q), -np.inf) if bounds is None else bounds[at:at + _QUERIES_AT_ONCE]
         rough = q @ distinct.T
-        if rough.shape[1] > k + 1:
-            least = np.partition(rough, -(k + 1), axis=1)[:, -(k + 1)]
-            slack = 1e-9 * (np.abs(rough).max(axis=1) + 1e-300)
-            a, b = np.nonzero(rough >= (least - slack)[:, None])
-        else:
-            a, b = (x.ravel() for x in np.indices(rough.shape))
+        slack = 1e-9 * (np.abs(rough).max(axis=1) + 1e-300)
+        least = np.partition(rough, -(k + 1), axis=1)[:, -(k + 1)] if rough.shape[1] > k + 1 else np.full(len(q), -np.inf)
+        a, b = np.nonzero(rough >= (np.maximum(least, bound) - slack)[:, None])
         score = (q[a] * distinct[b]).sum(axis=1)
+        reached = score >= bound[a]
+        a, b, score = a[reached], b[reached], score[reached]
         n = sizes[b]
         place = np.repeat(begin[b], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         a, score, found = np.repeat(a, n), np.repeat(score, n), ids[by_kind[place]]
@@ -132,8 +133,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, id_col: str
     Every row is put into one bucket of each table. A query visits buckets in the order of their estimated chances,
     until they hold a neighbour with the wanted chance; how alike neighbours are is estimated on a sample of
     bounded size. The number of hash functions follows the number of rows, so that buckets keep their size. A bucket
-    of many rows is dealt to several tasks, each of which gives the k best of its rows; copies of a vector
-    are compared once a task. A query that finds fewer than k rows in its buckets visits them all.
+    of many rows is dealt to several tasks; copies of a vector are compared once a task. Buckets are visited
+    in rounds, each of about as many rows as all before it, and a task returns only rows that reach the query's k-th score of
+    the rounds before, k at most; so what it returns grows with the queries and the number of rounds. A query
+    that finds fewer than k rows in its buckets goes on to the others in the same way.
 
     Ties go to the smaller id. Null ids, and vectors that are null, empty, zero or hold null or non-finite components,
     take no part; vectors of other lengths are not compared. A repeated id counts once, with its best score, and is
@@ -175,30 +178,52 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, id_col: str
         return find
 
     bucket = ["dim", "table", "bucket"]
-    spot = F.explode(F.col("spots")).alias("spot")
+    spot = F.posexplode("spots").alias("place", "spot")
     held = rows.select("dim", "id", "vector", placed(False)(F.col("vector")).alias("spots")).select("dim", "id", "vector", spot).select("dim", "spot.*", "id", "vector")
-    asked = rows.where("query").select("dim", "id", "vector", placed(True)(F.col("vector")).alias("spots")).select("dim", "id", "vector", spot).select("dim", "spot.*", "id", "vector")
-    sizes = checkpointed(held.groupBy(*bucket).agg(F.ceil(F.count("id") / TASK_ROWS).cast("int").alias("pieces")))
-    dealt = held.join(sizes, bucket).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).drop("pieces")
+    queries = rows.where("query").dropDuplicates(["id", "vector"]).select("dim", "id", "vector")
+    asked = queries.withColumn("spots", placed(True)(F.col("vector"))).select("dim", "id", "vector", spot).select("dim", "spot.*", "id", "vector", "place")
+    sizes = checkpointed(held.groupBy(*bucket).agg(F.count("id").alias("size"), F.ceil(F.count("id") / TASK_ROWS).cast("int").alias("pieces")))
+    dealt = held.join(sizes, bucket).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).drop("pieces", "size")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         if len(left) and len(right):
-            found = best_of(right["asked_id"].to_numpy(), _matrix(right["asked_vector"]), left["id"].to_numpy(), _matrix(left["vector"]), k)
+            found = best_of(right["asked_id"].to_numpy(), _matrix(right["asked_vector"]), left["id"].to_numpy(), _matrix(left["vector"]), k, right["asked_bound"].to_numpy())
         return pa.table([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
 
-    def best(questions: DataFrame) -> DataFrame:
-        spread = questions.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+    def visit(visits: DataFrame, best: DataFrame | None) -> DataFrame:
+        """The k best of the rows found before and of those in the visited buckets (columns of `bucket`, id, vector, pieces)."""
+        if best is None:
+            bounded = visits.withColumn("bound", F.lit(float("-inf")))
+        else:
+            bound = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+            bounded = visits.join(bound, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+        spread = bounded.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
         keys = [*bucket, "piece"]
-        renamed = spread.select(*(F.col(c).alias(f"asked_{c}") for c in spread.columns))
+        renamed = spread.select(*(F.col(c).alias(f"asked_{c}") for c in (*keys, "id", "vector", "bound")))
         found = dealt.groupBy(*keys).cogroup(renamed.groupBy(*(f"asked_{c}" for c in keys))).applyInArrow(search, "query_id long, vec_id long, score double")
+        found = found if best is None else found.unionByName(best.drop("rank"))
         number = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", number).where(F.col("rank") <= k)
+        return checkpointed(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", number).where(F.col("rank") <= k))
+
+    # A round visits about as many rows as all before it, so few of them pass the bounds of the rounds before.
+    before = Window.partitionBy("id", "vector").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    visits = asked.join(sizes, bucket).withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    visits = checkpointed(visits.withColumn("round", F.floor(F.log2(1 + F.col("before") / TASK_ROWS)).cast("int")).drop("before", "place", "size"))
+    best = None
+    for r in range((visits.agg(F.max("round")).first()[0] or 0) + 1):
+        best = visit(visits.where(F.col("round") == r), best)
 
-    first = checkpointed(best(asked.join(sizes, bucket)))
+    # Queries that have found too few go on to the other buckets of a table, again as many rows each time as before.
     others = F.create_map(*(F.lit(x) for dim, (n, _) in facts.items() for x in (dim, n - 1))) if facts else F.create_map(F.lit(0), F.lit(0))
-    counts = first.groupBy(F.col("query_id").alias("id")).agg(F.count("vec_id").alias("found"))
-    short = rows.where("query").join(counts, "id", "left").where(F.coalesce("found", F.lit(0)) < F.least(F.lit(k), others[F.col("dim")])).select("dim", "id", "vector")
-    again = best(short.join(sizes.where("table = 0"), "dim").select(*bucket, "id", "vector", "pieces"))
-    kept = first.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti")
-    return kept.unionByName(again).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    upto = Window.partitionBy("dim").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    order = checkpointed(sizes.where("table = 0").withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0))).withColumn(
+        "round", F.floor(F.log2(1 + F.col("before") / TASK_ROWS)).cast("int")).drop("before", "size"))
+    for r in range((order.agg(F.max("round")).first()[0] or 0) + 1):
+        counts = best.groupBy(F.col("query_id").alias("id")).agg(F.count("vec_id").alias("found"))
+        short = queries.join(counts, "id", "left").where(F.coalesce("found", F.lit(0)) < F.least(F.lit(k), others[F.col("dim")])).select("dim", "id", "vector")
+        short = checkpointed(short)
+        if short.isEmpty():
+            break
+        best = visit(short.join(order.where(F.col("round") == r), "dim").select(*bucket, "id", "vector", "pieces"), best)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
