@@ -129,3 +129,37 @@ def test_exact_operators_keep_provenance_and_answers(spark):
 def test_empty_base_has_full_recall(spark):
     empty = Representation(spark.createDataFrame([], NODES), spark.createDataFrame([], "type string, source string, target string"))
     assert graph.provenance_recall(empty, empty).first()[0] == 1.0
+
+
+def test_order_of_the_reader_at_any_size(spark):
+    notes = spark.createDataFrame([(1, 3, "terse_icu", 2**43, [7, 8]), (2, 1, "terse_icu", 2**43 - 1, [8]), (3, 1, "terse_icu", 2**62, [7] * 3)],
+                                  "note_id int, day int, style string, ord long, mentioned_fact_ids array<int>")
+    known = spark.createDataFrame([(7, 1, "a", "x"), (8, 1, "a", "y")], "fact_id int, patient_id int, concept_type string, value string")
+    rep = graph.build_evidence_graph(known, spark.createDataFrame([], "from_fact_id int, to_fact_id int, day int"), notes)
+    assert [(r.note_id, r.fact_id) for r in rep.nodes.orderBy("ord").collect()] == [(2, 8), (1, 7), (1, 8), (3, 7), (3, 7), (3, 7)]
+    states = {r.fact_id: tuple(r.ord) for r in graph.aggregate_mentions(rep).nodes.collect()}
+    assert states == {7: (2**43, 0), 8: (2**43 - 1, 0)}
+
+
+def test_ancestors_of_three_batches_equal_a_full_walk(spark):
+    rng = random.Random(4)
+    parent = {i: rng.choice([i - 1, rng.randrange(i)]) for i in range(1, 300) if rng.random() < .95}
+    frame = lambda items: spark.createDataFrame(list(items), "new int, old int")
+    table = None
+    for low, high in ((0, 120), (120, 121), (121, 300)):
+        batch = frame((k, v) for k, v in parent.items() if low <= k < high)
+        made = graph.ancestors(batch, table)
+        table = made if table is None else table.unionByName(made)
+    heads = spark.createDataFrame([(i,) for i in range(300)], "head int")
+    expected = []
+    for i in range(300):
+        at, depth = i, 0
+        while at is not None:
+            expected.append((i, at, depth))
+            at, depth = parent.get(at), depth + 1
+    assert sorted(map(tuple, graph.chains_from(table, heads).collect())) == sorted(expected)
+    assert sorted(map(tuple, graph.revision_chains(frame(parent.items()), heads).collect())) == sorted(expected)
+    with pytest.raises(ValueError, match="another parent"):
+        graph.ancestors(frame([(next(iter(parent)), 299)]), table)
+    none = frame([]).where("false")
+    assert graph.ancestors(none).count() == 0 and graph.revision_chains(none, heads).count() == 300

@@ -113,17 +113,27 @@ def test_relation_names_from_class_numbers(spark):
     assert [r[0] for r in df.select(readers.relation_names(F.col("a"))).collect()] == [K.E2_BEFORE, K.OVERLAP, None]
 
 
-def test_cache_processes_only_missing_keys(spark, tmp_path):
+def test_cache_processes_missing_keys_once_and_is_never_shuffled(spark, tmp_path, monkeypatch):
     seen = []
 
     def process(todo):
-        seen.append(todo.count())
-        return todo.withColumn("result", F.lit(1))
-
-    tasks = lambda n: sinks.with_content_key(spark.range(n).select(F.col("id").cast("string").alias("text"), F.lit("clean").alias("condition")), "m", "v1")
-    for n in (3, 5):
-        sinks.append_cache(spark, tasks(n), str(tmp_path / "cache"), process)
-    assert seen == [3, 2] and spark.read.parquet(str(tmp_path / "cache")).count() == 5
+        seen.append(sorted(r.text for r in todo.select("text").collect()))
+        return todo.withColumn("result", F.length("text"))
+
+    tasks = lambda ids: sinks.with_content_key(spark.createDataFrame([(i,) for i in ids], "text string").withColumn("condition", F.lit("clean")), "m", "v1")
+    run = lambda ids: sinks.cached_results(spark, tasks(ids), str(tmp_path / "cache"), "key string, result int", process, buckets=4)
+    assert run(["a", "bb", "bb", "a"]).count() == 2
+    got = run(["bb", "ccc", "ccc", "dddd"])
+    assert seen == [["a", "bb"], ["ccc", "dddd"]] and sorted(r.result for r in got.collect()) == [2, 3, 4]
+    without = tasks(["e"]).withColumn("key", F.lit(None).cast("string"))
+    assert sinks.cached_results(spark, without, str(tmp_path / "cache"), "key string, result int", process, buckets=4).count() == 0
+    name = sinks.open_cache(spark, str(tmp_path / "cache"), "key string, result int", buckets=4)
+    assert spark.table(name).count() == 4
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = sinks.cache_misses(tasks(["a"]), spark.table(name))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan and "SelectedBucketsCount: 4 out of 4" in plan
 
 
 def test_markdown_is_for_small_reports(spark):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tracewell import constants as K
 from tracewell.functions.hashing import draw_key, draw_normal
 from tracewell.functions.scalars import allen_relation
-from tracewell.session import cut_lineage
+from tracewell.session import cut_counted, cut_lineage
 
 KEY = ["patient_id", "concept_type"]
 NODE = ["id", "kind", "fact_id", *KEY, "value", "day", "confidence", "note_id", "ord_group", "ord",
@@ -42,16 +42,16 @@ def build_evidence_graph(facts: DataFrame, edges: DataFrame, notes: DataFrame, s
     """One mention node per note and mentioned fact that exists, plus the revision edges.
 
     `notes` needs note_id, day, style, ord and the array mentioned_fact_ids. A mention carries the
-    day of its note. List order becomes `ord` = note order * 2**20 + position in the note.
+    day of its note. List order becomes `ord`, the note's order and the position in the note.
     """
     mentions = notes.select(
         "note_id", F.col("day").alias("_day"), "style",
-        (F.col("ord") * (1 << 20)).alias("_base"), F.posexplode("mentioned_fact_ids").alias("_pos", "fact_id"))
+        F.col("ord").alias("_base"), F.posexplode("mentioned_fact_ids").alias("_pos", "fact_id"))
     nodes = mentions.join(facts.select("fact_id", *KEY, "value"), "fact_id").select(
         F.concat_ws("__", F.col("note_id").cast("string"), F.col("fact_id").cast("string")).alias("id"),
         F.lit("mention").alias("kind"), "fact_id", *KEY, "value", F.col("_day").cast("int").alias("day"),
         mention_confidence(F.col("style"), draw_key(seed, "note_id", "fact_id")).alias("confidence"), "note_id",
-        F.lit(0).alias("ord_group"), (F.col("_base") + F.col("_pos")).alias("ord"),
+        F.lit(0).alias("ord_group"), F.struct(F.col("_base").alias("note"), F.col("_pos").alias("pos")).alias("ord"),
         F.lit(None).cast("string").alias("approx_relation"), F.lit(None).cast("int").alias("approx_anchor_day"))
     text = lambda c: F.col(c).cast("string")
     derived = nodes.select(F.lit("derived_from").alias("type"), F.col("id").alias("source"), text("note_id").alias("target"))
@@ -108,28 +108,62 @@ def _present(wanted, *frames):
     return [c for c in wanted if any(c in f.columns for f in frames)]
 
 
+def ancestors(edges: DataFrame, known: DataFrame | None = None, max_levels: int = 40) -> DataFrame:
+    """Ancestor table of revisions: fact_id, level, ancestor, the fact 2 ** level revisions before.
+
+    `edges` is (new, old) with one parent per new fact. With `known`, the table of earlier batches, only rows of the
+    new facts are made and returned: their pointers lead into the old chains, which are not walked again. Append
+    them to the table. A fact that the table has, or that others already revise, gets no other parent.
+
+    Each level is one join and one job, about log2 of the longest chain in all; levels that run out are an
+    error, as in a chain that runs into a cycle without `max_levels` of 2 ** level facts.
+    """
+    level = edges.select(F.col("new").alias("fact_id"), F.lit(0).alias("level"), F.col("old").alias("ancestor"))
+    if known is not None:
+        taken = known.where("level = 0").select(F.col("fact_id").alias("_taken")).unionByName(known.where("level = 0").select(F.col("ancestor").alias("_taken")))
+        if not level.join(taken, F.col("fact_id") == F.col("_taken"), "left_semi").isEmpty():
+            raise ValueError("a fact of the table cannot get another parent")
+    level, n = cut_counted(level)
+    rows, n_facts = level, n + (known.where("level = 0").count() if known is not None else 0)
+    for i in range(max_levels):
+        # A chain without a cycle is shorter than the number of facts; the level beyond shows a cycle.
+        if not n or 2 ** i > n_facts:
+            return rows
+        same = level if known is None else level.unionByName(known.where(F.col("level") == i))
+        above = same.select(F.col("fact_id").alias("ancestor"), F.col("ancestor").alias("_above"))
+        level, n = cut_counted(level.join(above, "ancestor").select("fact_id", F.lit(i + 1).alias("level"), F.col("_above").alias("ancestor")))
+        rows = rows.unionByName(level)
+    if n:
+        raise ValueError(f"a revision chain goes on after {max_levels} doublings")
+    return rows
+
+
+def chains_from(table: DataFrame, heads: DataFrame) -> DataFrame:
+    """Every ancestor of each head by the ancestor table: head, fact_id, depth (0 for the head itself).
+
+    Depths are put together from the highest level down, each once, so one plan with a join for each level does. A cycle's
+    facts come at their least depth.
+    """
+    top = table.agg(F.max("level")).first()[0]
+    facts = table.where("level = 0").count()
+    ring = top is not None and 2 ** top > facts
+    reach = heads.select("head", F.col("head").alias("fact_id"), F.lit(0).alias("depth"))
+    for i in reversed(range(0 if top is None else top + 1)):
+        step = table.where(F.col("level") == i).select(F.col("fact_id").alias("_from"), "ancestor")
+        further = reach.join(step, F.col("fact_id") == F.col("_from")).select("head", F.col("ancestor").alias("fact_id"), (F.col("depth") + (1 << i)).alias("depth"))
+        reach = reach.unionByName(further)
+        if ring:
+            reach = reach.groupBy("head", "fact_id").agg(F.min("depth").alias("depth"))
+    return reach
+
+
 def revision_chains(edges: DataFrame, heads: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Every ancestor of each head: head, fact_id, depth (0 for the head itself).
 
-    `edges` is (new, old) with one parent per new fact; `heads` is (head). Ancestor pointers are
-    doubled each round, so a chain of d facts needs about log2(d) joins. Chains that run into a
-    cycle stop when a round finds no new member; rounds that run out are an error.
+    `edges` is (new, old) with one parent per new fact; `heads` is (head). A chain of d facts needs about log2(d)
+    jobs. Chains that run into a cycle have each member once; rounds that run out are an error.
     """
-    reach = heads.select("head", F.col("head").alias("fact_id"), F.lit(0).alias("depth"))
-    jump = edges.select(F.col("new").alias("_from"), F.col("old").alias("_to"))
-    size, step = -1, 1
-    for _ in range(max_rounds):
-        further = reach.join(jump, F.col("fact_id") == F.col("_from")).select(
-            "head", F.col("_to").alias("fact_id"), (F.col("depth") + step).alias("depth"))
-        reach = cut_lineage(reach.unionByName(further).groupBy("head", "fact_id").agg(F.min("depth").alias("depth")))
-        new_size = reach.count()
-        jump = jump.alias("a").join(jump.alias("b"), F.col("a._to") == F.col("b._from")).select("a._from", "b._to")
-        jump = cut_lineage(jump)
-        step *= 2
-        if new_size == size or jump.isEmpty():
-            return reach
-        size = new_size
-    raise ValueError(f"a revision chain goes on after {max_rounds} doublings")
+    return chains_from(ancestors(edges, max_levels=max_rounds), heads)
 
 
 def chain_heads(rep: Representation) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 """Session helpers."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,6 +21,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """`cut_lineage` and the number of rows, counted by the same job."""
+    seen = Observation()
+    return cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n"))), seen.get["n"]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores when the input comes in fewer pieces than there are cores.
 

@@ -1,5 +1,7 @@
 """Writers: reports, id lists, judge inputs and append-only result caches."""
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,18 +93,30 @@ def cache_misses(tasks: DataFrame, cache: DataFrame, key: str = "key") -> DataFr
     return tasks.join(cache.select(key), key, "left_anti")
 
 
-def append_cache(spark: SparkSession, tasks: DataFrame, path: str, process, key: str = "key") -> None:
-    """Process only the tasks missing in the cache table and append their results.
+def open_cache(spark: SparkSession, path: str, schema: str, key: str = "key", buckets: int = 64) -> str:
+    """Name of the cache table in this folder, which is made where it is missing.
+
+    Results are kept in buckets by key, so a lookup sends the tasks to the buckets and reads the key column of
+    the cache in place: the cache is never shuffled, however long it gets. The number of buckets belongs to
+    the folder; another number is another cache.
+    """
+    name = "cache_" + hashlib.md5(f"{path}|{key}|{buckets}".encode()).hexdigest()
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}/buckets={buckets}'")
+    return name
+
+
+def cached_results(spark: SparkSession, tasks: DataFrame, path: str, schema: str, process, key: str = "key", buckets: int = 64) -> DataFrame:
+    """Results of the tasks' keys: what the cache lacks is processed once per key, appended, and read with the rest.
 
-    `process` maps the missing tasks to result rows (for example `operators.model.apply_model`).
+    `process` maps missing tasks, one row per key, to result rows of the cache's columns (for example
+    `operators.model.apply_model`). Tasks without a key are not processed.
     """
-    try:
-        todo = cache_misses(tasks, spark.read.parquet(path), key)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        todo = tasks
-    process(todo).write.mode("append").parquet(path)
+    name = open_cache(spark, path, schema, key, buckets)
+    asked = tasks.where(F.col(key).isNotNull()).dropDuplicates([key])
+    results = process(cache_misses(asked, spark.table(name), key)).select(*spark.table(name).columns)
+    results.write.format("parquet").mode("append").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    spark.catalog.refreshTable(name)
+    return spark.table(name).join(asked.select(key), key, "left_semi")
 
 
 def reusable_records(cache: DataFrame, version: int) -> tuple[DataFrame, DataFrame]:
