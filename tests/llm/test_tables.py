@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from cases import SCHEMA, rows
-from tracewell.llm import near, neighbours, packing, sharding
+from tracewell.llm import near, neighbours, nnpu, packing, sharding
 from tracewell.llm.components import components
 from tracewell.llm.ranks import numbered
 
@@ -54,6 +54,22 @@ def test_shards_are_minimax(odd, none, shards):
     assert Counter(r.text_crc32 for r in got) == Counter(zlib.crc32((r[1] or "").encode()) for r in rows())
 
 
+def test_shards_are_even_beside_a_hot_text_and_at_the_end(spark):
+    r = random.Random(2)
+    docs = [(i, "h" * 92 if i % 3 == 0 else f"text {i} " + "x" * r.randrange(60, 120)) for i in range(6000)]
+    sizes = Counter()
+    for x in sharding.shard(spark.createDataFrame(docs, "doc_id long, text string"), 24).collect():
+        sizes[x.shard] += x["size"]
+    hot = sum(len(t) + 8 for _, t in docs if t[0] == "h")
+    rest = sorted(sizes.values())[:-1]
+    assert len(sizes) == 24 and max(sizes.values()) == hot
+    assert max(rest) < 1.25 * sum(rest) / 23 and min(rest) > 0.75 * sum(rest) / 23
+    plain = Counter()
+    for x in sharding.shard(spark.createDataFrame([d for d in docs if d[1][0] != "h"], "doc_id long, text string"), 24).collect():
+        plain[x.shard] += x["size"]
+    assert len(plain) == 24 and max(plain.values()) < 1.03 * sum(plain.values()) / 24 and min(plain.values()) > 0.95 * sum(plain.values()) / 24
+
+
 def test_shortest_pack_first_is_the_sequential_rule():
     r = np.random.RandomState(3)
     for _ in range(50):
@@ -286,3 +302,10 @@ def test_near_copies_of_null_ids_weigh_like_others(spark):
     data = [(None if i else 1, t) for i, t in enumerate(texts)]
     kept = near.near_copies(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).where("kept").count()
     assert kept == 600
+
+
+def test_the_bound_on_examples_holds_for_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(i, f"other {i}") for i in range(2, 60)] + [(None, "x")] * 50, "doc_id long, text string")
+    positives = spark.createDataFrame([(1,), (2,), (2,), (None,)], "doc_id long")
+    got = nnpu.sample(docs, positives, F.lit(True), "doc_id", "text", 10, 20).groupBy("positive").count().collect()
+    assert {x.positive: x["count"] for x in got} == {True: 2, False: 20}

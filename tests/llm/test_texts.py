@@ -89,7 +89,7 @@ def test_bpe_like_the_library(odd, none):
     assert bpe.digests(none, path).count() == 0
 
 
-@pytest.mark.parametrize("letters", ["ab", "aaab", "the in on", "é日a ", "0123456789"])
+@pytest.mark.parametrize("letters", ["ab", "aaab", "the in on", "日本語の", "ñóúaen ", "0123456789"])
 def test_speculation_equals_exact_merging(letters):
     merges = bpe.codec_of(open(public_tokenizers.path("byte_bpe_50k.json")).read()).merges
     r = random.Random(letters)
@@ -232,3 +232,10 @@ def test_classifiers(spark, odd, none, kind):
     assert scored.where("p IS NULL OR p < 0 OR p > 1").count() == 0 and use(none).count() == 0
     assert scored.where("text IS NULL OR text = ''").select("p").distinct().count() == 1
     assert empty.where("p BETWEEN 0 AND 1").count() == len(rows())
+
+
+def test_rare_languages_are_learned(spark):
+    for n in range(1, 6):
+        rows_ = [(i, f"the cat sat on the mat and the dog number {i} ran", "en") for i in range(40)] + [(100 * n + i, "der hund lief und die katze", "de") for i in range(2)] + [(7, "12 !", "xx")]
+        model = language.fit(spark.createDataFrame(rows_, "doc_id long, text string, lang string"), max_chars=300)
+        assert {"de", "en"} <= set(model.languages)

@@ -146,21 +146,24 @@ def fit(docs: DataFrame, trusted: Column | None = None, text_col: str = "text",
         max_chars: int = MAX_CHARS) -> Model:
     """Models of the languages that `lang_col` names, from rows where `trusted` holds and text and language are known.
 
-    A language with more than about `max_chars` characters is learned from whole texts drawn by a hash of the id at
-    the rate that gives so many, so the model's size is bounded by the number of languages. A fifth of the sample is
-    kept back: it gives the scale that turns entropies into probabilities, and for each language the limit above
-    which a text is rejected.
+    A language with more than about `max_chars` characters is learned from whole texts drawn by a hash of id and text at
+    the rate that gives so many, so the model's size is bounded by the number of languages; rows equal in both count
+    once. A fifth of the sample is kept back: it gives the scale that turns entropies into probabilities, and for each
+    language the limit above which a text is rejected. The text of least hash is always learned from, so a language
+    with a letter in any text is never missing. Null ids hash like others; no known rows give a model of no language.
     """
     trusted = F.lit(True) if trusted is None else trusted
     known = docs.where(trusted & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("draw"))
-    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
-    rates = {lang: min(1.0, max_chars / max(1, n)) for lang, n in totals.items()}
-    if not rates:
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("draw"))
+    least = F.min(F.when(F.col("text").rlike(r"\p{L}"), F.col("draw"))).alias("least")
+    totals = known.groupBy("lang").agg(F.sum(F.length("text")).alias("n"), least).collect()
+    if not totals:
         return Model([], [], [], [], [], 1.0, np.zeros(0), np.zeros(0))
-    rate = F.element_at(F.create_map(*(F.lit(x) for pair in rates.items() for x in pair)), F.col("lang"))
-    drawn = known.where(F.pmod("draw", F.lit(1 << 20)) < rate * (1 << 20))
-    kept_back = F.pmod(F.shiftright("draw", 20), F.lit(CALIBRATION)) == 0
+    per_lang = lambda value: F.element_at(F.create_map(*(F.lit(x) for r in totals for x in (r["lang"], value(r)))), F.col("lang"))
+    rate = per_lang(lambda r: min(1.0, max_chars / max(1, r["n"])))
+    first = F.coalesce(F.col("draw") == per_lang(lambda r: r["least"] or 0), F.lit(False))
+    drawn = known.where((F.pmod("draw", F.lit(1 << 20)) < rate * (1 << 20)) | first).dropDuplicates(["lang", "draw"])
+    kept_back = (F.pmod(F.shiftright("draw", 20), F.lit(CALIBRATION)) == 0) & ~first
     columns = [*(f"g{k}" for k in range(1, ORDER + 1)), *(f"c{k}" for k in range(1, ORDER))]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

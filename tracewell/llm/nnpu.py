@@ -127,13 +127,16 @@ def sample(docs: DataFrame, positives: DataFrame, trusted: Column, id_col: str,
     """The examples' texts: positive boolean, id_hash long, text.
 
     Up to `max_positive` ids of `positives` and up to `max_unlabelled` ids of all rows where `trusted` holds, those
-    with the least hashes; these lists, of bounded size, are broadcast, so no text is shuffled to draw the sample.
+    with the least hashes; these lists, of bounded size, are broadcast, so no text is shuffled to draw the sample. An id
+    gives one row, that of the text of least hash, so the bounds hold for rows; null ids give none.
     """
     key = F.xxhash64(id_col)
 
     def least(rows: DataFrame, n: int) -> DataFrame:
         return F.broadcast(rows.select(id_col).where(F.col(id_col).isNotNull()).distinct().orderBy(key, id_col).limit(n))
 
-    pick = lambda ids, positive: docs.select(id_col, text_col).join(ids, id_col, "left_semi").select(
-        F.lit(positive).alias("positive"), key.alias("id_hash"), F.col(text_col).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    one = F.min(F.struct(F.xxhash64(text).alias("hash"), text.alias("text")))["text"]
+    pick = lambda ids, positive: docs.select(id_col, text_col).join(ids, id_col, "left_semi").groupBy(id_col).agg(one.alias("text")).select(
+        F.lit(positive).alias("positive"), key.alias("id_hash"), "text")
     return pick(least(positives, max_positive), True).unionAll(pick(least(docs.where(trusted), max_unlabelled), False))

@@ -1,6 +1,6 @@
 """Shards of nearly equal bytes: minimax contiguous partition of ordered atomic groups."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.ranks import numbered
@@ -17,15 +17,53 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _filled(cells: Column, capacity: Column) -> Column:
-    """Greedy walk over the cells: bytes in the open shard, and the first cells of all shards but the first."""
+def _starts_from_the_end(cells: Column, capacity: Column) -> Column:
+    """First cells of the shards that a greedy walk from the last cell back fills; from any cell on, no fewer shards will do."""
     def step(state, cell):
         used = state["used"] + cell["bytes"]
-        return F.when(used <= capacity, F.struct(used.alias("used"), state["firsts"].alias("firsts"))).otherwise(
-            F.struct(cell["bytes"].alias("used"), F.concat(state["firsts"], F.array(cell["cell"])).alias("firsts")))
+        return F.when(used <= capacity, F.struct(used.alias("used"), cell["cell"].alias("at"), state["starts"].alias("starts"))).otherwise(
+            F.struct(cell["bytes"].alias("used"), cell["cell"].alias("at"), F.concat(state["starts"], F.array(state["at"])).alias("starts")))
 
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("firsts"))
-    return F.aggregate(cells, start, step)
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    return F.aggregate(F.reverse(cells), start, step)["starts"]
+
+
+def _cut(cells: Column, capacity: Column, shards: int, starts: Column, even: Column) -> Column:
+    """First cells of all shards but the first: cells above the even share stand alone, and the runs between them are cut
+    evenly, at `capacity` at the latest and never so early that the rest would not do with the shards left.
+
+    Cells carry `rest`, the bytes from the cell to the end of its run, and whether the run is the last one.
+    """
+    def share(cell, left):
+        return cell["rest"] / F.when(cell["last"], left).otherwise(F.greatest(F.lit(1), F.round(cell["rest"] / even).cast("int")))
+
+    def step(state, cell):
+        fits = state["used"] + cell["bytes"] <= capacity
+        spare = F.size(F.filter(starts, lambda s: s > cell["cell"])) + 1 <= state["left"] - 1
+        full = cell["first"] | (2 * state["used"] + cell["bytes"] > 2 * state["share"])
+        close = (state["used"] > 0) & (~fits | (spare & full))
+        opens = close | (state["used"] == 0)
+        left = state["left"] - close.cast("int")
+        return F.struct(F.when(close, cell["bytes"]).otherwise(state["used"] + cell["bytes"]).alias("used"), left.alias("left"),
+                        F.when(opens, share(cell, left)).otherwise(state["share"]).alias("share"),
+                        F.when(close, F.concat(state["firsts"], F.array(cell["cell"]))).otherwise(state["firsts"]).alias("firsts"))
+
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(shards).alias("left"), F.lit(0.0).alias("share"), F.array().cast("array<int>").alias("firsts"))
+    return F.aggregate(cells, start, step)["firsts"]
+
+
+def _in_runs(cells: DataFrame, shards: int) -> DataFrame:
+    """The cells with the even share and their runs: what lies between cells above the even share. At most 2^16 rows, so windows over all of them are small."""
+    row = cells.agg(F.collect_list("bytes").alias("sizes"), F.sum("bytes").alias("total"))
+    capped = lambda top: F.ceil(F.aggregate("sizes", F.lit(0).cast("long"), lambda n, x: n + F.least(x, top)) / shards)
+    # Large cells count as the mean, and once more as the share that this leaves.
+    row = row.withColumn("even", capped(F.ceil(F.col("total") / shards))).withColumn("even", F.greatest(F.lit(1), capped(F.col("even"))))
+    big = (F.col("bytes") > F.col("even")).cast("int")
+    upto = Window.orderBy("cell")
+    numbered_ = cells.join(F.broadcast(row.select("even")), F.lit(True)).withColumn("run", 2 * F.sum(big).over(upto) - big)
+    return numbered_.select("cell", "bytes", "even", F.sum("bytes").over(Window.partitionBy("run").orderBy("cell").rowsBetween(0, Window.unboundedFollowing)).alias("rest"),
+                            (F.col("run") == F.max("run").over(Window.partitionBy())).alias("last"),
+                            F.coalesce(F.lag("run").over(upto) != F.col("run"), F.lit(True)).alias("first"))
 
 
 def _shards_needed(cells: Column, capacity: Column) -> Column:
@@ -38,13 +76,14 @@ def _shards_needed(cells: Column, capacity: Column) -> Column:
 
 
 def first_cells(cells: DataFrame, shards: int) -> DataFrame:
-    """One row: the first cells of shards 1, 2, ... for the least capacity that `shards` shards can do with.
+    """One row: the first cells of shards 1, 2, ... for the least capacity that `shards` shards can do with. Within that
+    capacity, shards are cut near an even share of the bytes.
 
     `cells` has an int `cell` and its `bytes`, at most 2^16 rows, so they fit in one array. No capacity below the
     largest cell or the mean serves; the larger of the two plus the largest cell always does, as every closed shard
     then holds the mean or more. The binary search between them takes as many rounds as the largest cell has bits.
     """
-    row = cells.agg(F.sort_array(F.collect_list(F.struct("cell", "bytes"))).alias("cells"),
+    row = _in_runs(cells, shards).agg(F.sort_array(F.collect_list(F.struct("cell", "bytes", "rest", "last", "first"))).alias("cells"), F.max("even").alias("even"),
                     F.coalesce(F.max("bytes"), F.lit(0)).alias("most"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("total"))
     low = F.greatest(F.col("most"), F.ceil(F.col("total") / shards))
 
@@ -57,12 +96,14 @@ def first_cells(cells: DataFrame, shards: int) -> DataFrame:
 
     rounds = F.sequence(F.lit(0), F.length(F.bin("most")))
     searched = F.aggregate(rounds, F.struct(low.alias("low"), (low + F.col("most")).alias("high")), narrow)
-    return row.withColumn("capacity", searched["high"]).select(
-        "capacity", _filled(F.col("cells"), F.col("capacity"))["firsts"].alias("firsts"))
+    found = row.withColumn("capacity", searched["high"])
+    found = found.withColumn("starts", _starts_from_the_end(F.col("cells"), F.col("capacity")))
+    return found.select("capacity", _cut(F.col("cells"), F.col("capacity"), shards, F.col("starts"), F.col("even")).alias("firsts"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The ids with size, shard and slot; equal texts share a shard, and the largest shard is as small as can be.
+    """The ids with size, shard and slot; equal texts share a shard, and the largest shard is as small as can be, the others
+    as even as that allows.
 
     The order of the groups is the order of their digests, so a shard is a range of digests. Returns `id_col`, `size`
     (UTF-8 bytes of the text plus 8), `text_crc32`, `shard` and `slot` (gapless from 0 in the shard). A null text
