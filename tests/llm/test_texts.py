@@ -3,13 +3,14 @@
 import hashlib
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from cases import rows
 from corpus_pipeline import quality_rules
@@ -239,3 +240,23 @@ def test_rare_languages_are_learned(spark):
         rows_ = [(i, f"the cat sat on the mat and the dog number {i} ran", "en") for i in range(40)] + [(100 * n + i, "der hund lief und die katze", "de") for i in range(2)] + [(7, "12 !", "xx")]
         model = language.fit(spark.createDataFrame(rows_, "doc_id long, text string, lang string"), max_chars=300)
         assert {"de", "en"} <= set(model.languages)
+
+
+@pytest.mark.parametrize(("file", "n"), [("byte_bpe_50k.json", 1_000_000), ("word_bpe_49k.json", 30_000)])
+def test_a_very_long_word_is_merged_like_the_library(file, n):
+    r = random.Random(n)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/" if n > 10**5 else "abcdefghijklmnopqrstuvwxyz"
+    word = "".join(r.choice(letters[:64]) for _ in range(n // 2)) + "aab" * (n // 6)
+    merges = pairs.Merges(open(public_tokenizers.path(file)).read())
+    began = time.perf_counter()
+    ids, counts = merges.exact([b"ab", word.encode(), b"b"])
+    assert time.perf_counter() - began < (40 if n > 10**5 else 5)
+    small, sizes = merges.exact([b"ab", b"b"])
+    assert ids.tolist()[:sizes[0]] == small.tolist()[:sizes[0]] and counts.tolist()[::2] == sizes.tolist()
+    if n < 10**5:
+        whole, some = merges._merged([word.encode()])
+        assert whole.tolist() == ids[counts[0]:counts[0] + counts[1]].tolist()
+    else:
+        library = Tokenizer.from_file(public_tokenizers.path(file))
+        library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        assert library.encode(word, add_special_tokens=False).ids == ids[counts[0]:counts[0] + counts[1]].tolist()

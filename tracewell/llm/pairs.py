@@ -1,5 +1,6 @@
 """Byte pair merges over many words at once: exact merging, greedy proposals and the check of adjacent tokens."""
 
+import heapq
 import json
 
 import numpy as np
@@ -11,6 +12,8 @@ NONE = np.int32(-1)
 NEVER = np.int32(1 << 30)
 #: Words that are merged at a time, so that the arrays stay in the processor's cache.
 TOGETHER = 4096
+#: Bytes of a word from which on it is merged alone.
+LONG = 2048
 
 
 class Lookup:
@@ -74,6 +77,7 @@ class Merges:
             else:
                 self.left[z], self.right[z], self.rank[z] = x, y, rank
         self.merge_ids = np.array(made, np.int32)
+        self.rank_of_pair: dict[int, int] = {}
         self.pairs = Lookup(np.array(keys, np.uint64), np.arange(len(keys), dtype=np.int32))
         of = {c: b for b, c in enumerate(letters)}
         self.bytes_of: dict[int, bytes] = {}
@@ -106,11 +110,64 @@ class Merges:
         return np.where(found >= 0, found, NEVER)
 
     def exact(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row and their number by word, by merging the pair of least rank, leftmost first."""
-        parts = [self._merged(words[i:i + TOGETHER]) for i in range(0, len(words), TOGETHER)] or [self._merged([])]
+        """Ids of all words in a row and their number by word, by merging the pair of least rank, leftmost first.
+
+        Words are merged together, TOGETHER at a time; one of more than LONG bytes is merged on its own, as rounds over all
+        of it would take the square of its length.
+        """
+        parts, together = [self._merged([])], []
+        for w in words:
+            if len(w) > LONG or len(together) == TOGETHER:
+                parts.append(self._merged(together))
+                together = []
+            if len(w) > LONG:
+                ids = self._merged_alone(w)
+                parts.append((ids, np.array([len(ids)], np.int64)))
+            else:
+                together.append(w)
+        parts.append(self._merged(together))
         ids, counts = zip(*parts)
         return np.concatenate(ids), np.concatenate(counts)
 
+    def _merged_alone(self, word: bytes) -> np.ndarray:
+        """exact() of one word: its pairs wait in a queue by rank and place, and each merge looks at its two neighbours."""
+        raw = np.frombuffer(word, np.uint8)
+        first = self.inner[raw]
+        first[-1] = self.last[raw[-1]]
+        n, ranks = len(first), self._ranks(first, np.zeros(len(first), np.int32))
+        at = np.flatnonzero(ranks < NEVER)
+        queue = (ranks[at].astype(np.int64) << 32 | at).tolist()
+        heapq.heapify(queue)
+        symbols, alive, after, before = first.tolist(), bytearray(b"\1") * n, list(range(1, n + 1)), list(range(-1, n - 1))
+        known, never = self.rank_of_pair, int(NEVER)
+
+        def rank_of(a: int, b: int) -> int:
+            pair = a << 32 | b
+            found = known.get(pair)
+            if found is None:
+                found = known[pair] = int(self._pair_ranks(np.array([a]), np.array([b]))[0])
+            return found
+
+        while queue:
+            top = heapq.heappop(queue)
+            i, rank = top & 0xFFFFFFFF, top >> 32
+            j = after[i]
+            if not alive[i] or j == n or rank_of(symbols[i], symbols[j]) != rank:
+                continue
+            symbols[i], alive[j] = int(self.merge_ids[rank]), 0
+            k, h = after[j], before[i]
+            after[i] = k
+            if k < n:
+                before[k] = i
+                new = rank_of(symbols[i], symbols[k])
+                if new < never:
+                    heapq.heappush(queue, new << 32 | i)
+            if h >= 0:
+                new = rank_of(symbols[h], symbols[i])
+                if new < never:
+                    heapq.heappush(queue, new << 32 | h)
+        return np.array(symbols, np.int32)[np.frombuffer(alive, np.uint8).astype(bool)]
+
     def _merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """exact() of words that are merged together.
 

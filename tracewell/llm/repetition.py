@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import starts_of, steps, sums, word_ids
+from tracewell.llm.common import free_name, release, starts_of, steps, sums, word_ids
 
 #: A word is a run of other bytes than these.
 SPACES = " \t\n\v\f\r"
@@ -16,6 +16,8 @@ SYMBOLS = "#*$%&|<>"
 #: A repeated passage has so many words at least.
 MIN_WORDS = 5
 MAX_COVERED = 0.5
+#: Text bytes whose suffixes are sorted together.
+STEP_BYTES = 1 << 20
 MAX_LONGEST = 100
 #: The limit of the queries on the words that repeats of MIN_WORDS or more cover. These words lie in repeated windows of
 #: three as well, so at the base limit of a half it would decide nothing. Of 3,243 clean documents none has a share over 0.29.
@@ -132,11 +134,12 @@ def repetition(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WOR
     @F.arrow_udf(_TYPE)
     def measures(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            parts = [measure(raw, min_words) for raw in steps(batch)] or [measure([], min_words)]
+            parts = [measure(raw, min_words) for raw in steps(batch, STEP_BYTES)] or [measure([], min_words)]
             names = list(parts[0])
+            release()
             yield pa.StructArray.from_arrays([pa.array(np.concatenate([p[c] for p in parts])) for c in names], names)
 
-    at = "__measures"
+    at = free_name([*docs.columns, out], "__measures")
     m = lambda name: F.col(f"{at}.{name}")
     failed = (m("n_words") < 50) | (100 * m("n_repeat_words") > 50 * m("n_words"))
     within = (m("n_covered") <= max_covered * m("n_words")) & (m("longest_repeat") <= max_longest)

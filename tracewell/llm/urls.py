@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import checkpointed
+from tracewell.llm.common import checkpointed, free_name
 
 #: Bytes that all filters of a list may take together; a list of more goes through the tasks in several passes.
 MAX_BYTES = 64 << 20
@@ -177,7 +177,7 @@ def filtered(pages: DataFrame, rules: DataFrame, url_col: str = "url", out: str
     n, keys = listed.count(), bare.select(F.coalesce(F.sum(F.size(keys_of(F.col("host"), F.col("path"), shapes))), F.lit(0)).alias("n")).first()["n"] if shapes else 0
     parts = max(1, math.ceil(cascade_bytes(n, keys) / max_bytes))
 
-    name = _free(pages.columns, "place")
+    name = free_name([*pages.columns, out], "place")
     made, found = pages.withColumn(out, F.struct(host.alias("host"), path.alias("path"))), []
     candidates = keys_of(F.col(f"`{out}`.host"), F.col(f"`{out}`.path"), shapes)
     hashed = F.transform(candidates, hashes)
@@ -193,13 +193,6 @@ def filtered(pages: DataFrame, rules: DataFrame, url_col: str = "url", out: str
     return made.withColumn(out, F.struct(F.col(f"`{out}`.host").alias("host"), F.col(f"`{out}`.path").alias("path"), rule.alias("rule"), verdict.alias("verdict"))).drop(name)
 
 
-def _free(columns: list[str], name: str) -> str:
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def _places(spark, levels: dict[bool, list[Bloom]], parts: int, part: int):
     """Of the hashes of a url's keys, longest first: twice the place of the first that a cascade holds, counted from the
     end from 1, and one more if it allows; 0 if none is held."""
