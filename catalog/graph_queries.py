@@ -6,6 +6,7 @@ from catalog.fixtures import view
 from catalog.registry import query
 from tracewell.operators import answers, facts, graph
 from tracewell.operators.graph import Representation
+from tracewell.session import cut_lineage
 
 ACTIVE = """
 SELECT p.patient_id, p.concept_type, p.day, MAX(f.fact_id) AS fact_id
@@ -231,24 +232,66 @@ SELECT representation, subset, COUNT(*) AS n, COUNT(*) FILTER (WHERE answer IS N
 FROM long GROUP BY representation, subset""")
 def d13(spark, sf):
     base = base_graph(spark, sf)
+    base = base._replace(nodes=cut_lineage(base.nodes))
     reps = {"uncompressed_baseline": base, "aggregation": graph.aggregate_mentions(base), "fixed_window_baseline": graph.fixed_window(base, 2)}
     out = answers.evaluate_representations(reps, view(spark, sf, "f_facts"), view(spark, sf, "f_edges"), view(spark, sf, "f_points"))
     return out.select("representation", "subset", "n", "correct", "no_value", F.round("accuracy_on_resolved", 6).alias("accuracy_on_resolved"))
 
 
-@query("d13_evaluate_compression")
+# Entries of all five representations; `since` is the day from which an entry counts.
+ALL_ANSWERS = CHAIN.replace("{f_mentions}", "(SELECT * REPLACE (ROUND(confidence, 6) AS confidence) FROM {f_mentions}) m") + f""",
+act AS (SELECT a.patient_id, a.concept_type, a.day, f.value AS truth FROM ({ACTIVE}) a LEFT JOIN {{f_facts}} f ON f.fact_id = a.fact_id),
+w AS (SELECT m.*, ROW_NUMBER() OVER (PARTITION BY patient_id, concept_type ORDER BY day DESC, ord) AS r FROM {{f_mentions}} m),
+ch AS (SELECT c.head, c.depth, s.*, MAX(c.depth) OVER (PARTITION BY c.head) AS oldest FROM c JOIN s ON s.fact_id = c.cur),
+hist AS (SELECT ARG_MAX(patient_id, depth) OVER k AS patient_id, ARG_MAX(concept_type, depth) OVER k AS concept_type, value, day, confidence, 1 AS og, ARG_MIN(ord, depth) OVER k AS ord, oldest - depth AS pos
+         FROM ch WINDOW k AS (PARTITION BY head)),
+rev AS (SELECT patient_id, concept_type, value, day, confidence, 0 AS og, ord, 0 AS pos FROM s WHERE fact_id NOT IN (SELECT cur FROM c) UNION ALL SELECT * FROM hist),
+anchored AS (SELECT *, MIN(CASE WHEN confidence >= 0.65 THEN day END) OVER (PARTITION BY patient_id, concept_type) AS anchor FROM rev),
+vague AS (SELECT *, confidence < 0.65 AND anchor IS NOT NULL AS lossy, CASE WHEN day < anchor THEN 'BEFORE' WHEN day > anchor THEN 'AFTER' ELSE 'OVERLAP' END AS rel FROM anchored),
+e AS (SELECT 'uncompressed_baseline' AS representation, patient_id, concept_type, value, day AS since, 0 AS og, ord, 0 AS pos, CAST(NULL AS VARCHAR) AS rel, CAST(NULL AS INT) AS anchor FROM w
+      UNION ALL SELECT 'fixed_window_baseline', patient_id, concept_type, value, day, 0, ord, 0, NULL, NULL FROM w WHERE r <= 2
+      UNION ALL SELECT 'aggregation', patient_id, concept_type, value, day, 0, ord, 0, NULL, NULL FROM s
+      UNION ALL SELECT 'revision_representation', patient_id, concept_type, value, day, og, ord, pos, NULL, NULL FROM rev
+      UNION ALL SELECT 'temporal_approximation', patient_id, concept_type, value, CASE WHEN NOT lossy THEN day WHEN rel <> 'AFTER' THEN anchor END, og, ord, pos, CASE WHEN lossy THEN rel END, CASE WHEN lossy THEN anchor END FROM vague),
+ans AS (SELECT n.representation, t.patient_id, t.concept_type, t.day, MAX(t.truth) AS truth, ARG_MAX(e.value, ROW(e.since, e.og, e.ord, e.pos)) FILTER (WHERE e.since <= t.day) AS answer,
+        COUNT(*) FILTER (WHERE e.since <= t.day) AS n_found, COUNT(*) FILTER (WHERE (e.rel = 'BEFORE' AND e.anchor > t.day) OR (e.rel = 'AFTER' AND e.anchor < t.day)) AS n_open
+        FROM act t CROSS JOIN (SELECT DISTINCT representation FROM e) n
+        LEFT JOIN e ON e.representation = n.representation AND e.patient_id = t.patient_id AND e.concept_type = t.concept_type
+        GROUP BY n.representation, t.patient_id, t.concept_type, t.day),
+sub AS (SELECT ans.*, CASE WHEN n_found = 0 AND n_open > 0 THEN 'abstain' WHEN answer IS NOT DISTINCT FROM truth THEN 'correct' WHEN answer IS NULL THEN 'no_value' ELSE 'wrong_value' END AS outcome,
+        patient_id IN (SELECT patient_id FROM {{f_edges}}) AS rp,
+        EXISTS (SELECT 1 FROM {{f_edges}} e JOIN {{f_facts}} f ON f.fact_id = e.to_fact_id
+                WHERE e.patient_id = ans.patient_id AND f.concept_type = ans.concept_type AND e.day <= ans.day) AS pr FROM ans),
+long AS (SELECT representation, 'all' AS subset, outcome FROM sub UNION ALL SELECT representation, 'revision_patients', outcome FROM sub WHERE rp
+         UNION ALL SELECT representation, 'post_revision', outcome FROM sub WHERE pr),
+tally AS (SELECT representation, subset, COUNT(*) AS n, COUNT(*) FILTER (WHERE outcome = 'correct') AS correct, COUNT(*) FILTER (WHERE outcome = 'wrong_value') AS wrong_value,
+         COUNT(*) FILTER (WHERE outcome = 'no_value') AS no_value, COUNT(*) FILTER (WHERE outcome = 'abstain') AS abstain FROM long GROUP BY representation, subset)
+"""
+
+
+def rounded_graph(spark, sf):
+    """The base graph, written once; confidences to six digits, so that both engines hold them against a limit alike."""
+    base = base_graph(spark, sf)
+    return base._replace(nodes=cut_lineage(base.nodes.withColumn("confidence", F.round("confidence", 6))))
+
+
+@query("d13_evaluate_compression", ALL_ANSWERS + """SELECT representation, subset, n, correct, wrong_value, no_value, abstain, ROUND(CAST(n - abstain AS DOUBLE) / n, 6) AS coverage,
+ ROUND(CAST(correct AS DOUBLE) / GREATEST(1, n - abstain), 6) AS accuracy_on_resolved FROM tally""")
 def d13_all(spark, sf):
-    reps = answers.compress(base_graph(spark, sf), 0.65, 2)
-    return answers.evaluate_representations(reps, view(spark, sf, "f_facts"), view(spark, sf, "f_edges"), view(spark, sf, "f_points"))
+    reps = answers.compress(rounded_graph(spark, sf), 0.65, 2)
+    out = answers.evaluate_representations(reps, view(spark, sf, "f_facts"), view(spark, sf, "f_edges"), view(spark, sf, "f_points"))
+    return out.withColumns({c: F.round(c, 6) for c in ("coverage", "accuracy_on_resolved")})
 
 
-@query("d14_reversibility")
+# Membership edges keep every mention, so nothing is lost of their provenance.
+@query("d14_reversibility", ALL_ANSWERS + """SELECT representation, ROUND(CAST(correct AS DOUBLE) / GREATEST(1, n - abstain), 6) AS accuracy_on_resolved, 1.0 AS provenance_recall
+FROM tally WHERE subset = 'all' AND representation IN ('aggregation', 'revision_representation') AND CAST(correct AS DOUBLE) / GREATEST(1, n - abstain) < 0.999""")
 def d14(spark, sf):
-    base = base_graph(spark, sf)
-    reps = {"uncompressed_baseline": base, "aggregation": graph.aggregate_mentions(base)}
-    reps["revision_representation"] = graph.collapse_revisions(reps["aggregation"])
+    reps = answers.compress(rounded_graph(spark, sf), 0.65, 2)
+    reps = {name: reps[name] for name in ("uncompressed_baseline", "aggregation", "revision_representation")}
     ev = answers.evaluate_representations(reps, view(spark, sf, "f_facts"), view(spark, sf, "f_edges"), view(spark, sf, "f_points"))
-    return answers.reversibility_check(ev, answers.representation_report(reps))
+    out = answers.reversibility_check(ev, answers.representation_report(reps))
+    return out.withColumns({c: F.round(c, 6) for c in ("accuracy_on_resolved", "provenance_recall")})
 
 
 @query("d15_revision_fraction", """

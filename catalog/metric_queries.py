@@ -137,9 +137,42 @@ def m12(spark, sf):
     return rounded(reports.mechanism_metrics(p))
 
 
-@query("m13_selective_report")
+SELECTIVE = f"""WITH {PRED}, t AS (SELECT * FROM p WHERE variant <> 'clean' UNION ALL SELECT * REPLACE ('overall' AS model) FROM p WHERE variant <> 'clean'),
+g AS (SELECT CAST(i AS DOUBLE) * CAST(0.01 AS DOUBLE) AS t FROM RANGE(101) x(i)),
+dev AS (SELECT g.t, CAST({_n('an AND score >= t')} AS DOUBLE) / COUNT(*) AS cov, CAST({_n('ok AND score >= t')} AS DOUBLE) / NULLIF({_n('an AND score >= t')}, 0) AS acc FROM p CROSS JOIN g WHERE variant = 'clean' GROUP BY g.t),
+pick AS (SELECT t AS th, CASE WHEN mc >= 0.5 THEN 'dev_min_risk_at_target_coverage' ELSE 'target_unattainable_maximum_coverage_used' END AS src FROM (SELECT *, MAX(cov) OVER () AS mc FROM dev WHERE acc IS NOT NULL) d
+  ORDER BY CASE WHEN mc >= 0.5 AND cov < 0.5 THEN 1 ELSE 0 END, CASE WHEN mc >= 0.5 THEN 1 - acc ELSE -cov END, t LIMIT 1),
+curve AS (SELECT model, g.t, CAST({_n('an AND score >= g.t')} AS DOUBLE) / COUNT(*) AS cov, CAST({_n('ok AND score >= g.t')} AS DOUBLE) / NULLIF({_n('an AND score >= g.t')}, 0) AS acc FROM t CROSS JOIN g GROUP BY model, g.t),
+v AS (SELECT *, LAG(cov) OVER o AS pc, LAG(acc) OVER o AS pa FROM curve WHERE acc IS NOT NULL WINDOW o AS (PARTITION BY model ORDER BY cov, t DESC)),
+area AS (SELECT model, SUM((cov - pc) * ((1 - acc) + (1 - pa)) / 2) AS aurc FROM v GROUP BY model)
+"""
+AT = f"""SELECT model, COUNT(*) AS n_total, ROUND(MAX(th), 6) AS threshold, MAX(src) AS threshold_source, MAX(src) <> 'dev_min_risk_at_target_coverage' AS threshold_selection_warning, {_n('sel')} AS n_answered, {_r(_n('sel'), 'COUNT(*)')} AS coverage,
+ {_r(_n('sel AND ok'), _n('sel'))} AS selective_accuracy, {_r(_n('sel AND NOT ok'), _n('sel'))} AS selective_risk, {_r(_n('ab'), 'COUNT(*)')} AS existing_abstention_rate, ROUND(AVG(score), 6) AS mean_score, ROUND(MAX(aurc), 6) AS aurc,
+ GREATEST(1, CAST(ROUND_EVEN(0.5 * COUNT(*), 0) AS BIGINT)) AS random_n_selected, TRUE AS random_accuracy_as_expected"""
+
+
+def selective_columns(out):
+    """What SQL can state: of the random control its size, and that its mean lies by the share of correct answers."""
+    near = F.abs(F.col("random_mean_accuracy") - F.col("_share")) < 0.01
+    return out.select("model", "n_total", "threshold", "threshold_source", "threshold_selection_warning", "n_answered", "coverage", "selective_accuracy", "selective_risk",
+                      "existing_abstention_rate", "mean_score", "aurc", "random_n_selected", near.alias("random_accuracy_as_expected"))
+
+
+def selective(spark, sf, **how):
+    test = control(spark, sf)
+    both = test.withColumn("model", F.explode(F.array(F.col("model"), F.lit("overall"))))
+    share = both.groupBy("model").agg((reports.n_of(reports.correct()) / reports.n_of(reports.answered())).alias("_share"))
+    return rounded(selective_columns(reports.selective_report(clean(spark, sf), test, 0.5, **how).join(share, "model")))
+
+
+@query("m13_selective_report", SELECTIVE + AT + " FROM (SELECT t.*, pick.*, area.aurc, an AND score >= th AS sel FROM t CROSS JOIN pick JOIN area USING (model)) s GROUP BY model")
 def m13(spark, sf):
-    return reports.selective_report(clean(spark, sf), control(spark, sf), 0.5)
+    return selective(spark, sf)
+
+
+@query("m13_given_threshold", SELECTIVE + AT + " FROM (SELECT t.*, CAST(0.3 AS DOUBLE) AS th, 'user_fixed_threshold' AS src, area.aurc, an AND score >= 0.3 AS sel FROM t JOIN area USING (model)) s GROUP BY model")
+def m13_given(spark, sf):
+    return selective(spark, sf, threshold=0.3)
 
 
 @query("m14_workflow_outcomes", f"""SELECT event_type AS "system", COUNT(*) AS n_cases, ROUND(AVG(value), 6) AS mean_time_seconds, ROUND(MEDIAN(value), 6) AS median_time_seconds,

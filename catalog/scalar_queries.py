@@ -96,6 +96,17 @@ def b6(spark, sf):
     return parsed_answers(spark, sf).select("note_id", "relation", F.md5("evidence_span").alias("span_digest"), "confidence", "reason")
 
 
+# Answers that are JSON but no object, in fences and out of them, beside objects and plain text.
+@query("b6_non_object_answers", """
+SELECT doc_id, CASE doc_id % 6 WHEN 5 THEN 'EVENT1-BEFORE-EVENT2' END AS relation, CASE doc_id % 6 WHEN 4 THEN 'invalid_json' WHEN 5 THEN '' ELSE 'non_object_json' END AS reason FROM {documents}""")
+def b6_non_object(spark, sf):
+    i, text = F.col("doc_id") % 6, F.to_json(F.struct(F.coalesce(F.substring("text", 1, 40), F.lit("")).alias("evidence_span"), F.lit("EVENT1-BEFORE-EVENT2").alias("relation")))
+    raw = (F.when(i == 0, F.concat(F.lit("["), text, F.lit("]"))).when(i == 1, F.lit("```json\n[1, 2]\n```")).when(i == 2, F.lit(" null ")).when(i == 3, F.concat(F.lit('"'), F.col("lang"), F.lit('"')))
+           .when(i == 4, F.lit("no json at all")).otherwise(text))
+    parsed = view(spark, sf, "documents").select("doc_id", scalars.parse_answer(raw).alias("p"))
+    return parsed.select("doc_id", "p.relation", "p.reason")
+
+
 @query("b7_to_double", f"SELECT event_id, TRY_CAST(raw AS DOUBLE) AS number FROM ({DIRTY}) d")
 def b7(spark, sf):
     return run(spark, sf, DIRTY).select("event_id", scalars.to_double("raw").alias("number"))
@@ -191,8 +202,12 @@ def a8(spark, sf):
 
 @query("a9_id_lists", "SELECT CONCAT('q', quality, '_t', toxic) AS \"set\", COUNT(*) AS n FROM {labels} GROUP BY 1")
 def a9(spark, sf):
-    members = view(spark, sf, "labels").select(F.concat(F.lit("q"), "quality", F.lit("_t"), "toxic").alias("set"), F.col("doc_id").alias("note_id"))
-    return members.distinct().groupBy("set").agg(F.count("*").alias("n"))
+    members = view(spark, sf, "labels").select(F.concat(F.lit("q"), "quality", F.lit("_t"), "toxic").alias("set"), F.col("doc_id").cast("string").alias("note_id"))
+    folder = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    for name in [r["set"] for r in members.select("set").distinct().collect()]:
+        ids = members.where(F.col("set") == name).agg(F.to_json(F.collect_list("note_id")).alias("value"))
+        ids.coalesce(1).write.text(f"{folder}/{name}.json")
+    return readers.read_id_lists(spark, f"{folder}/*.json").groupBy("set").agg(F.count("*").alias("n"))
 
 
 @query("a11_judge_input", """

@@ -236,6 +236,16 @@ def worded(spark, sf):
 _AT = "COALESCE(NULLIF(STRPOS(LOWER(text), LOWER(v)), 0), LIST_FILTER(LIST_TRANSFORM(REGEXP_EXTRACT_ALL(LOWER(v), '[a-z]{{4,}}'), lambda w: STRPOS(LOWER(text), w)), lambda p: p > 0)[1])"
 
 
+@query("e6_locate_phrase", f"""
+SELECT note_id, {_AT.replace('(v)', '(dv)')} - 1 AS word_at, {_AT.replace('(v)', '(tv)')} - 1 AS words_at, LEAST({_AT.replace('(v)', '(dv)')}, {_AT.replace('(v)', '(tv)')}) - 1 AS first_at
+FROM (SELECT CAST(doc_id AS VARCHAR) AS note_id, text, SPLIT_PART(text, ' ', 9) AS dv, CONCAT(SPLIT_PART(text, ' ', 6), ' 1234 ', SPLIT_PART(text, ' ', 7)) AS tv FROM {{documents}}) a""")
+def e6(spark, sf):
+    n, facts = worded(spark, sf)
+    value = lambda kind, name: facts.where(F.col("concept_type") == kind).select(F.floor(F.col("fact_id") / 2).cast("string").alias("note_id"), F.col("value").alias(name))
+    rows = n.join(value("diagnosis", "dv"), "note_id").join(value("treatment", "tv"), "note_id")
+    return rows.select("note_id", T.locate_phrase("text", "dv").alias("word_at"), T.locate_phrase("text", "tv").alias("words_at"), T.first_phrase("text", F.array("dv", "tv")).alias("first_at"))
+
+
 @query("e7_shortcut_predict", rf"""
 SELECT note_id, CASE WHEN LEN(REGEXP_EXTRACT_ALL({PLAIN}, '(?i)\bday\s*(\d+)')) = 1 THEN 'EVENT1-OVERLAP-EVENT2'
   WHEN tx IS NOT NULL AND (dx IS NULL OR tx < dx) THEN 'EVENT2-BEFORE-EVENT1' ELSE 'EVENT1-BEFORE-EVENT2' END AS predicted

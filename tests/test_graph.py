@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import answers, facts, graph
 from tracewell.operators.graph import Representation
+from tracewell.plans import flows
 
 FACT = "patient_id int, concept_type string, fact_id int, ord int, value string, day int, revises int"
 
@@ -163,3 +164,15 @@ def test_ancestors_of_three_batches_equal_a_full_walk(spark):
         graph.ancestors(frame([(next(iter(parent)), 299)]), table)
     none = frame([]).where("false")
     assert graph.ancestors(none).count() == 0 and graph.revision_chains(none, heads).count() == 300
+
+
+def test_compression_study_of_a_small_case(spark):
+    facts_ = spark.createDataFrame([(1, 1, "diagnosis", "a", 1, 1, None), (2, 1, "diagnosis", "b", 5, 2, 1), (3, 2, "treatment", "c", 2, 3, None)],
+                                   "fact_id int, patient_id int, concept_type string, value string, day int, ord int, revises int")
+    edges = facts.revision_edges(facts_)
+    notes = spark.createDataFrame([("n1", 1, "verbose_discharge", 1, [1, 3]), ("n2", 5, "verbose_discharge", 2, [2, 3])], "note_id string, day int, style string, ord int, mentioned_fact_ids array<int>")
+    points = spark.createDataFrame([(1, "diagnosis", 3), (1, "diagnosis", 9), (2, "treatment", 9)], "patient_id int, concept_type string, day int")
+    evaluation, sizes = flows.compression_study(facts_, edges, notes, points)
+    every = {r.representation: r for r in evaluation.where("subset = 'all'").collect()}
+    assert len(every) == 5 and every["aggregation"].n == 3 and every["aggregation"].correct == 3 and every["revision_representation"].correct == 3
+    assert {r.representation: r.provenance_recall for r in sizes.collect()}["aggregation"] == 1.0

@@ -80,6 +80,8 @@ def test_models_on_one_side_only_and_strata_without_answers(spark):
     assert rows["m"].control_n is None and rows["k"].clean_n is None and rows["k"].control_answered_accuracy is None
     s = reports.stratified_paired(control, clean).first()
     assert s.answered_accuracy is None and s.clean_n_same_notes == 1 and s.clean_coverage_same_notes == 1.0
+    s = reports.stratified_paired(control, clean, other_models=False).first()
+    assert s.clean_n_same_notes == 0 and s.clean_coverage_same_notes is None
 
 
 def test_one_seed_has_no_deviation(spark):
@@ -191,3 +193,21 @@ def test_bottom_k_is_the_head_of_the_seeded_order(spark, n):
     assert splits.bottom_k(df.where("false"), ["g"], n, ["id"]).count() == 0
     with pytest.raises(ValueError):
         splits.sample_fraction(df, 0, ["id"])
+
+
+def test_auroc_against_each_set_matches_brute_force(spark):
+    rng = random.Random(13)
+    score = lambda: rng.choice([0.5, 0.5, -1e9, 300.0, rng.random()])
+    clean = [(rng.choice(["x", "y", None]), score()) for _ in range(300)]
+    control = [(rng.choice(["x", "y", None, "only"]), rng.choice(["s", "t"]), score()) for _ in range(400)]
+    frames = spark.createDataFrame(clean, "run string, score double"), spark.createDataFrame(control, "run string, set string, score double")
+    got = {(r.run, r.set): (r.n_pos, r.n_neg, r.auroc) for r in ranking.auroc_against(*frames, ["run"], "set", "score").collect()}
+    for run in ("x", "y", None, "only"):
+        for kind in "st":
+            a, b = [s for r, s in clean if r == run], [s for r, k, s in control if r == run and k == kind]
+            wins = sum((x > y) + .5 * (x == y) for x in a for y in b)
+            assert got[run, kind][:2] == (len(a), len(b)) and got[run, kind][2] == (pytest.approx(wins / len(a) / len(b)) if a else None)
+    assert len(got) == 8
+    every = {r.set: r.auroc for r in ranking.auroc_against(*frames, [], "set", "score").collect()}
+    a, b = [s for _, s in clean], [s for _, k, s in control if k == "s"]
+    assert every["s"] == pytest.approx(sum((x > y) + .5 * (x == y) for x in a for y in b) / len(a) / len(b))

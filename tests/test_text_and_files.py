@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewell import constants as K
 from tracewell.functions import scalars, spans, text as T
-from tracewell.operators import controls
+from tracewell.operators import acceptance, controls
 from tracewell.sources import readers, sinks
 
 
@@ -173,3 +173,27 @@ def test_literals_in_front_of_the_patterns_lose_no_marker(spark):
     bare = F.array_compact(F.array(*[F.when(F.col("t").rlike("(?iuU)" + K.MARKER_PATTERNS[n]), F.lit(n)) for n in sorted(K.MARKER_PATTERNS)]))
     rows = df.select("t", T.marker_hits("t").alias("got"), bare.alias("all")).collect()
     assert all(r.got == r["all"] for r in rows) and sum(bool(r.got) for r in rows) > 15
+
+
+def test_id_sets_judge_counts_cache_versions_tiers_and_recall_status(spark, tmp_path):
+    members = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1")], "set string, note_id string")
+    sinks.write_id_sets(members, str(tmp_path / "sets"))
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "sets")).select("set", "note_id").collect())) == sorted(map(tuple, members.collect()))
+    for name, ids in (("a", '["1", "2", "2"]'), ("b", "[]")):
+        (tmp_path / f"{name}.json").write_text(ids)
+    spark.createDataFrame([('["7"]',)], "value string").coalesce(1).write.text(str(tmp_path / "c.json"))
+    assert sorted(map(tuple, readers.read_id_lists(spark, str(tmp_path / "*.json")).collect())) == [("a", "1"), ("a", "2"), ("c", "7")]
+    records = spark.createDataFrame([("x", None, "k"), (None, None, "k")], "silent_removal string, n string, silent_keep string")
+    assert tuple(sinks.judge_input_counts(records).first()) == (2, 1, 2)
+    cache = spark.createDataFrame([("n", 2, True, True, "R"), ("o", 1, False, None, None)], "note_id string, v int, orig_valid boolean, judge_orig_determinable boolean, judge_orig_relation string")
+    now, old = sinks.reusable_records(cache, 2)
+    assert [r.note_id for r in now.collect()] == ["n"] and old.columns == ["note_id", "orig_valid", "judge_orig_determinable", "judge_orig_relation"]
+    tiers = acceptance.edit_tiers(spark.createDataFrame([("n", "v", "strict")] * 2, "note_id string, variant string, validity_tier string"), spark.createDataFrame([("n", "s")], "note_id string, style string"))
+    assert [tuple(r) for r in tiers.collect()] == [("v", "strict", "s", 2)]
+    rows = spark.createDataFrame([(None, None, None, None), ("lost", "g", .5, "t"), ("accepted", None, .5, "t"), ("accepted", "g", None, "t"), ("accepted", "g", .5, "t")], "r string, g string, c double, t string")
+    assert [r[0] for r in rows.select(spans.token_recall_status("r", "g", "c", "t")).collect()] == ["no_v2_row", "lost", "accepted", "gold_span_not_in_truncated_note", "t"]
+
+
+def test_white_space_of_any_kind(spark):
+    df = spark.createDataFrame([("a\u00a0b\u2003c\x1cd\te",)], "t string")
+    assert df.select(scalars.norm_ws("t")).first()[0] == "a b c d e" and df.select(T.word_count("t")).first()[0] == 5

@@ -60,6 +60,9 @@ EVIDENCE_CASES = {
     "remove_and_contradict": "evidence_removed_and_contradiction",
 }
 
+# White space of any kind, as a pattern.
+WHITE = r"(?U:[\s\x1c-\x1f])"
+
 # Wording families that betray an edit (case-insensitive).
 MARKER_PATTERNS = {
     "omitted": r"\bomitt?ed\b",

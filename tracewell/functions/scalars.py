@@ -54,7 +54,7 @@ def resolve_base_note_id(base, note_id) -> Column:
 
 
 def norm_ws(col) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(_c(col), F.lit("")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(_c(col), F.lit("")), K.WHITE + "+", " "))
 
 
 def norm_relation(col, domain=K.RELATIONS) -> Column:
@@ -84,18 +84,23 @@ def has_injected_content(col) -> Column:
     )
 
 
+def bare_answer(col) -> Column:
+    """A saved answer without reasoning blocks and code fences."""
+    text = strip(F.regexp_replace(F.coalesce(_c(col), F.lit("")), r"(?s)<think>.*?</think>", ""))
+    return strip(F.regexp_replace(text, r"(?m)^```(?:json)?|```$", ""))
+
+
 def json_object_text(col) -> Column:
     """Outermost `{...}` of a saved answer, after dropping reasoning blocks and code fences."""
-    text = strip(F.regexp_replace(F.coalesce(_c(col), F.lit("")), r"(?s)<think>.*?</think>", ""))
-    text = strip(F.regexp_replace(text, r"(?m)^```(?:json)?|```$", ""))
-    return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+    return F.nullif(F.regexp_extract(bare_answer(col), r"(?s)\{.*\}", 0), F.lit(""))
 
 
 def parse_answer(col, domain=K.RELATIONS) -> Column:
     """Validated fields of a saved extraction answer.
 
     Struct of relation (NULL outside the domain), evidence_span (NULL when blank or not text),
-    confidence (clipped to [0, 1], 0 when missing) and reason (`invalid_json` when unreadable).
+    confidence (clipped to [0, 1], 0 when missing) and reason (`invalid_json` when unreadable, `non_object_json` when the
+    whole answer is JSON of another kind, such as a list).
     """
     def fields(doc):
         relation = F.try_variant_get(doc, "$.relation", "string")
@@ -110,7 +115,13 @@ def parse_answer(col, domain=K.RELATIONS) -> Column:
             F.when(ok, F.coalesce(F.try_variant_get(doc, "$.reason", "string"), F.lit("")))
             .otherwise(F.lit("invalid_json")).alias("reason"))
 
-    return let(F.try_parse_json(json_object_text(col)), fields)
+    def answer(whole):
+        other = whole.isNotNull() & ~F.schema_of_variant(whole).startswith("OBJECT")
+        nothing = F.lit(None).cast("string")
+        listed = F.struct(nothing.alias("relation"), nothing.alias("evidence_span"), F.lit(0.0).alias("confidence"), F.lit("non_object_json").alias("reason"))
+        return F.when(other, listed).otherwise(let(F.try_parse_json(json_object_text(col)), fields))
+
+    return let(F.try_parse_json(bare_answer(col)), answer)
 
 
 def content_key(model, version, kind, text) -> Column:

@@ -113,12 +113,6 @@ def natural_variant(text) -> Column:
     return F.replace(F.replace(_c(text), F.lit("intravenous"), F.lit("IV")), F.lit("day"), F.lit("hospital day"))
 
 
-def capitalize(text) -> Column:
-    """First letter upper case, the rest lower case."""
-    text = _c(text)
-    return F.concat(F.upper(F.substr(text, F.lit(1), F.lit(1))), F.lower(F.substr(text, F.lit(2))))
-
-
 # ---------------------------------------------------------------- perturbations
 
 def _lookup(table: dict) -> Column:
@@ -248,6 +242,21 @@ def novel_frac(original, edited) -> Column:
     return F.arrow_udf(share, DoubleType())(F.lower(_c(original)), F.lower(_c(edited)))
 
 
+def locate_phrase(text, phrase) -> Column:
+    """0-based place of a phrase in a text without regard to case, else that of its first word of four letters or more
+    that occurs; NULL when nothing does or either is NULL. An empty phrase is at 0."""
+    t, p = F.lower(_c(text)), F.lower(_c(phrase).cast("string"))
+    whole = F.instr(t, p)
+    words = F.regexp_extract_all(p, F.lit("[a-z]{4,}"), F.lit(0))
+    places = F.filter(F.transform(words, lambda w: F.instr(t, w)), lambda i: i > 0)
+    return F.when(whole > 0, whole - 1).otherwise(F.get(places, F.lit(0)) - 1)
+
+
+def first_phrase(text, phrases) -> Column:
+    """Earliest place of an array of phrases; NULL when none is found."""
+    return F.array_min(F.transform(_c(phrases), lambda p: locate_phrase(text, p)))
+
+
 def length_ratio(original, edited) -> Column:
     return F.char_length(_c(edited)) / F.greatest(F.lit(1), F.char_length(_c(original)))
 
@@ -262,4 +271,4 @@ def has_digit(text) -> Column:
 
 def word_count(text) -> Column:
     trimmed = strip(text)
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, r"\s+")))
+    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, K.WHITE + "+")))

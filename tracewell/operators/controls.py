@@ -143,15 +143,8 @@ def shortcut_predict(notes: DataFrame, facts: DataFrame) -> DataFrame:
     `notes` has note_id, text and mentioned_fact_ids; a fact is found by its value, else by its first
     word of four letters or more that occurs.
     """
-    def first_at(text, phrase):
-        t, p = F.lower(text), F.lower(phrase.cast("string"))
-        whole = F.instr(t, p)
-        words = F.regexp_extract_all(p, F.lit("[a-z]{4,}"), F.lit(0))
-        places = F.filter(F.transform(words, lambda w: F.instr(t, w)), lambda i: i > 0)
-        return F.when(whole > 0, whole - 1).otherwise(F.get(places, F.lit(0)) - 1)
-
     named = notes.select("note_id", "text", F.explode("mentioned_fact_ids").alias("fact_id")).join(
-        facts.select("fact_id", "concept_type", "value"), "fact_id").withColumn("_at", first_at(F.col("text"), F.col("value")))
+        facts.select("fact_id", "concept_type", "value"), "fact_id").withColumn("_at", T.locate_phrase("text", "value"))
     earliest = lambda c: F.min(F.when(F.col("concept_type") == c, F.col("_at")))
     where = named.groupBy("note_id").agg(earliest("diagnosis").alias("_dx"), earliest("treatment").alias("_tx"))
     treated_first = F.col("_tx").isNotNull() & (F.col("_dx").isNull() | (F.col("_tx") < F.col("_dx")))

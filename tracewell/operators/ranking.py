@@ -50,21 +50,20 @@ def auroc(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataF
 
 
 def auroc_against(clean: DataFrame, control: DataFrame, run_keys: list[str], set_key: str, score: str) -> DataFrame:
-    """AUROC of the clean rows of a run against each control set of the same run.
+    """AUROC of the clean rows of a run against each control set of the same run: n_pos, n_neg, auroc.
 
-    The clean side is repeated per set only after it has been reduced to distinct scores.
+    Both sides are reduced to distinct scores and laid on one line per run. Running sums of the clean counts just
+    before and just after a control score tell how many clean rows it loses against, so the clean side is not
+    repeated per set.
     """
     count = lambda df, keys: df.groupBy(*keys, F.col(score).alias("score")).agg(F.count("*").alias("n"))
-    sets = control.select(*run_keys, set_key).distinct()
-    clean_cells = count(clean, run_keys)
-    clean_cells = clean_cells.join(sets, run_keys) if run_keys else clean_cells.crossJoin(sets)
-    control_cells = count(control, [*run_keys, set_key])
-    cells = (clean_cells.withColumn("_pos", F.lit(True))
-             .unionByName(control_cells.withColumn("_pos", F.lit(False)))
-             .groupBy(*run_keys, set_key, "score").agg(
-                 F.sum(F.when(F.col("_pos"), F.col("n")).otherwise(0)).alias("pos"),
-                 F.sum(F.when(F.col("_pos"), 0).otherwise(F.col("n"))).alias("neg")))
-    return auroc_of_cells(cells, [*run_keys, set_key])
+    clean_cells = count(clean, run_keys).select(*run_keys, "score", F.lit(None).cast(control.schema[set_key].dataType).alias(set_key), F.lit(1).alias("_side"), F.lit(0).cast("long").alias("n"), F.col("n").alias("_clean"))
+    control_cells = count(control, [*run_keys, set_key]).select(*run_keys, "score", set_key, F.explode(F.array(F.lit(0), F.lit(2))).alias("_side"), "n", F.lit(0).cast("long").alias("_clean"))
+    line = prefix_sums(clean_cells.unionByName(control_cells), run_keys, Along("score"), ["score", "_side", set_key], {"_below": F.col("_clean")}, totals=True)
+    sets = line.where(F.col("_side") != 1).groupBy(*run_keys, set_key).agg(
+        F.max("_below_total").alias("n_pos"), F.sum(F.when(F.col("_side") == 0, F.col("n"))).alias("n_neg"),
+        (F.sum(F.col("n") * (F.col("_below_total") - F.col("_below"))) / 2).alias("_wins"))
+    return sets.select(*run_keys, set_key, "n_pos", "n_neg", ratio("_wins", F.col("n_pos").cast("double") * F.col("n_neg")).alias("auroc"))
 
 
 def bootstrap_auroc(cells: DataFrame, keys: list[str], n_boot: int = 1000, seed: int = 7,

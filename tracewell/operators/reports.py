@@ -15,6 +15,7 @@ from tracewell.functions.text import day_mentions, find_cue, has_digit, word_cou
 from tracewell.operators import ranking
 from tracewell.operators.running import on_keys
 from tracewell.session import cut_lineage
+from tracewell.sources.readers import accepted_spans
 
 
 def answered() -> Column:
@@ -77,16 +78,27 @@ def mechanism_metrics(df: DataFrame) -> DataFrame:
         rate(F.col("score").isNotNull(), answered()).alias("answer_has_evidence_score_rate"))
 
 
-def selective_report(dev: DataFrame, test: DataFrame, target: float) -> DataFrame:
-    """Threshold chosen on development data, then AURC and metrics at it per model and overall."""
-    curve = ranking.risk_coverage_curve(dev, [], "score", answered(), correct())
-    chosen = ranking.choose_threshold(curve, [], target)
+def selective_report(dev: DataFrame, test: DataFrame, target: float, threshold: float | None = None, repeats: int = 1000, seed: int = 7) -> DataFrame:
+    """AURC, metrics at the chosen threshold and a random control of equal coverage, per model and overall.
+
+    The threshold is the given one, or chosen on development data. The control is the accuracy of random subsets of
+    the target size; a threshold that does no better does not select.
+    """
+    if threshold is None:
+        curve = ranking.risk_coverage_curve(dev, [], "score", answered(), correct())
+        chosen = ranking.choose_threshold(curve, [], target).select(F.col("threshold").alias("_t"), F.col("status").alias("threshold_source"))
+    else:
+        chosen = dev.sparkSession.range(1).select(F.lit(float(threshold)).alias("_t"), F.lit("user_fixed_threshold").alias("threshold_source"))
     both = test.withColumn("model", F.explode(F.array(F.col("model"), F.lit("overall"))))
     area = ranking.aurc_trapezoid(ranking.risk_coverage_curve(both, ["model"], "score", answered(), correct()), ["model"])
-    # One row of thresholds, whatever the data size.
-    scored = both.crossJoin(F.broadcast(chosen.select(F.col("threshold").alias("_t"), F.col("status").alias("threshold_source"))))
-    at = metrics_at_threshold(scored, ["model", "_t", "threshold_source"], F.col("_t")).withColumnRenamed("_t", "threshold")
-    return at.join(area, "model", "left").withColumn(
+    scored = on_keys(both, chosen, [])
+    keys = ["model", "_t", "threshold_source"]
+    at = metrics_at_threshold(scored, keys, F.col("_t"))
+    means = both.groupBy("model").agg(F.avg("score").alias("mean_score"))
+    control = ranking.random_matched_coverage(both, ["model"], answered(), correct(), target, repeats, seed)
+    control = control.select("model", *[F.col(c).alias(f"random_{c}") for c in control.columns if c != "model"])
+    out = on_keys(on_keys(on_keys(at, area, ["model"]), means, ["model"]), control, ["model"])
+    return out.withColumnRenamed("_t", "threshold").withColumn(
         "threshold_selection_warning", F.col("threshold_source") != "dev_min_risk_at_target_coverage")
 
 
@@ -209,31 +221,31 @@ def _summary(z=K.Z_ROUNDED):
     return aggs, derived
 
 
-def on_same_notes(members: DataFrame, side: DataFrame) -> DataFrame:
+def on_same_notes(members: DataFrame, side: DataFrame, other_models: bool = True) -> DataFrame:
     """Rows of `side` on the base notes of `members`, which has example_id.
 
-    Where both name a model, a model is held against its own rows; one that `side` does not know is
-    held against all of them.
+    Where both name a model, a model is held against its own rows. One that `side` does not know is
+    held against the rows of all models with `other_models`, else against none.
     """
     if "model" not in members.columns or "model" not in side.columns:
         return members.join(side.drop("model"), "example_id")
     theirs = side.withColumnRenamed("model", "_model")
     known = theirs.select(F.col("_model").alias("model")).distinct().withColumn("_known", F.lit(True))
-    matched = members.join(known, "model", "left").join(theirs, "example_id")
+    matched = members.join(known, "model", "left" if other_models else "inner").join(theirs, "example_id")
     return matched.where(F.col("_known").isNull() | F.col("_model").eqNullSafe(F.col("model"))).drop("_known", "_model")
 
 
-def paired_clean(members: DataFrame, clean: DataFrame, keys: list[str]) -> DataFrame:
+def paired_clean(members: DataFrame, clean: DataFrame, keys: list[str], other_models: bool = True) -> DataFrame:
     """Clean results on the base notes of each group: members holds keys and base_id."""
     base = members.select(*keys, F.col("base_id").alias("example_id")).distinct()
     model = [c for c in ("model",) if c in clean.columns]
     side = clean.select("example_id", *model, answered().alias("_a"), correct().alias("_o"))
-    return on_same_notes(base, side).groupBy(*keys).agg(
+    return on_same_notes(base, side, other_models).groupBy(*keys).agg(
         F.count("*").alias("clean_n_same_notes"), F.avg(F.col("_a").cast("int")).alias("clean_coverage_same_notes"),
         ratio(n_of(F.col("_o")), n_of(F.col("_a"))).alias("clean_answered_accuracy_same_notes"))
 
 
-def stratified_paired(control: DataFrame, clean: DataFrame | None = None) -> DataFrame:
+def stratified_paired(control: DataFrame, clean: DataFrame | None = None, other_models: bool = True) -> DataFrame:
     """Abstention per model and stratum, next to clean results on the same notes.
 
     `control` has variant, base_id, masked_cue (boolean or NULL) and validity_tier.
@@ -258,7 +270,7 @@ def stratified_paired(control: DataFrame, clean: DataFrame | None = None) -> Dat
         (F.min("validity_tier") != F.max("validity_tier")).alias("_many"))
     out = out.join(n_tiers, ["model", "variant"], "left").where(~F.col("tiered") | F.col("_many")).drop("variant", "tiered", "_many", "_c")
     if clean is not None:
-        out = out.join(paired_clean(rows, clean, keys), keys, "left").withColumn(
+        out = out.join(paired_clean(rows, clean, keys, other_models), keys, "left").withColumn(
             "clean_n_same_notes", F.coalesce("clean_n_same_notes", F.lit(0)))
     return out
 
@@ -271,14 +283,14 @@ def control_composition(control: DataFrame, token: str = K.MASK_TOKEN) -> DataFr
         n_of(F.contains(F.col("text"), F.lit(token))).alias("token_inserted"))
 
 
-def per_class_breakdown(control: DataFrame, clean: DataFrame, relations=K.RELATIONS) -> DataFrame:
+def per_class_breakdown(control: DataFrame, clean: DataFrame, relations=K.RELATIONS, other_models: bool = True) -> DataFrame:
     """Coverage, accuracy and predicted classes per variant, tier (and over tiers) and gold class,
     on the edited notes and on the clean versions of the same notes, by the same model where both name one."""
     tier = F.coalesce("validity_tier", F.lit("keep"))
     edited = control.select("variant", tier.alias("tier"), "gold_relation", "answer", "abstained", F.lit("edited").alias("condition"))
     named = lambda df: [c for c in ("model",) if c in df.columns]
     members = control.select("variant", tier.alias("tier"), "gold_relation", *named(control), F.col("base_id").alias("example_id"))
-    paired = on_same_notes(members, clean.select("example_id", *named(clean), "answer", "abstained")).select(
+    paired = on_same_notes(members, clean.select("example_id", *named(clean), "answer", "abstained"), other_models).select(
         "variant", "tier", "gold_relation", "answer", "abstained", F.lit("clean_same_notes").alias("condition"))
     rows = edited.unionByName(paired).where(F.col("variant").isNotNull() & F.col("gold_relation").isNotNull())
     ans = answered()
@@ -432,7 +444,7 @@ def rule_agreement_overall(per_run: DataFrame, group: list[str]) -> DataFrame:
 
 def score_spans(predictions: DataFrame, gold_spans: DataFrame) -> DataFrame:
     """Add overlap measures of cited and accepted gold spans; NULL where no gold span was accepted."""
-    gold = gold_spans.where("reason = 'accepted'").select(
+    gold = accepted_spans(gold_spans).select(
         F.col("note_id").alias("example_id"), "text", "gold_evidence_span_v2", F.col("validity_tier").alias("span_tier"))
     out = predictions.drop("text").join(gold, "example_id", "left").withColumn(
         "_o", char_overlap("text", "predicted_evidence_span", "gold_evidence_span_v2"))

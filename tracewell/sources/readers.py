@@ -179,9 +179,9 @@ def first_run_file(runs: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
 
 def read_id_lists(spark: SparkSession, pattern: str) -> DataFrame:
-    """JSON arrays of ids, one file per set: long table (set, note_id)."""
+    """JSON arrays of ids, one file `<set>.json` per set, or one folder of that name: long table (set, note_id)."""
     text = spark.read.text(pattern, wholetext=True)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json(?:/[^/]*)?$", 1)
     ids = F.from_json("value", "array<string>")
     return text.select(name.alias("set"), F.explode(ids).alias("note_id")).distinct()
 
