@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import near, packing, repetition, toxicity
-from tracewell.llm.common import id_remainder, shared_folder, table
+from tracewell.llm.common import free_name, id_remainder, shared_folder, table
 from tracewell.llm.registry import query
 
 #: Documents scored this high or higher are rejected as toxic.
@@ -16,8 +16,9 @@ TOXIC = 0.5
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the repetition rules keep; texts that are null, empty or under fifty words go."""
-    judged = repetition.repetition(docs, max_covered=repetition.COVERED_LIMIT, out="__repetition")
-    return judged.where("__repetition.kept").select(*docs.columns)
+    verdict = free_name(docs.columns, "verdict")
+    judged = repetition.repetition(docs, max_covered=repetition.COVERED_LIMIT, out=verdict)
+    return judged.where(F.col(f"{verdict}.kept")).select(*docs.columns)
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +27,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Without toxic labels all documents stay. A null text has no telling word and stays as well.
     """
     features, model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~id_remainder("doc_id", 5, 0))
-    return toxicity.score(docs, features, model, out="__toxicity").where(F.col("__toxicity") < TOXIC).select(*docs.columns)
+    score = free_name(docs.columns, "toxicity")
+    return toxicity.score(docs, features, model, out=score).where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,16 +39,16 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     they have no words: then each is a group of its own and all stay. Where some go, they are set apart and any one of
     them is taken. A table without such rows has none to set apart, and its texts are joined once.
     """
-    md5 = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    groups = near.near_copies(docs, md5_col="__md5").groupBy("doc_id", "__md5").agg(F.count_if("kept").alias("__kept"), F.count("kept").alias("__rows"))
-    kept = groups.where("__kept > 0").withColumnsRenamed({"doc_id": "__id", "__md5": "__text"})
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (md5 == F.col("__text"))
-    whole, some = (docs.join(kept.where(rule), same, "left_semi") for rule in ("__kept = __rows", "__kept < __rows"))
-    return whole.unionByName(some.withColumn("__md5", md5).dropDuplicates(["doc_id", "__md5"]).drop("__md5"))
+    md5, digest = F.md5(F.coalesce("text", F.lit("")).cast("binary")), free_name(docs.columns, "text_md5")
+    groups = near.near_copies(docs, md5_col="md5").groupBy("doc_id", "md5").agg(F.count_if("kept").alias("n_kept"), F.count("kept").alias("n_rows"))
+    kept = groups.where("n_kept > 0").select(F.struct(F.col("doc_id").alias("id"), "md5").alias(digest), "n_kept", "n_rows")
+    same = F.col("doc_id").eqNullSafe(F.col(f"{digest}.id")) & (md5 == F.col(f"{digest}.md5"))
+    whole, some = (docs.join(kept.where(rule).select(digest), same, "left_semi") for rule in ("n_kept = n_rows", "n_kept < n_rows"))
+    return whole.unionByName(some.withColumn(digest, md5).dropDuplicates(["doc_id", digest]).drop(digest))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents with their sequences and offsets."""
+    """The pieces of the documents with their sequences and offsets. A null text is one end id; repeated rows are packed each; no rows give no rows."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -57,7 +59,11 @@ ORACLE_SQL = None
 
 @query("pipeline")
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents; each is written to the shared folder and read again."""
+    """All stages over the table of documents; each is written to the shared folder and read again.
+
+    Null and empty texts, and those under fifty words, go in the first stage; of repeated rows one stays. Columns of any name are
+    kept up to the last stage, which gives pieces. An empty table gives no pieces.
+    """
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
