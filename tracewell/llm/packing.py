@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tracewell.llm.common import checkpointed, starts_of, steps, sums, word_ids
+from tracewell.llm.common import checkpointed, release, starts_of, steps, sums, word_ids
 from tracewell.llm.pairs import Merges, Runs
 from tracewell.llm.ranks import numbered
 
@@ -22,7 +22,7 @@ CAPACITY = 4096
 #: Id that ends every document.
 END_ID = 2
 #: Words whose ids a worker keeps before it starts anew.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 250_000
 
 
 #: A run of plain letters, then one of plain punctuation: two words of their own under the tokenizer, whose normal
@@ -118,6 +118,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                     [batch.column(0).take(pa.array(at + owner)), *map(pa.array, (start, length, np.array(crc, np.int64), counts[owner]))],
                     names=schema.names)
                 at += len(raw)
+            release()
 
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import nnpu
-from tracewell.llm.common import steps
+from tracewell.llm.common import release, steps
 
 #: Bounds of the sample that the classifiers are fitted to.
 MAX_POSITIVE = 4000
@@ -27,7 +27,7 @@ SMOOTHING = 10
 LEAST_EXAMPLES = 5
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Words whose features a worker keeps before it starts anew.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 250_000
 
 _TO_SPACE = bytes.maketrans((string.punctuation + string.digits).encode(), b" " * 42)
 
@@ -132,6 +132,7 @@ def score(docs: DataFrame, features: list[bytes], model: nnpu.Model, text_col: s
         scorer = Scorer(features)
         for batch in batches:
             z = [math.fsum(model.weights[scorer.features(t)]) for raw in steps(batch) for t in raw]
+            release()
             yield pa.array(nnpu.sigmoid(np.array(z, np.float64) + model.bias), pa.float64())
 
     return docs.withColumn(out, probability.asNondeterministic()(F.col(text_col)))
