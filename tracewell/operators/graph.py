@@ -115,7 +115,7 @@ def ancestors(edges: DataFrame, known: DataFrame | None = None, max_levels: int
     new facts are made and returned: their pointers lead into the old chains, which are not walked again. Append
     them to the table. A fact that the table has, or that others already revise, gets no other parent.
 
-    Each level is one join and one job, about log2 of the longest chain in all; levels that run out are an
+    Each level is one join, written and counted, about log2 of the longest chain in all; levels that run out are an
     error, as in a chain that runs into a cycle without `max_levels` of 2 ** level facts.
     """
     level = edges.select(F.col("new").alias("fact_id"), F.lit(0).alias("level"), F.col("old").alias("ancestor"))

@@ -1,7 +1,6 @@
 """Session helpers."""
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,9 +21,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """`cut_lineage` and the number of rows, counted by the same job."""
-    seen = Observation()
-    return cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n"))), seen.get["n"]
+    """`cut_lineage` and the number of rows, counted from what was written. An Observation would count in the same job,
+    but its manager stays with the session, and tasks of pyspark.ml, which carry the session, cannot be sent then."""
+    out = cut_lineage(df)
+    return out, out.count()
 
 
 def spread(df: DataFrame) -> DataFrame:
